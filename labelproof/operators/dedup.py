@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions.vectors import hamming
 from labelproof.operators.skew import lookup_by_heavy_key
+from labelproof.session import stored
 
 PROFILE_SIZE = 257
 HASH_BITS = PROFILE_SIZE - 1
@@ -138,14 +139,15 @@ def cosine(left: Column, left_norm: Column, right_map: Column, right_norm: Colum
     return F.try_divide(product.cast("double"), F.sqrt(left_norm.cast("double") * right_norm.cast("double")))
 
 
-def near_pairs(profiles: DataFrame, key: str, *, max_distance: int, width: int, min_similarity: float) -> DataFrame:
-    """Pairs of rows with different profiles within the hash distance and above the cosine.
+def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int, prefix: str | None = None) -> DataFrame:
+    """Pairs of rows whose 256-bit hashes differ in at most ``max_distance`` bits, each pair once.
 
-    ``profiles`` has one row per distinct profile with ``bands`` and ``entries``.
+    With ``prefix`` (an array of feature numbers) only pairs sharing a prefix
+    feature are formed.
     """
-    count = HASH_BITS // width
-    family = key_family(count, max_distance)
-    hashed = profiles.select(key, "bands", profile_prefix(F.col("entries"), min_similarity).alias("prefix"))
+    family = key_family(HASH_BITS // width, max_distance)
+    features = F.col(prefix) if prefix else F.array(F.lit(0))
+    hashed = rows.select(key, "bands", features.alias("prefix"))
     parts = narrow_bands(F.col("bands"), width)
     keys = F.array(
         *[F.struct(F.lit(i).alias("k"), parts[a].alias("x"), parts[b].alias("y")) for i, (a, b) in enumerate(family)]
@@ -160,8 +162,17 @@ def near_pairs(profiles: DataFrame, key: str, *, max_distance: int, width: int,
     first_feature = F.array_min(F.array_intersect("lp", "rp")) == F.col("f")
     found = joined.withColumn("distance", hamming(F.col("lb"), F.col("rb")))
     found = found.filter((F.col("distance") <= max_distance) & first_key & first_feature)
-    found = found.select("left_id", "right_id", "distance")
+    return found.select("left_id", "right_id", "distance")
+
+
+def near_pairs(profiles: DataFrame, key: str, *, max_distance: int, width: int, min_similarity: float) -> DataFrame:
+    """Pairs of rows with different profiles within the hash distance and above the cosine.
+
+    ``profiles`` has one row per distinct profile with ``bands`` and ``entries``.
+    """
     entries = F.col("entries")
+    hashed = profiles.select(key, "bands", profile_prefix(entries, min_similarity).alias("prefix"))
+    found = hash_candidates(hashed, key, max_distance=max_distance, width=width, prefix="prefix")
     a = profiles.select(F.col(key).alias("left_id"), entries.alias("le"), squared_norm(entries).alias("ln"))
     # the map is built once per profile, below the join
     b = profiles.select(F.col(key).alias("right_id"), F.map_from_entries(entries).alias("rm"), squared_norm(entries).alias("rn"))
@@ -178,12 +189,14 @@ def suspicious_links(
     ``kind`` tells them apart: ``copy`` and ``same_profile`` link a row to the
     lowest key of its content or profile; ``near`` links two profiles.
     """
-    profiles = text_profiles(df, key, text)
+    # read several times below: written once so texts are scanned and hashed once
+    profiles = stored(text_profiles(df, key, text), "profiles")
     copies, contents = copy_links(profiles, key, "digest")
     one = profiles.join(contents.select(F.col("keep").alias(key)), key, "left_semi")
     signed = one.withColumn("profile", F.sha2(F.to_json("entries"), 256))
     same, kept = copy_links(signed, key, "profile")
     distinct_profiles = with_hash(signed.join(kept.select(F.col("keep").alias(key)), key, "left_semi"))
+    distinct_profiles = stored(distinct_profiles.select(key, "entries", "bands"), "distinct-profiles")
     near = near_pairs(distinct_profiles, key, max_distance=max_distance, width=width, min_similarity=min_similarity)
 
     def tagged(links: DataFrame, kind: str) -> DataFrame:
