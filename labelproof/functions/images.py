@@ -140,6 +140,17 @@ def gradient_features(df: DataFrame, keep: list[str], width: int, height: int, c
     return df.filter("decoded").select(*columns).mapInPandas(work, T.StructType(fields))
 
 
+def gradient_column(picture: str, width: int, height: int, cell: tuple[int, int] = (8, 8)) -> Column:
+    """Orientation-histogram features of a picture struct (pixels, height, width, channels)."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def work(pixels: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
+        rows = zip(pixels, h, w, c)
+        return pd.Series([orientation_histogram(fit(grey(p, *map(int, s)), width, height) / 255.0, cell) for p, *s in rows])
+
+    return work(*[F.col(f"{picture}.{n}") for n in ("pixels", "height", "width", "channels")])
+
+
 def structural_similarity(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
     """Mean structural similarity of two grey images over sliding windows (sample covariance, 8-bit range)."""
     x, y = a.astype(np.float64), b.astype(np.float64)

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation_queries", "row_queries", "table_queries", "order_queries", "dedup_queries", "file_queries")
+MODULES = (
+    "evaluation_queries",
+    "row_queries",
+    "table_queries",
+    "order_queries",
+    "dedup_queries",
+    "file_queries",
+    "gate_queries",
+    "model_queries",
+)
 
 
 def all_queries():

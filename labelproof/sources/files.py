@@ -29,7 +29,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as lower-cased text, one row per file."""
-    frame = spark.read.option("wholetext", True).text(path)
+    frame = spark.read.text(path, wholetext=True)
     return frame.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.lower("value").alias("text"))
 
 
@@ -84,7 +84,7 @@ def read_catalogue(spark: SparkSession, path: str, targets: Sequence[str]) -> Da
     Names are trimmed and lower-cased. Raises when the file is no such map, a
     target is unknown, or a name is blank or repeated.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", CATALOGUE_TYPE).alias("m"))
     if parsed.filter(F.col("m").isNull() | F.exists(F.map_values("m"), lambda v: v.isNull())).take(1):
         raise ValueError("a catalogue must map each target to a list of names")
