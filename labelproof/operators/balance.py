@@ -56,8 +56,8 @@ def unequal_multisets(df: DataFrame, target: str, value: str, reference: str) ->
     per_target = matched.groupBy("target").agg(
         F.count(F.lit(1)).alias("values"), F.count_if(F.col("n").eqNullSafe(F.col("wanted"))).alias("equal_values")
     )
-    size = wanted.agg(F.count(F.lit(1)).alias("reference_values"))
-    joined = per_target.withColumn("__one", F.lit(1)).join(size.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    size = wanted.agg(F.count(F.lit(1))).scalar()
+    joined = per_target.withColumn("reference_values", size)
     differing = F.col("values") - F.col("equal_values")
     absent = F.col("reference_values") - F.col("equal_values")
     return joined.filter((differing > 0) | (absent > 0)).select(
@@ -94,13 +94,11 @@ def association(df: DataFrame, text: str, target: str) -> DataFrame:
         F.max("rate").alias("hi"),
         F.min("rate").alias("lo"),
     )
-    shape = columns.agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"))
-    merged = per_value.withColumn("__one", F.lit(1)).join(shape.withColumn("__one", F.lit(1)), "__one")
+    merged = per_value.withColumn("k", columns.agg(F.count(F.lit(1))).scalar())
     spread = F.col("hi") - F.when(F.col("seen") < F.col("k"), F.lit(0.0)).otherwise(F.col("lo"))
     one = merged.agg(
         F.count(F.lit(1)).alias("unique_values"),
         F.sum(F.col("q") / F.col("r")).alias("s"),
-        F.max("n").alias("n"),
         F.max("k").alias("k"),
         F.max(spread).alias("max_rate_spread"),
     )

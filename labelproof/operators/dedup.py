@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions.vectors import hamming
 from labelproof.operators.skew import lookup_by_heavy_key
-from labelproof.session import stored
+from labelproof.session import spread, stored
 
 PROFILE_SIZE = 257
 HASH_BITS = PROFILE_SIZE - 1
@@ -46,7 +46,7 @@ def text_profiles(df: DataFrame, key: str, text: str, size: int = PROFILE_SIZE)
     Words are counted right after the scan, so texts never shuffle: only the
     counts of a row and its 64-character digest do.
     """
-    rows = df.select(key, F.sha2(text, 256).alias("digest"), F.lower(F.col(text)).alias("__t"))
+    rows = spread(df.select(key, text)).select(key, F.sha2(text, 256).alias("digest"), F.lower(F.col(text)).alias("__t"))
     words = rows.select(key, "digest", F.explode(F.split("__t", r"\s+")).alias("w"))
     # a text without words keeps one row with a null bucket
     bucket = F.when(F.col("w") != "", word_bucket(F.col("w"), size))
@@ -139,6 +139,28 @@ def cosine(left: Column, left_norm: Column, right_map: Column, right_norm: Colum
     return F.try_divide(product.cast("double"), F.sqrt(left_norm.cast("double") * right_norm.cast("double")))
 
 
+CROWD = 2048
+
+
+def split_crowded(keyed: DataFrame, keys: list[str], row: str, limit: int = CROWD) -> DataFrame:
+    """Cut crowded join keys into cells so that no task compares a whole crowd.
+
+    A key with n rows gets ``ceil(n / limit)`` blocks by row hash. A row of block
+    b goes to the cells (b, j) for every block j, so two rows meet in exactly one
+    cell that is theirs: nothing is lost and a cell holds about two blocks.
+    """
+    crowded = (
+        keyed.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > limit)
+        .select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
+    )
+    rows = keyed.join(crowded, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(row), F.col("blocks")).cast("int"))
+    cells = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cells.withColumn("lo", F.least("block", "__j")).withColumn("hi", F.greatest("block", "__j")).drop("__j", "blocks")
+
+
 def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int, prefix: str | None = None) -> DataFrame:
     """Pairs of rows whose 256-bit hashes differ in at most ``max_distance`` bits, each pair once.
 
@@ -153,9 +175,12 @@ def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int,
         *[F.struct(F.lit(i).alias("k"), parts[a].alias("x"), parts[b].alias("y")) for i, (a, b) in enumerate(family)]
     )
     keyed = hashed.select(key, "bands", "prefix", F.inline(keys)).withColumn("f", F.explode("prefix"))
-    left = keyed.select("k", "x", "y", "f", F.col(key).alias("left_id"), F.col("bands").alias("lb"), F.col("prefix").alias("lp"))
-    right = keyed.select("k", "x", "y", "f", F.col(key).alias("right_id"), F.col("bands").alias("rb"), F.col("prefix").alias("rp"))
-    joined = left.join(right, ["k", "x", "y", "f"]).filter("left_id < right_id")
+    celled = split_crowded(keyed, ["k", "x", "y", "f"], key)
+    on = ["k", "x", "y", "f", "lo", "hi"]
+    left = celled.select(*on, F.col("block").alias("lblock"), F.col(key).alias("left_id"), F.col("bands").alias("lb"), F.col("prefix").alias("lp"))
+    right = celled.select(*on, F.col("block").alias("rblock"), F.col(key).alias("right_id"), F.col("bands").alias("rb"), F.col("prefix").alias("rp"))
+    once = (F.col("lo") == F.col("hi")) | (F.col("lblock") != F.col("rblock"))
+    joined = left.join(right, on).filter((F.col("left_id") < F.col("right_id")) & once)
     lparts, rparts = narrow_bands(F.col("lb"), width), narrow_bands(F.col("rb"), width)
     equal = F.array(*[(lparts[a] == rparts[a]) & (lparts[b] == rparts[b]) for a, b in family])
     first_key = F.array_position(equal, True) == F.col("k") + 1

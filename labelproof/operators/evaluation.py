@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelproof.operators.ranking import exact_quantiles, top_rows
 from labelproof.operators.reshape import crosstab, literals
+from labelproof.session import one_row
 
 # Fixed values of the acceptance rule: candidates, accuracy floor, coverage floor, histogram edges.
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9)
@@ -121,10 +122,13 @@ def headline(predictions: DataFrame, classes: Sequence | None = None, **roles: s
     macro = class_outcomes(predictions, classes, **roles).agg(
         F.avg(f1).alias("macro_f1"), F.count(F.lit(1)).alias("labels")
     )
-    # both sides are one aggregate row
-    joined = hits.withColumn("__one", F.lit(1)).join(macro.withColumn("__one", F.lit(1)), "__one")
-    return joined.select(
-        "rows", "correct", share(F.col("correct"), F.col("rows")).alias("accuracy"), "macro_f1", "labels"
+    scores = one_row(macro)
+    return hits.select(
+        "rows",
+        "correct",
+        share(F.col("correct"), F.col("rows")).alias("accuracy"),
+        scores.getField("macro_f1").alias("macro_f1"),
+        scores.getField("labels").alias("labels"),
     )
 
 

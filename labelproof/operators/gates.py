@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.operators import balance, joins, profile
+from labelproof.session import one_row
 from labelproof.operators.reshape import in_order, set_difference, stack_frames
 
 SEVERITY = ("FAIL", "WARN", "MANUAL", "PASS")
 
 
 def side_by_side(frames: Sequence[DataFrame]) -> DataFrame:
-    """Join frames of exactly one row each."""
-    keyed = [f.withColumn("__one", F.lit(1)) for f in frames]
-    return reduce(lambda a, b: a.join(b, "__one"), keyed).drop("__one")
+    """Frames of exactly one row each as one row; every frame is a scalar subquery, run side by side."""
+    columns = []
+    for frame in frames:
+        row = one_row(frame)
+        columns += [row.getField(c).alias(c) for c in frame.columns]
+    return frames[0].sparkSession.range(1).select(*columns)
 
 
 @dataclass(frozen=True)
@@ -66,12 +69,12 @@ def structure_gate(
     expected_entities: int | None = None,
 ) -> DataFrame:
     """Row count, unique key, entity count, exact target and split sets, leakage, assignment match."""
-    base = items.groupBy(entity, target, split).agg(F.count(F.lit(1)).alias("n"))
-    entities = base.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.countDistinct(split).alias("s"))
+    base = items.groupBy(entity, target, split).agg(F.count(F.lit(1)).alias("__n"))
+    entities = base.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.countDistinct(split).alias("__s"))
     facts = side_by_side(
         [
             items.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys")),
-            entities.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("s") > 1).alias("leaked")),
+            entities.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("__s") > 1).alias("leaked")),
             base.agg(
                 F.count_if(~F.coalesce(F.col(target).isin(*targets), F.lit(False))).alias("odd_targets"),
                 F.countDistinct(F.when(F.col(target).isin(*targets), F.col(target))).alias("known_targets"),
@@ -116,10 +119,10 @@ def generated_gate(
     """Exact counts per entity, target and split, leakage, assignment match, equal texts and signatures per target."""
     n = items_per_entity
     total_entities = len(targets) * entities_per_target
-    cells = items.groupBy(entity, target, split).agg(F.count(F.lit(1)).alias("n"))
-    per_entity = cells.groupBy(entity).agg(F.sum("n").alias("n"), F.countDistinct(split).alias("s"))
-    per_target = cells.groupBy(target).agg(F.sum("n").alias("n"))
-    per_split = cells.groupBy(split).agg(F.sum("n").alias("n"))
+    cells = items.groupBy(entity, target, split).agg(F.count(F.lit(1)).alias("__n"))
+    per_entity = cells.groupBy(entity).agg(F.sum("__n").alias("__n"), F.countDistinct(split).alias("__s"))
+    per_target = cells.groupBy(target).agg(F.sum("__n").alias("__n"))
+    per_split = cells.groupBy(split).agg(F.sum("__n").alias("__n"))
     wanted_split = F.coalesce(
         *[F.when(F.col(split) == s, F.lit(c * len(targets) * n)) for s, c in split_entities.items()], F.lit(-1)
     )
@@ -128,13 +131,13 @@ def generated_gate(
             items.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(key).alias("keys")),
             per_entity.agg(
                 F.count(F.lit(1)).alias("entities"),
-                F.count_if(F.col("n") != n).alias("odd_entities"),
-                F.count_if(F.col("s") > 1).alias("leaked"),
+                F.count_if(F.col("__n") != n).alias("odd_entities"),
+                F.count_if(F.col("__s") > 1).alias("leaked"),
             ),
             per_target.agg(
-                F.count_if(F.col("n") == entities_per_target * n).alias("good_targets"), F.count(F.lit(1)).alias("all_targets")
+                F.count_if(F.col("__n") == entities_per_target * n).alias("good_targets"), F.count(F.lit(1)).alias("all_targets")
             ),
-            per_split.agg(F.count_if(F.col("n") == wanted_split).alias("good_splits"), F.count(F.lit(1)).alias("all_splits")),
+            per_split.agg(F.count_if(F.col("__n") == wanted_split).alias("good_splits"), F.count(F.lit(1)).alias("all_splits")),
             count_rows(joins.assignment_difference(cells, assignments, [entity, target, split]), "differences"),
             count_rows(balance.unequal_multisets(items, target, signature, targets[0]), "odd_signatures"),
             count_rows(balance.unequal_multisets(items, target, text, targets[0]), "odd_texts"),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from labelproof.operators.evaluation import share
 from labelproof.operators.ranking import exact_quantiles
+from labelproof.session import one_row
 
 
 def _present(df: DataFrame, *columns: str) -> DataFrame:
@@ -39,36 +40,38 @@ def structure_profile(df: DataFrame, key: str, entity: str, target: str, split:
     A first aggregate to one row per (entity, target, split) serves every count
     that does not need the item key.
     """
-    base = df.groupBy(entity, target, split).agg(F.count(F.lit(1)).alias("n"))
+    base = df.groupBy(entity, target, split).agg(F.count(F.lit(1)).alias("__n"))
     per_entity = (
         _present(base, entity)
         .groupBy(entity)
-        .agg(F.sum("n").alias("n"), F.countDistinct(split).alias("splits"))
+        .agg(F.sum("__n").alias("__n"), F.countDistinct(split).alias("__splits"))
         .agg(
             F.count(F.lit(1)).alias("unique_entities"),
-            F.count_if(F.col("splits") > 1).alias("entity_overlap_count"),
-            F.min("n").alias("items_per_entity_min"),
-            F.max("n").alias("items_per_entity_max"),
+            F.count_if(F.col("__splits") > 1).alias("entity_overlap_count"),
+            F.min("__n").alias("items_per_entity_min"),
+            F.max("__n").alias("items_per_entity_max"),
         )
     )
 
     def as_map(column: str, measure: Column, name: str) -> DataFrame:
-        rows = _present(base, column).groupBy(column).agg(measure.alias("m"))
-        entry = F.struct(F.col(column).cast("string"), F.col("m").cast("bigint"))
+        rows = _present(base, column).groupBy(column).agg(measure.alias("__m"))
+        entry = F.struct(F.col(column).cast("string"), F.col("__m").cast("bigint"))
         return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
 
     totals = df.agg(F.count(F.lit(1)).alias("total_items"), F.countDistinct(key).alias("unique_keys"))
     parts = [
         totals,
         per_entity,
-        as_map(target, F.sum("n"), "items_per_target"),
-        as_map(split, F.sum("n"), "items_per_split"),
+        as_map(target, F.sum("__n"), "items_per_target"),
+        as_map(split, F.sum("__n"), "items_per_split"),
         as_map(target, F.countDistinct(entity), "entities_per_target"),
         as_map(split, F.countDistinct(entity), "entities_per_split"),
     ]
-    # every part is one row
-    keyed = [p.withColumn("__one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "__one"), keyed).drop("__one")
+    columns = []
+    for part in parts:
+        row = one_row(part)
+        columns += [row.getField(c).alias(c) for c in part.columns]
+    return df.sparkSession.range(1).select(*columns)
 
 
 def min_median_max(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -82,7 +85,8 @@ def min_median_max(df: DataFrame, group: Sequence[str], metrics: Sequence[str])
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+    return counted.select(key, F.col("__rows").alias("rows"))
 
 
 def duplicate_groups(df: DataFrame, digest: Column) -> DataFrame:
@@ -95,13 +99,15 @@ def duplicate_groups(df: DataFrame, digest: Column) -> DataFrame:
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Occurrences after the first of fully equal rows."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    extra = F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).cast("bigint")
+    return groups.agg(F.sum("__copies").alias("rows"), extra.alias("duplicate_rows"))
 
 
 def leaked_entities(df: DataFrame, entity: str, split: str) -> DataFrame:
     """Entities mapped to more than one split."""
-    return _present(df, entity).groupBy(entity).agg(F.countDistinct(split).alias("splits")).filter("splits > 1")
+    spread = _present(df, entity).groupBy(entity).agg(F.countDistinct(split).alias("__splits"))
+    return spread.filter("__splits > 1").select(entity, F.col("__splits").alias("splits"))
 
 
 def require_no_leakage(df: DataFrame, entity: str, split: str) -> None:
@@ -145,11 +151,10 @@ def identifier_like(columns: Sequence[str]) -> list[str]:
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
-    """Count and percent per target value, null kept. The window sees one row per value."""
+    """Count and percent per target value, null kept."""
     counts = df.groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("__total"))
-    joined = counts.withColumn("__one", F.lit(1)).join(total.withColumn("__one", F.lit(1)), "__one")
-    return joined.select("target", "count", share(F.col("count") * 100, F.col("__total")).alias("percent"))
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select("target", "count", share(F.col("count") * 100, total).alias("percent"))
 
 
 def imbalance_status(distribution: DataFrame, minimum_percent: float = 15.0) -> DataFrame:
@@ -175,13 +180,12 @@ def target_share_by_side(df: DataFrame, target: str, split: str = "split") -> Da
         F.count_if(F.col("__side") == "train").alias("train_rows"),
         F.count_if(F.col("__side") == "validation").alias("validation_rows"),
     )
-    totals = counts.agg(F.sum("train_rows").alias("__t"), F.sum("validation_rows").alias("__v"))
-    joined = counts.withColumn("__one", F.lit(1)).join(totals.withColumn("__one", F.lit(1)), "__one")
+    totals = one_row(counts.agg(F.sum("train_rows").alias("t"), F.sum("validation_rows").alias("v")))
     zero = F.lit(0.0)
-    return joined.select(
+    return counts.select(
         "target",
-        F.coalesce(share(F.col("train_rows"), F.col("__t")), zero).alias("train"),
-        F.coalesce(share(F.col("validation_rows"), F.col("__v")), zero).alias("validation"),
+        F.coalesce(share(F.col("train_rows"), totals.getField("t")), zero).alias("train"),
+        F.coalesce(share(F.col("validation_rows"), totals.getField("v")), zero).alias("validation"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -220,8 +221,9 @@ def evaluate_once(
         "mistakes": ev.mistakes(scored, threshold).drop("probabilities"),
         "representative_mistakes": ev.representative_mistakes(scored, threshold, key).drop("probabilities"),
     }
-    for name, frame in reports.items():
-        write_csv(frame, paths.report(name))
+    # independent small jobs over one stored table: submit them together
+    with ThreadPoolExecutor(len(reports)) as pool:
+        list(pool.map(lambda item: write_csv(item[1], paths.report(item[0])), reports.items()))
     overall = ev.overall_result(scored, threshold, entity=entity)
     macro = ev.headline(scored, classes).select("macro_f1")
     metrics = side_by_side([overall, macro]).withColumn("threshold", F.lit(threshold))

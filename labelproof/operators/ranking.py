@@ -45,17 +45,19 @@ def draw_slice(draw: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(draw, 1, digits), 16, 10).cast("int")
 
 
-def value_slice(df: DataFrame, column: str, slices: int | None = None) -> DataFrame:
+def value_slice(df: DataFrame, column: str, source: DataFrame | None = None, slices: int | None = None) -> DataFrame:
     """Add a slice id that grows with a non-null numeric column.
 
-    One bounded pass finds the cuts (a few per shuffle partition); assignment is
-    a binary search inside the JVM.
+    One bounded pass over ``source`` (the rows the values come from; ``df``
+    itself by default) finds the cuts, a few per shuffle partition; assignment
+    is a binary search inside the JVM.
     """
     wanted = slices or 4 * shuffle_width(df.sparkSession)
     as_double = "__slice_key"
     keyed = df.withColumn(as_double, F.col(column).cast("double"))
     points = [i / wanted for i in range(1, wanted)]
-    cuts = keyed.approxQuantile(as_double, points, 1.0 / (2 * wanted))
+    raw = (df if source is None else source).select(F.col(column).cast("double").alias(as_double))
+    cuts = raw.approxQuantile(as_double, points, 1.0 / (2 * wanted))
     inner = sorted(set(cuts))
     if not inner:
         return keyed.drop(as_double).withColumn(SLICE, F.lit(0))
@@ -141,7 +143,7 @@ def exact_quantiles(
     ranks and only those slices are ordered.
     """
     keys = [*group, SLICE]
-    weights = value_slice(value_weights(df, group, value), value)
+    weights = value_slice(value_weights(df, group, value), value, df)
     sizes = _offsets(weights.groupBy(*keys).agg(F.sum("weight").alias("__size")), group)
     last = F.col("__total") - 1
     wanted = []
@@ -187,17 +189,21 @@ def top_rows(
     return out if rank else out.drop(name)
 
 
-def average_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Rank of a value divided by the row count, ties sharing their average rank.
+def percent_rank_table(df: DataFrame, value: str, out: str) -> DataFrame:
+    """One row per distinct value with its average rank divided by the row count.
 
-    Ranks are worked out on (value, count), then looked up by value, so neither
-    ties nor a global order gather rows in one task.
+    Ranks are worked out on (value, count), so neither ties nor a global order
+    gather rows in one task.
     """
-    weights = value_slice(value_weights(df, [], value), value)
+    weights = value_slice(value_weights(df, [], value), value, df)
     ranked = running_weights(weights, [], value, "weight")
     middle = F.col("before") + (F.col("weight") + 1) / F.lit(2.0)
-    table = ranked.select(F.col(value), (middle / F.col("total")).alias(out))
-    return df.join(table, value, "left")
+    return ranked.select(F.col(value), (middle / F.col("total")).alias(out))
+
+
+def average_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Rank of a value divided by the row count, ties sharing their average rank."""
+    return df.join(percent_rank_table(df, value, out), value, "left")
 
 
 def closest_to_median(df: DataFrame, group: Sequence[str], value: str, key: str) -> DataFrame:

@@ -15,8 +15,8 @@ def lookup_by_heavy_key(facts: DataFrame, table: DataFrame, key: str, rows: str,
     all facts number at most ``hot``, so that part of the table is broadcast and
     its facts never shuffle; all other keys take the ordinary shuffle join.
     """
-    limit = table.agg((F.sum(rows) / F.lit(hot)).alias("limit"))
-    flagged = table.join(F.broadcast(limit)).withColumn("__hot", F.col(rows) > F.col("limit")).drop("limit")
+    limit = table.agg(F.sum(rows) / F.lit(hot)).scalar()
+    flagged = table.withColumn("__hot", F.col(rows) > limit)
     heavy = flagged.filter("__hot").drop("__hot")
     light = flagged.filter("NOT __hot").drop("__hot")
     near = facts.join(F.broadcast(heavy), key)

@@ -12,6 +12,7 @@ from labelproof.operators import splits as sp
 from labelproof.plans.bindings import CLASSES, SEGMENTS, SPLITS, catalogue, docs, leaky_manifest, manifest, predictions
 from labelproof.plans.registry import query
 from labelproof.plans.row_queries import PAGE_RULES_SQL, expanded_effects, page_rules
+from labelproof.session import one_row, stored
 
 # --- ranks -------------------------------------------------------------------
 
@@ -72,18 +73,22 @@ def difficulty(t):
     e = expanded_effects(t).select(
         "item_id", "target", "value", "actual_font_size", "rotation_degrees", "blur_radius", "jpeg_quality"
     )
+    # used by two rank tables, the maxima and the final rows: parse the JSON once
+    e = stored(e, "effects")
     blur = F.coalesce("blur_radius", F.lit(0.0))
-    tops = e.agg(F.max(F.abs("rotation_degrees")).alias("mr"), F.max(blur).alias("mb"), F.lit(1).alias("one"))
-    ranked = rk.average_percent_rank(rk.average_percent_rank(e, "value", "pv"), "actual_font_size", "pf")
+    tops = one_row(e.agg(F.max(F.abs("rotation_degrees")).alias("mr"), F.max(blur).alias("mb")))
+    by_value = rk.percent_rank_table(e.select("value"), "value", "pv")
+    by_size = rk.percent_rank_table(e.select("actual_font_size"), "actual_font_size", "pf")
+    ranked = e.join(by_value, "value").join(by_size, "actual_font_size")
     tiny = F.lit(1e-9)
     score = (
         (F.lit(1.0) - F.col("pv"))
         + (F.lit(1.0) - F.col("pf"))
-        + F.abs("rotation_degrees") / F.greatest("mr", tiny)
-        + blur / F.greatest("mb", tiny)
+        + F.abs("rotation_degrees") / F.greatest(tops.getField("mr"), tiny)
+        + blur / F.greatest(tops.getField("mb"), tiny)
         + (F.lit(93) - F.coalesce("jpeg_quality", F.lit(93))) / F.lit(21.0)
     )
-    return ranked.withColumn("one", F.lit(1)).join(tops, "one").select("item_id", "target", score.alias("difficulty"))
+    return ranked.select("item_id", "target", score.alias("difficulty"))
 
 
 @query("f5_difficulty_score", "WITH {effects}, " + SQL_DIFFICULTY + " SELECT item_id, target, round(difficulty, 9) AS difficulty FROM scored")

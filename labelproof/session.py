@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,5 +56,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer splits than the session has cores, dealt out evenly.
+
+    For row work that costs far more CPU than the rows cost to move. A large
+    input has more splits than cores and stays as it is. Only for frames read
+    straight from files: asking a frame with shuffles for its partitions runs them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def one_row(df: DataFrame) -> Column:
+    """A frame of exactly one row as a struct column: a scalar subquery, so no join is planned."""
+    return df.select(F.struct(*df.columns).alias("row")).scalar()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
