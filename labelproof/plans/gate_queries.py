@@ -14,7 +14,7 @@ from labelproof.plans.evaluation_queries import SQL_REPORT, SQL_SWEEP
 from labelproof.plans.order_queries import GRID_TEXTS, SQL_QUOTA, quota
 from labelproof.plans.registry import query
 from labelproof.plans.row_queries import SQL_FLAGS, expanded_effects
-from labelproof.session import scratch_path
+from labelproof.session import scratch_path, stored
 
 FLAGS = tuple(effect_flags())
 
@@ -142,7 +142,7 @@ SQL_SPREAD = (
 
 def blocking_facts(t):
     """The nine blocking values: picture checks, entity overlap, effect imbalance, text association."""
-    flagged = rules.quality_flags(gallery.measured(t), 32, 32)
+    flagged = rules.quality_flags(stored(gallery.measured(t), "measured"), 32, 32)
     pictures = rules.quality_counts(flagged)
     copies = profile.duplicate_groups(flagged.filter("opens_successfully"), F.col("sha256")).select("duplicate_groups")
     overlap = gates.count_rows(profile.leaked_entities(leaky_manifest(t), "entity", "split"), "entity_overlap")

@@ -9,7 +9,7 @@ from labelproof.functions.images import image_hash
 from labelproof.ml import models as ml
 from labelproof.operators import evaluation as ev
 from labelproof.plans import gallery
-from labelproof.plans.bindings import CLASSES, manifest, split_label
+from labelproof.plans.bindings import CLASSES, SPLIT_SEED, manifest, split_label
 from labelproof.plans.registry import query
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path
@@ -22,7 +22,7 @@ _FITTED: dict[tuple[str, str], PipelineModel] = {}
 
 def vectors(t: Tables):
     """Embeddings with an entity (vec_id modulo 40) and its split."""
-    return t.embeddings.withColumn("entity", F.col("vec_id") % 40).withColumn("split", split_label(42, "entity"))
+    return t.embeddings.withColumn("entity", F.col("vec_id") % 40).withColumn("split", split_label(SPLIT_SEED, "entity"))
 
 
 def fitted(t: Tables) -> PipelineModel:
@@ -34,8 +34,8 @@ def fitted(t: Tables) -> PipelineModel:
     return _FITTED[key]
 
 
-SQL_VECTORS = """vectors AS (SELECT vec_id, label, CASE WHEN d < 70 THEN 'train' WHEN d < 85 THEN 'validation' ELSE 'test' END AS split
-  FROM (SELECT vec_id, label, ('0x' || substr(sha256('42|' || (vec_id % 40)::VARCHAR), 1, 8))::BIGINT % 100 AS d FROM embeddings))"""
+SQL_VECTORS = f"""vectors AS (SELECT vec_id, label, CASE WHEN d < 70 THEN 'train' WHEN d < 85 THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT vec_id, label, ('0x' || substr(sha256('{SPLIT_SEED}|' || (vec_id % 40)::VARCHAR), 1, 8))::BIGINT % 100 AS d FROM embeddings))"""
 
 
 @query(
