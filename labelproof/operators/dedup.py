@@ -12,11 +12,11 @@ differ in few bits and their profiles are almost parallel.
   least ``b - d`` are equal; putting the bands in ``b - d - 1`` groups, some
   group holds two equal bands, so the band pairs inside the groups are a complete
   family of keys.
-* Each key also carries a feature of the profile prefix: features in a fixed
-  order up to the point where what is left is too short to reach the wanted
-  cosine. Two profiles that reach it share a prefix feature, so adding it splits
-  crowded band values (short texts have mostly constant hashes) and loses
-  nothing.
+* A crowded key (short texts have mostly constant hashes) is split by a feature
+  of the profile prefix: features in a fixed order up to the point where what is
+  left is too short to reach the wanted cosine. Two profiles that reach it share
+  a prefix feature, so nothing is lost. What is still crowded is cut into cells
+  in which each pair of rows meets once.
 
 A pair is produced once, at the first key and first prefix feature it shares.
 """
@@ -142,6 +142,11 @@ def cosine(left: Column, left_norm: Column, right_map: Column, right_norm: Colum
 CROWD = 2048
 
 
+def crowded_keys(keyed: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    return counts.select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
+
+
 def split_crowded(keyed: DataFrame, keys: list[str], row: str, limit: int = CROWD) -> DataFrame:
     """Cut crowded join keys into cells so that no task compares a whole crowd.
 
@@ -149,34 +154,34 @@ def split_crowded(keyed: DataFrame, keys: list[str], row: str, limit: int = CROW
     b goes to the cells (b, j) for every block j, so two rows meet in exactly one
     cell that is theirs: nothing is lost and a cell holds about two blocks.
     """
-    crowded = (
-        keyed.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > limit)
-        .select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
-    )
-    rows = keyed.join(crowded, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = keyed.join(crowded_keys(keyed, keys, limit), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(row), F.col("blocks")).cast("int"))
     cells = rows.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return cells.withColumn("lo", F.least("block", "__j")).withColumn("hi", F.greatest("block", "__j")).drop("__j", "blocks")
 
 
-def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int, prefix: str | None = None) -> DataFrame:
+def hash_candidates(
+    rows: DataFrame, key: str, *, max_distance: int, width: int, prefix: str | None = None, crowd: int = CROWD
+) -> DataFrame:
     """Pairs of rows whose 256-bit hashes differ in at most ``max_distance`` bits, each pair once.
 
-    With ``prefix`` (an array of feature numbers) only pairs sharing a prefix
-    feature are formed.
+    Keys with more than ``crowd`` rows are split: first by the prefix features
+    (``prefix`` is an array of feature numbers; only pairs sharing one can be
+    similar enough), then into cells of rows.
     """
     family = key_family(HASH_BITS // width, max_distance)
-    features = F.col(prefix) if prefix else F.array(F.lit(0))
-    hashed = rows.select(key, "bands", features.alias("prefix"))
+    hashed = rows.select(key, "bands", (F.col(prefix) if prefix else F.array(F.lit(0))).alias("prefix"))
     parts = narrow_bands(F.col("bands"), width)
     keys = F.array(
         *[F.struct(F.lit(i).alias("k"), parts[a].alias("x"), parts[b].alias("y")) for i, (a, b) in enumerate(family)]
     )
-    keyed = hashed.select(key, "bands", "prefix", F.inline(keys)).withColumn("f", F.explode("prefix"))
-    celled = split_crowded(keyed, ["k", "x", "y", "f"], key)
-    on = ["k", "x", "y", "f", "lo", "hi"]
+    band_keys = ["k", "x", "y"]
+    keyed = hashed.select(key, "bands", "prefix", F.inline(keys))
+    flagged = keyed.join(crowded_keys(keyed, band_keys, crowd), band_keys, "left")
+    light = flagged.filter("blocks IS NULL").drop("blocks").withColumns({c: F.lit(v) for c, v in (("f", -1), ("block", 0), ("lo", 0), ("hi", 0))})
+    heavy = flagged.filter("blocks IS NOT NULL").drop("blocks").withColumn("f", F.explode("prefix"))
+    celled = light.unionByName(split_crowded(heavy, [*band_keys, "f"], key, crowd))
+    on = [*band_keys, "f", "lo", "hi"]
     left = celled.select(*on, F.col("block").alias("lblock"), F.col(key).alias("left_id"), F.col("bands").alias("lb"), F.col("prefix").alias("lp"))
     right = celled.select(*on, F.col("block").alias("rblock"), F.col(key).alias("right_id"), F.col("bands").alias("rb"), F.col("prefix").alias("rp"))
     once = (F.col("lo") == F.col("hi")) | (F.col("lblock") != F.col("rblock"))
@@ -184,20 +189,22 @@ def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int,
     lparts, rparts = narrow_bands(F.col("lb"), width), narrow_bands(F.col("rb"), width)
     equal = F.array(*[(lparts[a] == rparts[a]) & (lparts[b] == rparts[b]) for a, b in family])
     first_key = F.array_position(equal, True) == F.col("k") + 1
-    first_feature = F.array_min(F.array_intersect("lp", "rp")) == F.col("f")
+    first_feature = (F.col("f") == -1) | (F.array_min(F.array_intersect("lp", "rp")) == F.col("f"))
     found = joined.withColumn("distance", hamming(F.col("lb"), F.col("rb")))
     found = found.filter((F.col("distance") <= max_distance) & first_key & first_feature)
     return found.select("left_id", "right_id", "distance")
 
 
-def near_pairs(profiles: DataFrame, key: str, *, max_distance: int, width: int, min_similarity: float) -> DataFrame:
+def near_pairs(
+    profiles: DataFrame, key: str, *, max_distance: int, width: int, min_similarity: float, crowd: int = CROWD
+) -> DataFrame:
     """Pairs of rows with different profiles within the hash distance and above the cosine.
 
     ``profiles`` has one row per distinct profile with ``bands`` and ``entries``.
     """
     entries = F.col("entries")
     hashed = profiles.select(key, "bands", profile_prefix(entries, min_similarity).alias("prefix"))
-    found = hash_candidates(hashed, key, max_distance=max_distance, width=width, prefix="prefix")
+    found = hash_candidates(hashed, key, max_distance=max_distance, width=width, prefix="prefix", crowd=crowd)
     a = profiles.select(F.col(key).alias("left_id"), entries.alias("le"), squared_norm(entries).alias("ln"))
     # the map is built once per profile, below the join
     b = profiles.select(F.col(key).alias("right_id"), F.map_from_entries(entries).alias("rm"), squared_norm(entries).alias("rn"))
@@ -207,7 +214,14 @@ def near_pairs(profiles: DataFrame, key: str, *, max_distance: int, width: int,
 
 
 def suspicious_links(
-    df: DataFrame, key: str, text: str, *, max_distance: int = 2, width: int = 64, min_similarity: float = 0.995
+    df: DataFrame,
+    key: str,
+    text: str,
+    *,
+    max_distance: int = 2,
+    width: int = 64,
+    min_similarity: float = 0.995,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """All links of a text table: exact copies, equal profiles and near pairs.
 
@@ -222,7 +236,9 @@ def suspicious_links(
     same, kept = copy_links(signed, key, "profile")
     distinct_profiles = with_hash(signed.join(kept.select(F.col("keep").alias(key)), key, "left_semi"))
     distinct_profiles = stored(distinct_profiles.select(key, "entries", "bands"), "distinct-profiles")
-    near = near_pairs(distinct_profiles, key, max_distance=max_distance, width=width, min_similarity=min_similarity)
+    near = near_pairs(
+        distinct_profiles, key, max_distance=max_distance, width=width, min_similarity=min_similarity, crowd=crowd
+    )
 
     def tagged(links: DataFrame, kind: str) -> DataFrame:
         return links.select(

@@ -91,6 +91,19 @@ def require_splits(df: DataFrame, labels: Sequence[str], split: str = "split") -
     return kept
 
 
+EFFECT_FLAGS = (
+    "dark_background",
+    "soft_contrast",
+    "blur_applied",
+    "jpeg_applied",
+    "letter_spacing_applied",
+    "rotation_applied",
+    "horizontal_shift_applied",
+    "vertical_shift_applied",
+    "scaling_applied",
+)
+
+
 def effect_flags() -> dict[str, Column]:
     """Null-aware flags over the effect fields."""
 

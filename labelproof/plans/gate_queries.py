@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from labelproof.operators import balance, gates, profile, protocol, rules
 from labelproof.operators import ranking as rk
 from labelproof.operators import splits as sp
-from labelproof.operators.rules import Rule, effect_flags
+from labelproof.operators.rules import EFFECT_FLAGS, Rule, effect_flags
 from labelproof.plans import gallery
 from labelproof.plans.bindings import CLASSES, SEGMENTS, SPLITS, leaky_manifest, manifest, predictions
 from labelproof.plans.evaluation_queries import SQL_REPORT, SQL_SWEEP
 from labelproof.plans.order_queries import GRID_TEXTS, SQL_QUOTA, quota
 from labelproof.plans.registry import query
 from labelproof.plans.row_queries import SQL_FLAGS, expanded_effects
+from labelproof.plans.table_queries import SQL_ASSOC
 from labelproof.session import scratch_path, stored
 
-FLAGS = tuple(effect_flags())
+FLAGS = EFFECT_FLAGS
 
 
 def _gate_sql(rows: list[tuple[str, str, str, str, str]]) -> str:
@@ -73,9 +74,8 @@ def e38_counts(t):
 ITEMS = 8
 
 
-def generated(t):
+def generated(selected):
     """Items generated for the selected entities: every target gets the same plan of seeds and texts."""
-    selected, _ = quota(t)
     drawn = selected.select("entity", "target", "split").withColumn("draw", rk.hash_draw(42, "entity"))
     # 18 selected entities per target: the window is bounded by the quota
     ranked = rk.top_rows(drawn, ["target"], ["draw", "entity"], sp.Quotas().total, rank="rank").drop("draw")
@@ -114,9 +114,9 @@ def generated(t):
     ),
 )
 def j2(t):
-    selected, _ = quota(t)
+    selected = stored(quota(t)[0], "selected")
     return gates.generated_gate(
-        generated(t),
+        stored(generated(selected), "generated"),
         selected,
         key="item_id",
         entity="entity",
@@ -158,13 +158,14 @@ def blocking_facts(t):
     facts AS (SELECT count(*) FILTER (WHERE missing) AS missing, count(*) FILTER (WHERE damaged) AS corrupt, count(*) FILTER (WHERE blank) AS blank,
       count(*) FILTER (WHERE NOT missing AND NOT damaged AND ((SELECT stddev_pop(x) FROM (SELECT unnest(levels) AS x)) < 5 OR list_max(levels) - list_min(levels) < 10)) AS low_contrast,
       (SELECT count(*) FROM (SELECT levels FROM gallery WHERE NOT missing AND NOT damaged GROUP BY levels HAVING count(*) > 1)) AS dup,
-      (SELECT count(*) FROM (SELECT entity FROM leaky GROUP BY entity HAVING count(DISTINCT split) > 1)) AS overlap, (SELECT serious::INT FROM sp) AS serious FROM gallery) """
+      (SELECT count(*) FROM (SELECT entity FROM leaky GROUP BY entity HAVING count(DISTINCT split) > 1)) AS overlap, (SELECT serious::INT FROM sp) AS serious,
+      (SELECT strong::INT FROM (WITH """ + SQL_ASSOC.format(v="item_text", g="target", src="manifest") + """)) AS strong FROM gallery) """
     + _gate_sql(
         [
             (n, f"{e} = 0", e, "resolve before training", "FAIL")
             for n, e in (
                 ("missing", "missing"), ("corrupt", "corrupt"), ("blank", "blank"), ("low_pixel_contrast", "low_contrast"), ("wrong_size", "0"),
-                ("duplicate_groups", "dup"), ("entity_overlap", "overlap"), ("serious_imbalance", "serious"), ("strong_association", "0"),
+                ("duplicate_groups", "dup"), ("entity_overlap", "overlap"), ("serious_imbalance", "serious"), ("strong_association", "strong"),
             )
         ]
     ),

@@ -372,10 +372,40 @@ def i6(t):
     return grid(t).select("entity", "target", "rank", F.col("item_index").cast("bigint").alias("item_index"), "item_seed", "item_text")
 
 
-@query("i7_augmentation_plan")
+def _unit(field: str) -> str:
+    block, place = divmod(sp.PLAN_DRAWS.index(field), 8)
+    return f"('0x' || substr(d{block}, {8 * place + 1}, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
+
+
+def _whole(field: str, low, high) -> str:
+    return f"({low} + floor({_unit(field)} * ({high} - {low} + 1)))::BIGINT"
+
+
+def _real(field: str, low: float, high: float, digits: int) -> str:
+    return f"round({low}::DOUBLE + {_unit(field)} * {high - low!r}::DOUBLE, {digits})"
+
+
+_LOW = "CASE WHEN dark AND soft THEN 170 WHEN dark THEN 220 WHEN soft THEN 70 ELSE 0 END"
+_HIGH = "CASE WHEN dark AND soft THEN 210 WHEN dark THEN 255 WHEN soft THEN 110 ELSE 55 END"
+_GROUND = [_whole(f"background{i}", "(CASE WHEN dark THEN 5 ELSE 232 END)", "(CASE WHEN dark THEN 45 ELSE 255 END)") for i in range(3)]
+_FRONT = [_whole(f"foreground{i}", f"({_LOW})", f"({_HIGH})") for i in range(3)]
+SQL_PLAN = f"""digests AS (SELECT *, sha256(item_seed || '|0') AS d0, sha256(item_seed || '|1') AS d1, sha256(item_seed || '|2') AS d2 FROM grid),
+  flags AS (SELECT *, {_unit('dark')} < 0.28::DOUBLE AS dark, {_unit('soft')} < 0.35::DOUBLE AS soft FROM digests),
+  colours AS (SELECT *, [{', '.join(_GROUND)}] AS g, [{', '.join(_FRONT)}] AS f FROM flags)
+  SELECT entity, target, item_index, item_seed, CASE WHEN dark THEN 'dark' ELSE 'light' END AS background, array_to_string(g, ',') AS background_rgb,
+    CASE WHEN soft THEN 'soft' ELSE 'strong' END AS contrast_style, array_to_string(f, ',') AS foreground_rgb,
+    round(abs(list_sum(g) - list_sum(f))::DOUBLE / 3.0::DOUBLE, 2) AS luminance_difference, {_whole('letter_spacing', 0, 3)} AS letter_spacing_px,
+    {_whole('font_size', 27, 62)} AS requested_font_size, {_whole('horizontal', -12, 12)} AS horizontal_shift_px, {_whole('vertical', -4, 4)} AS vertical_shift_px,
+    {_real('scale', 0.94, 1.06, 4)} AS scale_factor, {_real('rotation', -2.5, 2.5, 3)} AS rotation_degrees,
+    CASE WHEN {_unit('blur')} < 0.22::DOUBLE THEN {_real('blur_radius', 0.1, 0.55, 3)} END AS blur_radius,
+    CASE WHEN {_unit('jpeg')} < 0.28::DOUBLE THEN {_whole('jpeg_quality', 72, 92)} END AS jpeg_quality FROM colours"""
+
+
+@query("i7_augmentation_plan", "WITH {catalogue}, " + SQL_GRID + ", " + SQL_PLAN)
 def i7(t):
     planned = sp.augmentation_plan(grid(t), "item_seed")
-    return planned.select("entity", "target", "item_index", "item_seed", "effects.*")
+    flat = planned.select("entity", "target", F.col("item_index").cast("bigint").alias("item_index"), "item_seed", "effects.*")
+    return flat.withColumns({c: F.array_join(c, ",") for c in ("background_rgb", "foreground_rgb")})
 
 
 @query(

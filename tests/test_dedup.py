@@ -69,9 +69,10 @@ def texts():
 
 @pytest.mark.parametrize("distance, width", [(2, 64), (8, 16)])
 @pytest.mark.parametrize("similarity", [0.995, 0.9])
-def test_links(spark, texts, distance, width, similarity):
+@pytest.mark.parametrize("crowd", [3, 2048])
+def test_links(spark, texts, distance, width, similarity, crowd):
     df = spark.createDataFrame(texts, "id bigint, text string").repartition(5)
-    out = dedup.suspicious_links(df, "id", "text", max_distance=distance, width=width, min_similarity=similarity)
+    out = dedup.suspicious_links(df, "id", "text", max_distance=distance, width=width, min_similarity=similarity, crowd=crowd)
     rows = out.collect()
     found = {(r["left_id"], r["right_id"], r["kind"]) for r in rows}
     assert len(rows) == len(found)
