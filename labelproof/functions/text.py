@@ -107,7 +107,7 @@ def size_label(width: Column, height: Column) -> Column:
 
 def lenient_time(text: Column) -> Column:
     """Timestamp or null; bad text is not an error."""
-    return F.try_to_timestamp(text).cast("timestamp_ntz")
+    return text.try_cast("timestamp_ntz")
 
 
 def markdown_cell(text: Column) -> Column:

@@ -14,6 +14,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # call sites of column expressions are looked up per call; costly for generated expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -33,17 +33,17 @@ def _plain(value):
     return repr(value)
 
 
-def _canonical(columns, rows):
+def canonical(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return [columns[i] for i in order], sorted(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
 def difference(frame, con, sql: str) -> str | None:
     """None when both sides agree, else a short description."""
-    got_columns, got = _canonical(frame.columns, [tuple(r) for r in frame.collect()])
+    got_columns, got = canonical(frame.columns, [tuple(r) for r in frame.collect()])
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
-    want_columns, want = _canonical(names, cursor.fetchall())
+    want_columns, want = canonical(names, cursor.fetchall())
     if got_columns != want_columns:
         return f"columns {got_columns} != {want_columns}"
     if len(got) != len(want):
