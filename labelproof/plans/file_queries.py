@@ -202,7 +202,7 @@ def c17(t):
 @query("k3_gradient_features")
 def k3(t):
     images = files.read_images(t.spark, gallery.folder(t))
-    rows = gradient_features(images, ["path"], 32, 32)
+    rows = gradient_features(images, ["path"], 224, 96)
     energy = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.size("features").alias("values"), energy.alias("energy"))
 

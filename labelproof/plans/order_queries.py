@@ -9,7 +9,7 @@ from labelproof.operators import ranking as rk
 from labelproof.operators import reshape as rs
 from labelproof.operators import rules
 from labelproof.operators import splits as sp
-from labelproof.plans.bindings import CLASSES, SEGMENTS, SPLITS, catalogue, docs, leaky_manifest, manifest, predictions
+from labelproof.plans.bindings import CLASSES, SEGMENTS, SPLITS, catalogue, docs, manifest, predictions
 from labelproof.plans.registry import query
 from labelproof.plans.row_queries import PAGE_RULES_SQL, expanded_effects, page_rules
 from labelproof.session import one_row, stored

@@ -9,7 +9,7 @@ from labelproof.functions import vectors as vx
 from labelproof.operators import rules
 from labelproof.operators.rules import Rule
 from labelproof.operators.reshape import leading_columns
-from labelproof.plans.bindings import CLASSES, SPLITS, catalogue, docs, effects, manifest, predictions
+from labelproof.plans.bindings import CLASSES, catalogue, docs, effects, manifest, predictions
 from labelproof.plans.registry import query
 from labelproof.schemas import EFFECTS
 

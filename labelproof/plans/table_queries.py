@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from labelproof.functions import text as tx
 from labelproof.operators import balance, joins, profile
 from labelproof.operators import reshape
-from labelproof.operators.ranking import hash_draw, draw_number, draw_slice, numbered, SLICE
+from labelproof.operators.ranking import SLICE, draw_slice, hash_draw, numbered
 from labelproof.operators.rules import EFFECT_FLAGS, effect_flags
-from labelproof.plans.bindings import CLASSES, LANGUAGES, SEGMENTS, SPLITS, catalogue, docs, effects, leaky_manifest, manifest, predictions, split_label
+from labelproof.plans.bindings import CLASSES, LANGUAGES, SEGMENTS, catalogue, docs, effects, leaky_manifest, manifest, predictions, split_label
 from labelproof.plans.registry import query
-from labelproof.plans.row_queries import SIGNATURE_FIELDS, SQL_FLAGS, expanded_effects
+from labelproof.plans.row_queries import SQL_FLAGS, expanded_effects
 from labelproof.schemas import EFFECTS
 
 FLAGS = EFFECT_FLAGS
