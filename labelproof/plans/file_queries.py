@@ -11,7 +11,7 @@ from labelproof.plans import gallery
 from labelproof.plans.bindings import LANGUAGES, manifest
 from labelproof.plans.registry import query
 from labelproof.schemas import schema
-from labelproof.session import scratch_path, stored
+from labelproof.session import scratch_path, spread, stored
 from labelproof.sources import files, sinks
 
 CSV_SCHEMA = schema("c_custkey:long c_name:str note:str c_acctbal:dbl c_mktsegment:str")
@@ -85,7 +85,7 @@ def a7(t):
 def a8(t):
     path = scratch_path(t.spark, "texts")
     named = t.pages.select(F.format_string("p%d.html", "page_id").alias("name"), F.col("html").cast("binary").alias("content"))
-    sinks.write_files(named.repartition(8), path, "name", "content").write.format("noop").mode("overwrite").save()
+    sinks.write_files(spread(named), path, "name", "content").write.format("noop").mode("overwrite").save()
     texts = files.read_texts(t.spark, path)
     key = F.regexp_extract("path", r"p(\d+)\.html$", 1).cast("bigint")
     return texts.select(key.alias("page_id"), F.sha2("text", 256).alias("digest"), F.length("text").cast("bigint").alias("characters"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions.images import image_hash, pixel_stats, tile_png
 from labelproof.schemas import Tables
-from labelproof.session import scratch_path
+from labelproof.session import scratch_path, spread
 from labelproof.sources.files import content_type, plain_path, read_binary, read_images
 from labelproof.sources.sinks import write_files
 
@@ -47,7 +47,7 @@ def folder(t: Tables) -> str:
         rows = levels(t).filter(r != 3)
         content = F.when(r == 4, F.lit("not an image").cast("binary")).otherwise(tile_png(F.col("levels"), 8, 4))
         named = rows.select(F.format_string("v%d.png", "vec_id").alias("name"), content.alias("content"))
-        write_files(named.repartition(8 * 4), path, "name", "content").write.format("noop").mode("overwrite").save()
+        write_files(spread(named), path, "name", "content").write.format("noop").mode("overwrite").save()
         _WRITTEN[key] = path
     return _WRITTEN[key]
 

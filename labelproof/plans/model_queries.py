@@ -171,7 +171,7 @@ def l1(t):
 def l2(t):
     source = scratch_path(t.spark, "arriving")
     rows = vectors(t).filter("split = 'test'").select("vec_id", "label", "embedding")
-    rows.repartition(4).write.parquet(source)
+    rows.write.parquet(source)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(source)
     path, checkpoint = scratch_path(t.spark, "scored"), scratch_path(t.spark, "stream")
     flows.to_files(flows.scored(stream, fitted(t), KEYS, "label", 0.6), path, checkpoint).awaitTermination()
