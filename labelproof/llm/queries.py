@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelproof.llm import fingerprint
+from labelproof.llm import decontam, fingerprint
 from labelproof.schemas import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,50 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(words)) AS size,
+    array_to_string(list_slice(words, i, i + least(13, len(words)) - 1), ' ') AS gram
+  FROM items, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS u(i) WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT doc_id, i, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS gram
+  FROM docs, sizes, unnest(range(1, len(words) - size + 2)) AS u(i)),
+found AS (SELECT g.doc_id, g.i, g.size, w.item_id FROM grams g JOIN windows w ON g.size = w.size AND g.gram = w.gram),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + size)) AS u(p) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op5_benchmark_decontamination", OP5_SQL)
+def op5_benchmark_decontamination(t: Tables) -> DataFrame:
+    judged = decontam.report(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
+    ids = F.array_sort(F.array_distinct(F.transform("items", lambda i: i.cast("string"))))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        decontam.is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
 @query("op10_fingerprints")
 def op10_fingerprints(t: Tables) -> DataFrame:
     return fingerprint.edited_and_next(t.documents, "doc_id", "text")
