@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import decontam, fingerprint
+from labelproof.llm import decontam, fingerprint, langid
 from labelproof.schemas import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,19 @@ def op5_benchmark_decontamination(t: Tables) -> DataFrame:
     )
 
 
+def fold(key: str, folds: int):
+    """The fold of a row: crc32 of its key as text, modulo ``folds``."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+
+
+@query("op6_language_id")
+def op6_language_id(t: Tables) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit(t.documents, "doc_id", "text", "lang", ~held_out)
+    found = langid.predictions(t.documents, ["doc_id"], "text", model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op10_fingerprints")
 def op10_fingerprints(t: Tables) -> DataFrame:
     return fingerprint.edited_and_next(t.documents, "doc_id", "text")
