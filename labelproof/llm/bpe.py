@@ -16,6 +16,7 @@ by one, and other columns are not read.
 from __future__ import annotations
 
 import base64
+import heapq
 from itertools import chain
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 LEAF = 24
+NO_RANK = 1 << 40
 CACHED_PIECES = 300_000
 
 
@@ -54,20 +56,46 @@ class BytePairEncoder:
 
     def merged(self, data: bytes) -> list[bytes]:
         """Tokens of a few bytes: the adjacent pair of lowest rank is merged until there is none."""
+        if len(data) > 4 * LEAF:
+            return self._merged_by_heap(data)
         parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        scores = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            best = min((s for s in scores if s is not None), default=None)
-            if best is None:
-                return parts
+        rank = self.ranks.get
+        scores = [rank(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while scores:
+            best = min(scores)
+            if best == NO_RANK:
+                break
             i = scores.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
             del scores[i]
             if i:
-                scores[i - 1] = ranks.get(parts[i - 1] + parts[i])
+                scores[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
             if i < len(scores):
-                scores[i] = ranks.get(parts[i] + parts[i + 1])
+                scores[i] = rank(parts[i] + parts[i + 1], NO_RANK)
+        return parts
+
+    def _merged_by_heap(self, data: bytes) -> list[bytes]:
+        """The same for windows that have grown long: pairs wait in a heap, parts are linked by their places."""
+        n = len(data)
+        rank = self.ranks.get
+        end = list(range(1, n + 1))  # of the part that starts here; 0 where none starts
+        before = list(range(-1, n - 1))
+        waiting = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, stop = heapq.heappop(waiting)
+            middle = end[i]
+            # outdated where either part has changed meanwhile
+            if not middle or middle >= n or end[middle] != stop:
+                continue
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(data[i : end[stop]])) is not None:
+                    heapq.heappush(waiting, (r, i, end[stop]))
+            if (p := before[i]) >= 0 and (r := rank(data[p:stop])) is not None:
+                heapq.heappush(waiting, (r, p, stop))
+        return [data[i : end[i]] for i in range(n) if end[i]]
 
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether the two tokens side by side stay as they are."""
@@ -159,7 +187,10 @@ def decoded(rows: DataFrame, keys: list[str], ids: str, ranks: dict[bytes, int],
     def run(batches):
         for batch in batches:
             lists = batch.column(len(keys))
-            values = [concatenated([table[i] for i in l.as_py() or ()]) for l in lists]
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            values = [
+                concatenated(list(map(table.__getitem__, flat[a:b].tolist()))) for a, b in zip(offsets, offsets[1:])
+            ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(values, pa.binary())], [*keys, ids, out]
             )

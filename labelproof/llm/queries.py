@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import decontam, fingerprint, langid
+from labelproof.llm import bpe, decontam, fingerprint, langid
 from labelproof.schemas import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query("op1_byte_level_bpe")
+def op1_byte_level_bpe(t: Tables) -> DataFrame:
+    encoder = bpe.BytePairEncoder(bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
+    ids = bpe.encoded(t.documents, ["doc_id"], "text", encoder)
+    return bpe.decoded(ids, ["doc_id"], "ids", encoder.ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP5_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(
