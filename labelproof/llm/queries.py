@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, decontam, fingerprint, langid
+from labelproof.llm import bpe, decontam, fingerprint, langid, warc
 from labelproof.schemas import Tables
+from labelproof.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +41,32 @@ def op1_byte_level_bpe(t: Tables) -> DataFrame:
     )
 
 
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, octet_length(encode(coalesce(html, ''))) AS n,
+    sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  nullif(first, page_id) AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest AND p.n >= 100
+"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3_warc(t: Tables) -> DataFrame:
+    folder = scratch_path(t.spark, "warc")
+    warc.write(t.pages, "page_id", "url", "html", folder)
+    carried = F.col("kind") == "response"
+    return warc.records(warc.read(t.spark, folder)).select(
+        F.col("page").cast("long").alias("page_id"),
+        F.when(carried, F.octet_length("payload").cast("long")).otherwise(F.col("stated_bytes")).alias("payload_bytes"),
+        F.when(carried, F.sha2("payload", 256)).otherwise(F.col("stated_digest")).alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 OP5_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(
