@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, decontam, fingerprint, langid, pii, warc
+from labelproof.llm import bpe, decontam, fingerprint, langid, pii, secret_scan, warc
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path
 
@@ -67,6 +67,32 @@ def op3_warc(t: Tables) -> DataFrame:
     )
 
 
+def listed(spans, kinds: tuple[str, ...]):
+    """Spans as kind:start:end, comma-joined, by start and then kind as listed."""
+    places = F.array(*map(F.lit, kinds))
+    keyed = F.transform(
+        spans,
+        lambda s: F.struct(s["start"].alias("a"), F.array_position(places, s["kind"]).alias("k"), s["end"].alias("b")),
+    )
+    named = F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", F.get(places, s["k"].cast("int") - 1), s["a"], s["b"]))
+    return F.array_join(named, ",")
+
+
+def counted(spans, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(t: Tables) -> DataFrame:
+    found = secret_scan.spans(t.documents, "doc_id", "text")
+    return found.select(
+        "doc_id",
+        *(counted("base", kind).alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]),
+        F.sha2(listed("base", secret_scan.KINDS), 256).alias("base_sha256"),
+        listed(F.concat("base", "added"), secret_scan.KINDS).alias("spans"),
+    )
+
+
 OP5_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(
@@ -124,21 +150,6 @@ def op6_language_id(t: Tables) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def listed(spans, kinds: tuple[str, ...]):
-    """Spans as kind:start:end, comma-joined, by start and then kind as listed."""
-    places = F.array(*map(F.lit, kinds))
-    keyed = F.transform(
-        spans,
-        lambda s: F.struct(s["start"].alias("a"), F.array_position(places, s["kind"]).alias("k"), s["end"].alias("b")),
-    )
-    named = F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", F.get(places, s["k"].cast("int") - 1), s["a"], s["b"]))
-    return F.array_join(named, ",")
-
-
-def counted(spans, kind: str):
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-
-
 @query("op7_pii")
 def op7_pii(t: Tables) -> DataFrame:
     model = pii.fit(t.documents, "doc_id", "text")
