@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, decontam, fingerprint, langid, pii, secret_scan, warc
+from labelproof.llm import bpe, decontam, fingerprint, langid, line_dedup, pii, secret_scan, warc
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path
 
@@ -162,6 +162,17 @@ def op7_pii(t: Tables) -> DataFrame:
     )
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(t: Tables) -> DataFrame:
+    return line_dedup.deduplicated(t.documents, "doc_id", "text").select(
+        "doc_id",
+        F.col("__lines").alias("n_lines"),
+        F.col("__removed").alias("n_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+        F.char_length("text").cast("long").alias("kept_chars"),
+    )
+
+
 @query("op10_fingerprints")
 def op10_fingerprints(t: Tables) -> DataFrame:
     return fingerprint.edited_and_next(t.documents, "doc_id", "text")
