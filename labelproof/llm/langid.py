@@ -111,8 +111,15 @@ def fit(
     """Dictionaries from the rows where ``training`` holds and the language is known."""
     labelled = docs.filter(training & F.col(language).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy("language").orderBy("draw", "id")
+    drawn = labelled.select(F.col(language).alias("language"), F.col(key).alias("id"), F.xxhash64(key).alias("draw"))
+    counts = {r.language: r["count"] for r in drawn.groupBy("language").count().collect()}
+    # rows of a frequent language are thinned by their hashed id before they meet in one task; a language's share is
+    # large enough to leave sample_rows of it
+    share = F.lit(1.0)
+    for name, count in counts.items():
+        share = F.when(F.col("language") == name, min(1.0, (1.5 * sample_rows + 100) / count)).otherwise(share)
     ids = (
-        labelled.select(F.col(language).alias("language"), F.col(key).alias("id"), F.xxhash64(key).alias("draw"))
+        drawn.filter(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
         .withColumn("nth", F.row_number().over(order))
         .filter(F.col("nth") <= sample_rows)
         .select("id")
