@@ -11,9 +11,9 @@ result is each document's set size and the smallest id it is linked with over an
 3. Shingles are ordered by frequency. Classes that link share one of each other's rarest 25 % (+1) shingles, so their
    inverted lists hold all candidates. In rounds, the classes of a list are compared with one of them, its hub; what
    links is one component and needs no more comparing. Two rounds of hubs are followed by one for the pairs of a list
-   that are not yet connected. No round leaves out a pair for its number; it is left out only where it is connected
-   already or where the sizes or the distances to a common hub (Jaccard distance obeys the triangle inequality) rule
-   a link out.
+   that are not yet connected. A pair is left out only where it is connected already, was compared before, or where
+   its sizes rule a link out. So a group of near copies takes a star of comparisons and not all its pairs; what the
+   last round still pairs are classes that consist of shingles of other classes and yet are not similar to them.
 4. A comparison is a T-occurrence search (``divide_skip``): the hub's shingles are the query, the candidates' shingles
    make the lists, short lists are merged by a heap that skips ids which cannot reach the count, long lists are probed
    by binary search. Candidates of one hub are dealt into blocks of bounded size.
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.llm.components import components
+from labelproof.llm.packing import from_planes, packed, planes, range_edges, unpacked
 from labelproof.session import shuffle_width, stored
 
 WORDS = 5
@@ -105,25 +106,6 @@ def set_sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"key {kind}, n_shingles bigint, digest binary")
 
 
-def planes(values: np.ndarray) -> bytes:
-    """The array's bytes by significance: the high ones of small numbers are zeros that compress."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-
-
-def from_planes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-
-
-def packed(hashes: np.ndarray) -> bytes:
-    """Sorted numbers as the bytes of their differences."""
-    return planes(np.diff(hashes, prepend=np.uint64(0)))
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data, np.uint64), dtype=np.uint64)
-
-
 PARCEL = "bucket int, chunk bigint, kind int, a binary, b binary, c binary"
 ARROW_PARCEL = pa.schema(
     [("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32())] + [(n, pa.binary()) for n in "abc"]
@@ -145,8 +127,7 @@ def _parcels(buckets: int, chunk: int, sets: dict[bytes, np.ndarray]):
     if frequent.any():
         yield own, chunk, PAIRS, packed(hashes[frequent]), planes(classes[frequent]), None
     # the hash space is cut into ranges, so the buckets are slices of the sorted hashes
-    width = (1 << 64) // buckets + 1
-    edges = np.array([min(i * width, (1 << 64) - 1) for i in range(1, buckets)], np.uint64)
+    edges = range_edges(buckets)
     for kind, values, extra in (
         (ENTRIES, hashes[~frequent], classes[~frequent]),
         (COUNTS, hashes[starts[counts >= FREQUENT]], counts[counts >= FREQUENT].astype(np.uint32)),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, decontam, fingerprint, langid, line_dedup, ngram_join, pii, secret_scan, warc
+from labelproof.llm import bpe, decontam, fingerprint, hpy_lm, langid, line_dedup, ngram_join, pii, secret_scan, warc
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path
 
@@ -202,6 +202,21 @@ def op8_line_dedup(t: Tables) -> DataFrame:
     )
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(t: Tables) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    model = hpy_lm.fit(t.documents, "doc_id", "text", ~held_out)
+    return hpy_lm.scores(t.documents, "doc_id", "text", model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.setting.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query("op10_fingerprints")
 def op10_fingerprints(t: Tables) -> DataFrame:
     return fingerprint.edited_and_next(t.documents, "doc_id", "text")

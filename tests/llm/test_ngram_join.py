@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from labelproof.llm import ngram_join
+from labelproof.llm import ngram_join, packing
 from labelproof.llm.components import components
 
 
@@ -106,7 +106,7 @@ def test_rows(spark):
 def test_packing():
     rng = np.random.default_rng(1)
     values = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
-    assert (ngram_join.unpacked(ngram_join.packed(values)) == values).all()
+    assert (packing.unpacked(packing.packed(values)) == values).all()
 
 
 def test_components(spark):
