@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelproof.llm.components import components
@@ -396,6 +396,18 @@ def linked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group, with all columns."""
-    firsts = linked(docs, key, text).filter(F.col("component_id").eqNullSafe(F.col(key))).select(F.col(key).alias("__key"))
-    return docs.join(firsts.distinct(), docs[key].eqNullSafe(F.col("__key")), "left_semi")
+    """The rows of ``docs`` that are the first of their group, with all columns.
+
+    Of rows that repeat a key the one with the smallest text stays; rows with a null key all stay where no other text
+    is like theirs.
+    """
+    own = F.col("component_id").eqNullSafe(F.col(key))
+    firsts = stored(linked(docs, key, text).filter(own).groupBy(key).agg(F.count("*").alias("__rows")), "firsts")
+    named = firsts.withColumnRenamed(key, "__key")
+    repeated = named.filter("__rows > 1 AND __key IS NOT NULL")
+    if repeated.isEmpty():
+        return docs.join(named, docs[key].eqNullSafe(F.col("__key")), "left_semi")
+    single = docs.join(named.filter("__rows = 1 OR __key IS NULL"), docs[key].eqNullSafe(F.col("__key")), "left_semi")
+    order = Window.partitionBy(key).orderBy(F.col(text))
+    several = docs.join(repeated, docs[key] == F.col("__key"), "left_semi").withColumn("__nth", F.row_number().over(order))
+    return single.unionByName(several.filter("__nth = 1").drop("__nth"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelproof.llm import bpe, decontam, fingerprint, hpy_lm, langid, line_dedup, ngram_join, pii, secret_scan, warc
+from labelproof.llm.folds import fold
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path
 
@@ -26,7 +28,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+VOCABULARY = corpus_pipeline.VOCABULARY
 
 
 @query("op1_byte_level_bpe")
@@ -166,11 +168,6 @@ def op5_benchmark_decontamination(t: Tables) -> DataFrame:
     )
 
 
-def fold(key: str, folds: int):
-    """The fold of a row: crc32 of its key as text, modulo ``folds``."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
-
-
 @query("op6_language_id")
 def op6_language_id(t: Tables) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
@@ -220,3 +217,8 @@ def op9_lm_scoring(t: Tables) -> DataFrame:
 @query("op10_fingerprints")
 def op10_fingerprints(t: Tables) -> DataFrame:
     return fingerprint.edited_and_next(t.documents, "doc_id", "text")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from labelproof.llm import ngram_join, packing
 from labelproof.llm.components import components
@@ -100,6 +101,8 @@ def test_rows(spark):
     kept = ngram_join.representatives(docs, "doc_id", "text")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6]
+    twice = docs.filter("doc_id = 5").withColumn("text", F.lit("one two three four five"))
+    assert [r.doc_id for r in ngram_join.representatives(twice, "doc_id", "text").collect()] == [5]
     assert ngram_join.linked(docs.limit(0), "doc_id", "text").count() == 0
 
 
