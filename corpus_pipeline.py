@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelproof.llm import bpe, decontam, langid, line_dedup, ngram_join
+from labelproof.llm.columns import unused
 from labelproof.llm.folds import fold
 from labelproof.session import stored
 
@@ -28,12 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; documents of which no word is left go."""
-    cut = line_dedup.deduplicated(docs, "doc_id", "text")
-    left = cut.filter((F.col("__removed") == 0) | F.col("text").rlike(WORD))
-    if "n_chars" in docs.columns:
-        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        left = left.withColumn("n_chars", F.when(F.col("__removed") > 0, size).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    removed = unused(docs, "n_removed")
+    cut = line_dedup.deduplicated(docs, "doc_id", "text", lines=unused(docs, "n_lines"), removed=removed)
+    left = cut.filter((F.col(removed) == 0) | F.col("text").rlike(WORD))
+    size = F.char_length("text").cast("long")
+    return left.withColumn("n_chars", F.when(F.col(removed) > 0, size).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelproof.llm.columns import by_place
 from labelproof.session import stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -151,16 +152,21 @@ def later_copies(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORD
     return deleted.groupBy(*DOC).agg(F.collect_set("pos").alias("deleted"))
 
 
-def deduplicated(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the later copies cut out of ``text``, and the columns ``__lines`` and ``__removed`` (numbers of lines)."""
-    marks = [F.xxhash64(key).alias("__d1"), F.xxhash64(F.lit("text"), text).alias("__d2")]
-    cuts = later_copies(docs, key, text, min_words).toDF("__d1", "__d2", "__deleted")
-    rows = docs.select("*", *marks).join(cuts, ["__d1", "__d2"], "left")
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__deleted"))
-    cut_text = F.array_join(F.transform(F.array(lines), lambda all_: F.transform(kept, lambda i: F.get(all_, i)))[0], "\n")
-    return rows.select(
-        *(F.when(F.col("__deleted").isNotNull(), cut_text).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size("__deleted"), F.lit(0)).cast("long").alias("__removed"),
-    )
+def deduplicated(
+    docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS, lines: str = "n_lines", removed: str = "n_removed"
+) -> DataFrame:
+    """``docs`` with the later copies cut out of ``text``, and two columns: numbers of lines, and of lines cut out."""
+    rows, place = by_place(docs)
+    value = F.col(place[text])
+    cuts = later_copies(rows, place[key], place[text], min_words)
+    marked = rows.select("*", *_doc_keys(place[key], place[text])).join(cuts, DOC, "left")
+    parts = F.split(value, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("deleted"))
+    # the lambda variable holds the lines, so that they are split once
+    chosen = F.transform(F.array(parts), lambda held: F.transform(kept, lambda i: F.get(held, i)))[0]
+    cut_text = F.when(F.col("deleted").isNotNull(), F.array_join(chosen, "\n")).otherwise(value)
+    return marked.select(
+        *(cut_text if c == place[text] else F.col(c) for c in place.values()),
+        F.when(value.isNull(), 0).otherwise(F.size(parts)).cast("long"),
+        F.when(F.col("deleted").isNull(), 0).otherwise(F.size("deleted")).cast("long"),
+    ).toDF(*docs.columns, lines, removed)

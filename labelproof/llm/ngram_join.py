@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelproof.llm.columns import by_place
 from labelproof.llm.components import components
 from labelproof.llm.packing import from_planes, packed, planes, range_edges, unpacked
 from labelproof.session import shuffle_width, stored
@@ -401,13 +402,16 @@ def representatives(docs: DataFrame, key: str, text: str) -> DataFrame:
     Of rows that repeat a key the one with the smallest text stays; rows with a null key all stay where no other text
     is like theirs.
     """
-    own = F.col("component_id").eqNullSafe(F.col(key))
-    firsts = stored(linked(docs, key, text).filter(own).groupBy(key).agg(F.count("*").alias("__rows")), "firsts")
-    named = firsts.withColumnRenamed(key, "__key")
-    repeated = named.filter("__rows > 1 AND __key IS NOT NULL")
-    if repeated.isEmpty():
-        return docs.join(named, docs[key].eqNullSafe(F.col("__key")), "left_semi")
-    single = docs.join(named.filter("__rows = 1 OR __key IS NULL"), docs[key].eqNullSafe(F.col("__key")), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.col(text))
-    several = docs.join(repeated, docs[key] == F.col("__key"), "left_semi").withColumn("__nth", F.row_number().over(order))
-    return single.unionByName(several.filter("__nth = 1").drop("__nth"))
+    rows, place = by_place(docs)
+    id_, names = place[key], docs.columns
+    own = F.col("component_id").eqNullSafe(F.col(id_))
+    firsts = linked(rows, id_, place[text]).filter(own).groupBy(F.col(id_).alias("first"))
+    firsts = stored(firsts.agg(F.count("*").alias("copies")), "firsts")
+    same = F.col(id_).eqNullSafe(F.col("first"))
+    several = firsts.filter("copies > 1 AND first IS NOT NULL")
+    if several.isEmpty():
+        return rows.join(firsts, same, "left_semi").toDF(*names)
+    single = rows.join(firsts.filter("copies = 1 OR first IS NULL"), same, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_).orderBy(place[text])).alias("nth")
+    one = rows.join(several, same, "left_semi").select("*", nth).filter("nth = 1").drop("nth")
+    return single.unionByName(one).toDF(*names)

@@ -192,8 +192,8 @@ def op7_pii(t: Tables) -> DataFrame:
 def op8_line_dedup(t: Tables) -> DataFrame:
     return line_dedup.deduplicated(t.documents, "doc_id", "text").select(
         "doc_id",
-        F.col("__lines").alias("n_lines"),
-        F.col("__removed").alias("n_removed"),
+        "n_lines",
+        "n_removed",
         F.sha2("text", 256).alias("kept_sha256"),
         F.char_length("text").cast("long").alias("kept_chars"),
     )

@@ -76,7 +76,7 @@ def test_rows(spark):
     found = line_dedup.deduplicated(docs, "doc_id", "text")
     got = {}
     for r in found.collect():
-        got.setdefault(r.doc_id, []).append((r.text, r["__lines"], r["__removed"]))
+        got.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_removed))
     assert got[None] == [(passage, 8, 0)]
     assert got[1] == [("own text\nown end", 10, 8)] * 2
     assert got[2] == [(None, 0, 0)] and got[3] == [("", 1, 0)]
@@ -84,7 +84,7 @@ def test_rows(spark):
     # 26 short lines make a passage, which repeats inside the text: its first copy stays
     assert got[5][0][0].startswith("short line\n" * 26) and got[5][0][2] == 2974
     assert got[6] == [("own text", 1, 0)]
-    assert found.columns == ["doc_id", "text", "deleted", "__lines", "__removed"]
+    assert found.columns == ["doc_id", "text", "deleted", "n_lines", "n_removed"]
 
 
 def test_empty_table(spark):
