@@ -21,9 +21,11 @@ def array_sum(values: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Softmax, shifted by the maximum so large scores do not overflow."""
-    shifted = F.transform(scores, lambda x: F.exp(x.cast("double") - F.array_max(scores).cast("double")))
-    total = array_sum(shifted)
-    return F.transform(shifted, lambda x: x / total)
+    # maximum and total are bound as lambda variables, so each is worked out once per array
+    highest = F.array(F.array_max(scores).cast("double"))
+    shifted = F.transform(highest, lambda top: F.transform(scores, lambda x: F.exp(x.cast("double") - top)))[0]
+    totals = F.transform(F.array(shifted), lambda e: F.struct(e.alias("e"), array_sum(e).alias("total")))
+    return F.transform(totals, lambda s: F.transform(s["e"], lambda x: x / s["total"]))[0]
 
 
 def finite(x: Column) -> Column:

@@ -158,6 +158,12 @@ def error_directions(predictions: DataFrame, **roles: str) -> DataFrame:
     return wrong.withColumnRenamed("rows", "errors").orderBy(F.desc("errors"), "truth", "predicted")
 
 
+def reaches(confidence: Column, threshold: float) -> Column:
+    """Whether a confidence is a number of at least the threshold; null and NaN reach none."""
+    number = confidence.cast("double")
+    return F.coalesce((number >= F.lit(float(threshold))) & ~F.isnan(number), F.lit(False))
+
+
 def threshold_sweep(
     predictions: DataFrame,
     thresholds: Sequence[float] = THRESHOLDS,
@@ -175,7 +181,7 @@ def threshold_sweep(
     """
     reached = F.lit(0)
     for t in thresholds:
-        reached = reached + (F.col(confidence) >= F.lit(float(t))).cast("int")
+        reached = reached + reaches(F.col(confidence), t).cast("int")
     bins = predictions.groupBy(reached.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(correct)).alias("good")
     )
@@ -278,7 +284,7 @@ def uncertainty_by_class(
     confidence: str = "confidence",
     correct: str = "correct",
 ) -> DataFrame:
-    accepted = F.col(confidence) >= F.lit(float(threshold))
+    accepted = reaches(F.col(confidence), threshold)
     counted = predictions.groupBy(F.col(truth).alias("label")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(accepted).alias("accepted"),
@@ -306,7 +312,7 @@ def overall_result(
     latency: str = "inference_ms",
 ) -> DataFrame:
     """One row of totals: sizes, accuracy, latency, coverage and both kinds of mistakes."""
-    accepted = F.col(confidence) >= F.lit(float(threshold))
+    accepted = reaches(F.col(confidence), threshold)
     one = predictions.agg(
         F.count(F.lit(1)).alias("rows"),
         F.countDistinct(entity).alias("entities"),
@@ -340,7 +346,7 @@ def mistakes(
     predictions: DataFrame, threshold: float, *, confidence: str = "confidence", correct: str = "correct"
 ) -> DataFrame:
     """Every wrong row tagged as confident or low-confidence mistake."""
-    kind = F.when(F.col(confidence) >= F.lit(float(threshold)), "confident_mistake").otherwise("low_confidence_mistake")
+    kind = F.when(reaches(F.col(confidence), threshold), "confident_mistake").otherwise("low_confidence_mistake")
     return predictions.filter(~F.col(correct)).withColumn("example_group", kind)
 
 
@@ -370,15 +376,17 @@ def best_run(runs: DataFrame, f1: str, accuracy: str, order: str) -> DataFrame:
 
 
 def early_stop(
-    history: DataFrame, run: str, epoch: str, metric: str, *, patience: int = 4, delta: float = 1e-4, max_epochs: int = 1000
+    history: DataFrame, run: str, epoch: str, metric: str, *, patience: int = 4, delta: float = 1e-4, max_epochs: int = 100_000
 ) -> DataFrame:
     """Replay early stopping per run: best epoch, epochs used, whether it stopped early.
 
-    A run has one row per epoch and at most ``max_epochs`` of them, so the
-    ordered array of a run has a fixed size bound.
+    A run's epochs are put in one ordered array, so a run of more than
+    ``max_epochs`` rows is an error, raised before any array is built.
     """
+    longest = history.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    within = F.when(longest > max_epochs, F.raise_error(F.lit(f"a run has more than {max_epochs} epochs")).cast("boolean")).otherwise(True)
     point = F.struct(F.col(epoch).cast("bigint").alias("epoch"), F.col(metric).cast("double").alias("score"))
-    runs = history.filter(F.col(epoch) <= max_epochs).groupBy(run).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    runs = history.filter(within).groupBy(run).agg(F.array_sort(F.collect_list(point)).alias("points"))
     start = F.struct(
         F.lit(float("-inf")).alias("best"),
         F.lit(0).cast("bigint").alias("best_epoch"),

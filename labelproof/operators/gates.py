@@ -260,25 +260,34 @@ def self_check(df: DataFrame, settings: SelfCheck, documents: DataFrame | None =
 
 
 def _evidence_checks(documents: DataFrame, keywords: dict[str, Sequence[str]]) -> list[DataFrame]:
-    spark = documents.sparkSession
-    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(k) for k in ks]).alias("ks")) for n, ks in keywords.items()])
-    expected = spark.range(1).select(F.inline(wanted))
-    found = expected.join(documents.select("name", F.lower("text").alias("text")), "name", "left")
-    present = found.select(
-        F.concat(F.lit("document "), F.col("name")).alias("check_name"),
-        F.when(F.col("text").isNull(), "FAIL").otherwise("PASS").alias("status"),
-        F.col("name").alias("evidence"),
-        F.when(F.col("text").isNull(), "add the document").otherwise("").alias("required_action"),
-    )
-    terms = found.filter(F.col("text").isNotNull()).select("name", "text", F.explode("ks").alias("k"))
-    hit = F.col("text").contains(F.lower("k"))
-    mentions = terms.select(
-        F.concat(F.col("name"), F.lit(" mentions "), F.col("k")).alias("check_name"),
-        F.when(hit, "PASS").otherwise("WARN").alias("status"),
-        F.col("name").alias("evidence"),
-        F.when(hit, "").otherwise("add a clear section").alias("required_action"),
-    )
-    return [present, mentions]
+    """Per name: whether it has a document at all, and whether any of its documents holds each keyword.
+
+    One aggregate row with a flag per configured name and keyword; texts stay on their rows.
+    """
+    named = {name: F.col("name") == name for name in keywords}
+    text = F.lower("text")
+    flags = [F.coalesce(F.bool_or(is_it), F.lit(False)).alias(f"there_{i}") for i, is_it in enumerate(named.values())]
+    rows = []
+    for i, (name, words) in enumerate(keywords.items()):
+        there = F.col(f"there_{i}")
+        for k, word in enumerate(words):
+            holds = named[name] & F.coalesce(text.contains(word.lower()), F.lit(False))
+            flags.append(F.coalesce(F.bool_or(holds), F.lit(False)).alias(f"holds_{i}_{k}"))
+            rows.append((there, F.col(f"holds_{i}_{k}"), f"{name} mentions {word}", name, "add a clear section", "WARN"))
+        rows.append((F.lit(True), there, f"document {name}", name, "add the document", "FAIL"))
+    facts = documents.filter(F.col("name").isin(list(keywords))).agg(*flags)
+    structs = [
+        F.struct(
+            asked.alias("asked"),
+            F.lit(check).alias("check_name"),
+            F.when(passed, "PASS").otherwise(failing).alias("status"),
+            F.lit(name).alias("evidence"),
+            F.when(passed, "").otherwise(action).alias("required_action"),
+        )
+        for asked, passed, check, name, action, failing in rows
+    ]
+    # keywords of a name without documents are not asked for
+    return [facts.select(F.inline(F.array(*structs))).filter("asked").drop("asked")]
 
 
 def _target_check(df: DataFrame, s: SelfCheck, one: DataFrame) -> DataFrame:

@@ -49,16 +49,20 @@ def listed_items(df: DataFrame, column: str, out: str, separator: str = ";") ->
 def compare_runs(
     left: DataFrame, right: DataFrame, key: str, probabilities: str, exact: Sequence[str], tolerance: float
 ) -> DataFrame:
-    """Per item: largest probability difference, exact-field agreement, PASS or FAIL."""
-    other = right.select(key, *[F.col(c).alias(f"__other_{c}") for c in (probabilities, *exact)])
-    joined = left.join(other, key)
+    """Per item of either run: largest probability difference, exact-field agreement, PASS or FAIL.
+
+    An item that one run lacks fails, with ``missing_in`` telling which.
+    """
+    other = right.select(key, F.lit(True).alias("__right"), *[F.col(c).alias(f"__other_{c}") for c in (probabilities, *exact)])
+    joined = left.withColumn("__left", F.lit(True)).join(other, key, "full_outer")
+    lacking = F.when(F.col("__left").isNull(), "left").when(F.col("__right").isNull(), "right").otherwise("")
     same = [F.col(c).eqNullSafe(F.col(f"__other_{c}")).alias(f"same_{c}") for c in exact]
     gap = max_abs_difference(F.col(probabilities), F.col(f"__other_{probabilities}"))
-    checked = joined.select(key, gap.alias("max_abs_difference"), *same)
-    agree = F.lit(True)
+    checked = joined.select(key, lacking.alias("missing_in"), gap.alias("max_abs_difference"), *same)
+    agree = F.col("missing_in") == ""
     for c in exact:
         agree = agree & F.col(f"same_{c}")
-    passed = agree & (F.col("max_abs_difference") <= tolerance)
+    passed = F.coalesce(agree & (F.col("max_abs_difference") <= tolerance), F.lit(False))
     return checked.withColumn("status", F.when(passed, "PASS").otherwise("FAIL"))
 
 

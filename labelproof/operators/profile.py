@@ -97,9 +97,19 @@ def duplicate_groups(df: DataFrame, digest: Column) -> DataFrame:
     )
 
 
+def whole_row_hash(columns: Sequence[str], seed: int = 0) -> Column:
+    """Hash of all columns and of which of them are null (the hash alone skips nulls)."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def row_digest(columns: Sequence[str]) -> Column:
+    """Two independent hashes of a row: 16 bytes to group by instead of the whole row."""
+    return F.struct(whole_row_hash(columns, 1), whole_row_hash(columns, 2))
+
+
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Occurrences after the first of fully equal rows."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    groups = df.groupBy(row_digest(df.columns)).agg(F.count(F.lit(1)).alias("__copies"))
     extra = F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).cast("bigint")
     return groups.agg(F.sum("__copies").alias("rows"), extra.alias("duplicate_rows"))
 
@@ -126,11 +136,12 @@ def column_profile(df: DataFrame) -> DataFrame:
     types = dict(df.dtypes)
 
     def one(column: str) -> DataFrame:
-        values = df.select(F.col(column).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        # long values travel as digests
+        values = df.groupBy(row_digest([column]).alias("v"), F.col(column).isNull().alias("blank")).agg(F.count(F.lit(1)).alias("n"))
         return values.agg(
             F.lit(column).alias("column"),
             F.lit(types[column]).alias("dtype"),
-            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
+            F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
             F.count(F.lit(1)).alias("distinct_values"),
             F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"),
         )

@@ -64,7 +64,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path)
         return True
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 

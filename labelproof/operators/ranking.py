@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelproof.operators.skew import lookup_by_heavy_key
 from labelproof.session import shuffle_width
 
 SLICE = "__slice"
+# parts of a group in a join with one row per group
+SPREAD = 64
 
 
 def hash_draw(seed: int | str, *keys: str) -> Column:
@@ -56,7 +59,7 @@ def value_slice(df: DataFrame, column: str, source: DataFrame | None = None, sli
     as_double = "__slice_key"
     keyed = df.withColumn(as_double, F.col(column).cast("double"))
     points = [i / wanted for i in range(1, wanted)]
-    raw = (df if source is None else source).select(F.col(column).cast("double").alias(as_double))
+    raw = (df if source is None else source).select(F.nanvl(F.col(column).cast("double"), F.lit(None)).alias(as_double))
     cuts = raw.approxQuantile(as_double, points, 1.0 / (2 * wanted))
     inner = sorted(set(cuts))
     if not inner:
@@ -123,12 +126,18 @@ def running_weights(sliced: DataFrame, group: Sequence[str], value: str, weight:
     )
 
 
+def is_number(value: str, df: DataFrame) -> Column:
+    """Neither null nor NaN: the values that ranks and quantiles are made of."""
+    present = F.col(value).isNotNull()
+    return present & ~F.isnan(value) if dict(df.dtypes)[value] in ("double", "float") else present
+
+
 def value_weights(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct non-null values of a column per group with their row counts.
 
     Pre-aggregation: copies of one value collapse map-side, before any shuffle.
     """
-    kept = df.filter(F.col(value).isNotNull())
+    kept = df.filter(is_number(value, df))
     for g in group:
         kept = kept.filter(F.col(g).isNotNull())
     return kept.groupBy(*group, value).agg(F.count(F.lit(1)).alias("weight"))
@@ -190,28 +199,49 @@ def top_rows(
     return out if rank else out.drop(name)
 
 
+def value_counts_with_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """One row per distinct number: its average rank divided by the row count, and its rows."""
+    weights = value_slice(value_weights(df, [], value), value, df)
+    ranked = running_weights(weights, [], value, "weight")
+    middle = F.col("before") + (F.col("weight") + 1) / F.lit(2.0)
+    return ranked.select(F.col(value), (middle / F.col("total")).alias(out), F.col("weight").alias("__rows"))
+
+
 def percent_rank_table(df: DataFrame, value: str, out: str) -> DataFrame:
     """One row per distinct value with its average rank divided by the row count.
 
     Ranks are worked out on (value, count), so neither ties nor a global order
     gather rows in one task.
     """
-    weights = value_slice(value_weights(df, [], value), value, df)
-    ranked = running_weights(weights, [], value, "weight")
-    middle = F.col("before") + (F.col("weight") + 1) / F.lit(2.0)
-    return ranked.select(F.col(value), (middle / F.col("total")).alias(out))
+    return value_counts_with_rank(df, value, out).drop("__rows")
 
 
 def average_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Rank of a value divided by the row count, ties sharing their average rank."""
-    return df.join(percent_rank_table(df, value, out), value, "left")
+    """Rank of a value divided by the row count, ties sharing their average rank; null for a null or NaN value.
+
+    Only numbers are joined: rows without one would meet in a single task.
+    """
+    known = is_number(value, df)
+    ranked = lookup_by_heavy_key(df.filter(known), value_counts_with_rank(df, value, out), value, "__rows").drop("__rows")
+    return ranked.unionByName(df.filter(~known).withColumn(out, F.lit(None).cast("double")))
+
+
+def with_group_row(df: DataFrame, table: DataFrame, group: Sequence[str], *, keep: bool = False) -> DataFrame:
+    """Rows with the one row that ``table`` has for their group; ``keep`` also keeps rows without one.
+
+    Groups may be few and hot, so the rows are not dealt out by group: each is spread over ``SPREAD`` parts, and the
+    table, which has one row per group, is repeated for each part.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).alias("__part")
+    copies = table.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).alias("__part"))
+    return df.select("*", part.cast("bigint").alias("__part")).join(copies, [*group, "__part"], "left" if keep else "inner").drop("__part")
 
 
 def closest_to_median(df: DataFrame, group: Sequence[str], value: str, key: str) -> DataFrame:
     """One row per group: the one nearest the exact group median, lowest key on ties."""
     middle = exact_quantiles(df, group, value, [0.5], ["group_median"])
     distance = F.abs(F.col(value) - F.col("group_median"))
-    near = df.filter(F.col(value).isNotNull()).join(middle, list(group)).withColumn("distance", distance)
+    near = with_group_row(df.filter(is_number(value, df)), middle, group).withColumn("distance", distance)
     return top_rows(near, group, ["distance", key], 1)
 
 
@@ -224,8 +254,8 @@ def accepted_until(df: DataFrame, group: str, order: str, accepted: str, n: int)
     """
     winners = top_rows(df.filter(F.col(accepted)), [group], [order], n, rank="__nth")
     closing = winners.filter(F.col("__nth") == n).select(group, F.col(order).alias("__closing"))
-    joined = df.join(closing, group, "left")
-    return joined.filter(F.col("__closing").isNull() | (F.col(order) <= F.col("__closing"))).drop("__closing")
+    closed = with_group_row(df, closing, [group], keep=True)
+    return closed.filter(F.col("__closing").isNull() | (F.col(order) <= F.col("__closing"))).drop("__closing")
 
 
 def first_accepted(df: DataFrame, entity: str, order: str, accepted: str) -> DataFrame:

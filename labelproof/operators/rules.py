@@ -170,7 +170,7 @@ def admission_rules() -> list[Rule]:
 
 def decide(df: DataFrame, threshold: float, confidence: str = "confidence") -> DataFrame:
     """Accept confident rows; others keep label and probabilities but carry a warning."""
-    accepted = F.col(confidence) >= F.lit(float(threshold))
+    accepted = F.coalesce((F.col(confidence) >= F.lit(float(threshold))) & ~F.isnan(F.col(confidence).cast("double")), F.lit(False))
     return df.withColumns(
         {
             "accepted": accepted,

@@ -55,15 +55,15 @@ def c11(t):
     "c11_difference_hash_vectors",
     "WITH h AS (SELECT vec_id, "
     + ", ".join(
-        "(" + " + ".join(f"(CASE WHEN embedding[{i + 2}] >= embedding[{i + 1}] THEN {1 << (15 - i % 16)} ELSE 0 END)" for i in range(s, s + 16)) + f")::BIGINT AS q{s // 16}"
-        for s in (0, 16, 32)
+        "(" + " + ".join(f"(CASE WHEN embedding[{i + 2}] >= embedding[{i + 1}] THEN {1 << (min(s + 16, 63) - 1 - i)} ELSE 0 END)" for i in range(s, min(s + 16, 63))) + f")::BIGINT AS q{s // 16}"
+        for s in (0, 16, 32, 48)
     )
-    + " FROM embeddings) SELECT vec_id, printf('%04x', q0) || printf('%04x', q1) || printf('%04x', q2) AS hash FROM h",
+    + " FROM embeddings) SELECT vec_id, printf('%04x', q0) || printf('%04x', q1) || printf('%04x', q2) || printf('%04x', q3) AS hash FROM h",
 )
 def c11_vectors(t):
-    bands = vx.difference_hash(F.col("embedding"), 48, 16)
+    bands = vx.difference_hash(F.col("embedding"), 63, 16)
     rows = t.embeddings.select("vec_id", bands.alias("b"))
-    return rows.select("vec_id", F.concat(*[F.lpad(F.lower(F.hex(F.element_at("b", i))), 4, "0") for i in (1, 2, 3)]).alias("hash"))
+    return rows.select("vec_id", F.concat(*[F.lpad(F.lower(F.hex(F.element_at("b", i))), 4, "0") for i in (1, 2, 3, 4)]).alias("hash"))
 
 
 @query(

@@ -78,7 +78,7 @@ def generated(selected):
     """Items generated for the selected entities: every target gets the same plan of seeds and texts."""
     drawn = selected.select("entity", "target", "split").withColumn("draw", rk.hash_draw(42, "entity"))
     # 18 selected entities per target: the window is bounded by the quota
-    ranked = rk.top_rows(drawn, ["target"], ["draw", "entity"], sp.Quotas().total, rank="rank").drop("draw")
+    ranked = rk.top_rows(drawn, ["target"], ["draw", "entity"], sp.QUOTAS.total, rank="rank").drop("draw")
     grid = sp.item_grid(ranked, "rank", ITEMS, GRID_TEXTS)
     planned = sp.augmentation_plan(grid, "item_seed")
     return planned.select(
@@ -174,21 +174,21 @@ def j3(t):
     return gates.blocking_gate(blocking_facts(t))
 
 
-# Evidence keywords of this binding: document names are sources, texts their shortest document.
+# Evidence keywords of this binding: document names are sources, searched in all their documents.
 KEYWORDS = {"src0": ("the", "zzzz"), "src999": ("the",)}
 
 
 def evidence_documents(t):
-    """One document per source: the one with the lowest key."""
-    return rk.top_rows(t.documents, ["source"], ["doc_id"], 1).select(F.col("source").alias("name"), "text")
+    """All documents, named by their source."""
+    return t.documents.select(F.col("source").alias("name"), "text")
 
 
 SQL_SELF = """facts AS (SELECT
    (SELECT count(*) - count(DISTINCT (event_type, user_id, k)) FROM chk) AS dup,
    (SELECT count(*) FROM (SELECT user_id FROM chk WHERE split = 'train' INTERSECT SELECT user_id FROM chk WHERE split <> 'train')) AS shared,
    (SELECT count(*) FILTER (WHERE split = 'train') FROM chk) AS tr, (SELECT count(*) FILTER (WHERE split <> 'train') FROM chk) AS va,
-   (SELECT contains(lower(text), 'the') FROM documents WHERE source = 'src0' ORDER BY doc_id LIMIT 1) AS has_the,
-   (SELECT contains(lower(text), 'zzzz') FROM documents WHERE source = 'src0' ORDER BY doc_id LIMIT 1) AS has_z,
+   (SELECT bool_or(contains(lower(text), 'the')) FROM documents WHERE source = 'src0') AS has_the,
+   (SELECT bool_or(contains(lower(text), 'zzzz')) FROM documents WHERE source = 'src0') AS has_z,
    (SELECT max(ts) FILTER (WHERE split = 'train') < min(ts) FILTER (WHERE split <> 'train') FROM chk) AS chrono) """
 
 
@@ -221,12 +221,12 @@ def j5(t):
 @query(
     "j5_self_check_text",
     """WITH facts AS (SELECT count(*) FILTER (WHERE trim(text) = '') AS empty, count(*) - count(DISTINCT trim(text)) AS dup,
-      count(*) - count(DISTINCT (lang, source, text)) AS rowdup, (SELECT count(DISTINCT lang) FROM documents) AS langs FROM documents) """
+      count(*) - count(DISTINCT (doc_id, text, lang, source, n_chars)) AS rowdup, (SELECT count(DISTINCT lang) FROM documents) AS langs FROM documents) """
     + _gate_sql(
         [
             ("constant columns", "TRUE", "''", "", "WARN"),
             ("exact duplicate rows", "rowdup = 0", "rowdup", "investigate the copies", "WARN"),
-            ("identifier-like columns", "TRUE", "''", "", "MANUAL"),
+            ("identifier-like columns", "FALSE", "'doc_id'", "keep identifiers out of the features", "MANUAL"),
             ("target distribution", "TRUE", "langs", "", "WARN"),
             ("split verification", "FALSE", "'no split column'", "provide split evidence", "MANUAL"),
             ("empty text", "empty = 0", "empty", "remove or justify", "WARN"),
@@ -235,13 +235,14 @@ def j5(t):
     ),
 )
 def j5_text(t):
-    return gates.self_check(t.documents.select("lang", "source", "text"), gates.SelfCheck(kind="text", target="lang", text="text"))
+    return gates.self_check(t.documents, gates.SelfCheck(kind="text", target="lang", text="text"))
 
 
 @query(
     "j5_self_check_numeric",
-    """WITH s AS (SELECT unnest([stddev_samp(l_quantity), stddev_samp(l_extendedprice), stddev_samp(l_discount)]) AS d FROM lineitem),
-    facts AS (SELECT floor(max(d) / min(d))::BIGINT AS ratio, (SELECT count(*) - count(DISTINCT (l_quantity, l_extendedprice, l_discount)) FROM lineitem) AS dup FROM s) """
+    """WITH s AS (SELECT unnest([stddev_samp(l_orderkey), stddev_samp(l_partkey), stddev_samp(l_suppkey), stddev_samp(l_linenumber),
+      stddev_samp(l_quantity), stddev_samp(l_extendedprice), stddev_samp(l_discount), stddev_samp(l_tax)]) AS d FROM lineitem),
+    facts AS (SELECT floor(max(d) / min(d))::BIGINT AS ratio, (SELECT sum(n - 1) FROM (SELECT COLUMNS(*), count(*) AS n FROM lineitem GROUP BY ALL)) AS dup FROM s) """
     + _gate_sql(
         [
             ("constant columns", "TRUE", "''", "", "WARN"),
@@ -255,7 +256,7 @@ def j5_text(t):
     ),
 )
 def j5_numeric(t):
-    return gates.self_check(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount"), gates.SelfCheck(kind="unsupervised"))
+    return gates.self_check(t.lineitem, gates.SelfCheck(kind="unsupervised"))
 
 
 @query(
@@ -341,7 +342,7 @@ def j9(t):
 
 @query(
     "m2_resolver_audit",
-    """WITH r AS (SELECT lang || '-' || source AS name, min(doc_id) AS doc_id FROM documents WHERE n_chars > 200 GROUP BY 1),
+    """WITH r AS (SELECT lang || '-' || source AS name, min(doc_id) AS doc_id FROM documents GROUP BY 1),
     e AS (SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS target, regexp_extract(url, '/([a-z]{2})/', 1) || '-src' || (page_id % 25) AS name FROM pages),
     a AS (SELECT e.*, r.doc_id, CASE WHEN r.doc_id IS NULL THEN 'not found' WHEN r.doc_id % 7 = 0 THEN 'does not render' ELSE '' END AS reason FROM e LEFT JOIN r USING (name)),
     c AS (SELECT *, coalesce(sum(CASE WHEN reason = '' THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)
@@ -350,8 +351,7 @@ def j9(t):
 def m2(t):
     """The resolver is a lookup table from entity name to path, so it can be swapped and joins at any size."""
     resolver = (
-        t.documents.filter("n_chars > 200")
-        .groupBy(F.concat_ws("-", "lang", "source").alias("name"))
+        t.documents.groupBy(F.concat_ws("-", "lang", "source").alias("name"))
         .agg(F.min("doc_id").alias("doc_id"))
         .withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")))
     )

@@ -29,7 +29,7 @@ def fitted(t: Tables) -> PipelineModel:
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _FITTED:
         train = vectors(t).filter("split = 'train'").select("vec_id", "label", "embedding").persist()
-        _FITTED[key] = ml.fit_classifier(train, "label", "embedding", ml.Experiment("reference", max_iter=50))
+        _FITTED[key] = ml.fit_classifier(train, "label", "embedding", ml.Experiment("reference", max_iter=500))
         train.unpersist()
     return _FITTED[key]
 
@@ -75,9 +75,9 @@ def k5(t):
 
 
 EXPERIMENTS = (
-    ml.Experiment("reference", max_iter=25),
-    ml.Experiment("half the dimensions", max_iter=25, dimensions=32),
-    ml.Experiment("stronger regularisation", c=0.2, max_iter=25),
+    ml.Experiment("reference", max_iter=500),
+    ml.Experiment("half the dimensions", max_iter=500, dimensions=32),
+    ml.Experiment("stronger regularisation", c=0.2, max_iter=500),
 )
 
 

@@ -49,7 +49,7 @@ def f2_target(t):
 def f3(t):
     rows = docs(t).select("item_id", "target", "n_chars")
     totals = rows.groupBy("target").agg(F.sum("n_chars").alias("target_chars"))
-    return rows.join(totals, "target")
+    return rk.with_group_row(rows, totals, ["target"])
 
 
 @query(
@@ -79,7 +79,8 @@ def difficulty(t):
     tops = one_row(e.agg(F.max(F.abs("rotation_degrees")).alias("mr"), F.max(blur).alias("mb")))
     by_value = rk.percent_rank_table(e.select("value"), "value", "pv")
     by_size = rk.percent_rank_table(e.select("actual_font_size"), "actual_font_size", "pf")
-    ranked = e.join(by_value, "value").join(by_size, "actual_font_size")
+    # sizes are few, so their rows are spread; an item without value or size keeps its row with a null score
+    ranked = rk.with_group_row(e.join(by_value, "value", "left"), by_size, ["actual_font_size"], keep=True)
     tiny = F.lit(1e-9)
     score = (
         (F.lit(1.0) - F.col("pv"))
@@ -99,13 +100,13 @@ def f5(t):
 @query(
     "f6_hardest_per_target",
     "WITH {effects}, " + SQL_DIFFICULTY + """, top AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(difficulty, 9) DESC, item_id) AS r FROM scored)
-    SELECT item_id, target, round(difficulty, 9) AS difficulty FROM top WHERE r <= 3 ORDER BY target, r LIMIT 15""",
+    SELECT item_id, target, round(difficulty, 9) AS difficulty FROM top WHERE r <= 3 ORDER BY target, r""",
 )
 def f6(t):
     scored = f5(t)
     top = rk.top_rows(scored, ["target"], [F.desc("difficulty"), "item_id"], 3, rank="r")
     once = sp.distinct_first(top, ["item_id"], ["r"])
-    return once.orderBy("target", "r").limit(15).drop("r")
+    return once.orderBy("target", "r").drop("r")
 
 
 @query(
@@ -117,7 +118,7 @@ def f6(t):
 def f7(t):
     rows = manifest(t).select("item_id", "target", "split", "value")
     middle = rk.exact_quantiles(rows, ["target", "split"], "value", [0.5], ["md"]).withColumn("group_median", F.round("md", 9))
-    near = rows.join(middle, ["target", "split"]).withColumn("gap", F.round(F.abs(F.col("value") - F.col("md")), 9))
+    near = rk.with_group_row(rows, middle, ["target", "split"]).withColumn("gap", F.round(F.abs(F.col("value") - F.col("md")), 9))
     return rk.top_rows(near, ["target", "split"], ["gap", "item_id"], 1).select("target", "split", "item_id", "value", "group_median")
 
 
@@ -192,10 +193,9 @@ def g2(t):
     return cells.orderBy(rs.in_order("target", CLASSES[::-1]), rs.in_order("split", SPLITS))
 
 
-@query("g3_case_insensitive_sort", "SELECT doc_id, substr(text, 1, 20) AS lead FROM documents ORDER BY lower(substr(text, 1, 20)), substr(text, 1, 20), doc_id")
+@query("g3_case_insensitive_sort", "SELECT doc_id, text FROM documents ORDER BY lower(text), text, doc_id")
 def g3(t):
-    rows = t.documents.select("doc_id", F.substring("text", 1, 20).alias("lead"))
-    return rows.orderBy(F.lower("lead"), "lead", "doc_id")
+    return t.documents.select("doc_id", "text").orderBy(F.lower("text"), "text", "doc_id")
 
 
 @query(
@@ -286,7 +286,7 @@ REQUIRED = ("entity", "target", "path", "source", "license")
 
 def quota(t):
     """12/3/3 entities per market segment of the usable catalogue."""
-    return sp.quota_split(catalogue(t), "entity", "target", SEGMENTS, sp.Quotas(), 42, required=REQUIRED)
+    return sp.quota_split(catalogue(t), "entity", "target", SEGMENTS, sp.QUOTAS, 42, required=REQUIRED)
 
 
 @query(
@@ -320,7 +320,7 @@ def i2_excluded(t):
 )
 def i3(t):
     selected, _ = quota(t)
-    return sp.balance_check(selected, "entity", "target", SEGMENTS, sp.Quotas())
+    return sp.balance_check(selected, "entity", "target", SEGMENTS, sp.QUOTAS)
 
 
 @query(

@@ -40,7 +40,7 @@ def b1(t):
 @query(
     "b2_blank_required_rows",
     """WITH x AS (SELECT conv_id, turn, trim(coalesce(role, '')) AS role,
-      trim(coalesce(CASE WHEN turn % 4 = 3 THEN '  ' ELSE substr(text, 1, 5) END, '')) AS lead,
+      trim(coalesce(CASE WHEN turn % 4 = 3 THEN '  ' ELSE text END, '')) AS lead,
       coalesce(CASE WHEN turn % 5 = 4 THEN NULL ELSE role END, '') AS speaker FROM conversations)
     SELECT conv_id, turn, CASE WHEN lead = '' AND speaker = '' THEN 'lead,speaker' WHEN lead = '' THEN 'lead' ELSE 'speaker' END AS blank_columns
     FROM x WHERE lead = '' OR speaker = ''""",
@@ -49,7 +49,7 @@ def b2(t):
     rows = t.conversations.select(
         "conv_id",
         "turn",
-        F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.substring("text", 1, 5)).alias("lead"),
+        F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.col("text")).alias("lead"),
         F.when(F.col("turn") % 5 == 4, F.lit(None)).otherwise(F.col("role")).alias("speaker"),
     )
     return rules.blank_rows(rows, ["lead", "speaker"]).select("conv_id", "turn", "blank_columns")
@@ -328,14 +328,13 @@ def c8(t):
 
 @query(
     "c9_softmax",
-    """WITH x AS (SELECT vec_id, embedding[1:5] AS s FROM embeddings),
-    e AS (SELECT vec_id, list_transform(s, lambda v: exp(v::DOUBLE - list_max(s)::DOUBLE)) AS p FROM x)
-    SELECT vec_id, round(p[1] / list_sum(p), 9) AS p1, round(p[2] / list_sum(p), 9) AS p2, round(p[3] / list_sum(p), 9) AS p3,
-      round(p[4] / list_sum(p), 9) AS p4, round(p[5] / list_sum(p), 9) AS p5 FROM e""",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: exp(v::DOUBLE - list_max(embedding)::DOUBLE)) AS p FROM embeddings),
+    n AS (SELECT vec_id, p, list_sum(p) AS total FROM e)
+    SELECT vec_id, i AS dimension, round(p[i + 1] / total, 9) AS p FROM n, unnest(range(0, len(p))) AS u(i)""",
 )
 def c9(t):
-    rows = t.embeddings.select("vec_id", vx.softmax(F.slice("embedding", 1, 5)).alias("p"))
-    return rows.select("vec_id", *[F.round(F.element_at("p", i), 9).alias(f"p{i}") for i in range(1, 6)])
+    rows = t.embeddings.select("vec_id", F.posexplode(vx.softmax(F.col("embedding"))).alias("dimension", "p"))
+    return rows.select("vec_id", F.col("dimension").cast("bigint").alias("dimension"), F.round("p", 9).alias("p"))
 
 
 @query(
