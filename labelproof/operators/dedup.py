@@ -23,8 +23,11 @@ A pair is produced once, at the first key and first prefix feature it shares.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +39,47 @@ PROFILE_SIZE = 257
 HASH_BITS = PROFILE_SIZE - 1
 
 
-def word_bucket(word: Column, size: int = PROFILE_SIZE) -> Column:
-    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % size).cast("int")
+PROFILE = "array<struct<b:int,c:bigint>>"
 
 
 def text_profiles(df: DataFrame, key: str, text: str, size: int = PROFILE_SIZE) -> DataFrame:
-    """Per row: content digest and word counts by bucket as sorted ``entries`` (at most ``size``).
+    """Per row with a text: content digest and word counts by bucket as sorted ``entries`` (at most ``size``).
 
-    Words are counted right after the scan, so texts never shuffle: only the
-    counts of a row and its 64-character digest do.
+    A profile depends on its row alone, so it is counted inside the scan task, batch by batch: no shuffle. A word's
+    bucket is the first 32 bits of its MD5 digest modulo ``size``.
     """
-    rows = spread(df.select(key, text)).select(key, F.sha2(text, 256).alias("digest"), F.lower(F.col(text)).alias("__t"))
-    words = rows.select(key, "digest", F.explode(F.split("__t", r"\s+")).alias("w"))
-    # a text without words keeps one row with a null bucket
-    bucket = F.when(F.col("w") != "", word_bucket(F.col("w"), size))
-    counts = words.groupBy(key, "digest", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    entry = F.when(F.col("b").isNotNull(), F.struct("b", "c"))
-    return counts.groupBy(key, "digest").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = spread(df.filter(F.col(text).isNotNull()).select(key, text))
+    lowered = rows.select(key, F.sha2(text, 256).alias("digest"), F.lower(text).cast("binary").alias("t"))
+
+    def counted(batches):
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            numbers, counts, lengths = [], [], []
+            for value in batch.column(2).to_pylist():
+                # the six ASCII blanks part words, as the SQL pattern for blanks does
+                places = []
+                for word in value.split():
+                    place = known.get(word)
+                    if place is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        place = known[word] = int.from_bytes(hashlib.md5(word).digest()[:4]) % size
+                    places.append(place)
+                per = np.bincount(np.array(places, np.int64), minlength=1)
+                filled = np.flatnonzero(per)
+                numbers.append(filled)
+                counts.append(per[filled])
+                lengths.append(len(filled))
+            entry = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(numbers), pa.int32()), pa.array(np.concatenate(counts), pa.int64())], ["b", "c"]
+            )
+            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, entry)], [key, "digest", "entries"]
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    return lowered.mapInArrow(counted, f"`{key}` {kind}, digest string, entries {PROFILE}")
 
 
 def profile_hash(entries: Column, size: int = PROFILE_SIZE) -> Column:
@@ -118,6 +145,26 @@ def squared_norm(entries: Column) -> Column:
     return F.aggregate(entries, F.lit(0).cast("bigint"), lambda a, e: a + e["c"] * e["c"])
 
 
+def rarity(profiles: DataFrame, size: int = PROFILE_SIZE) -> list[int]:
+    """The place of each bucket when buckets are ordered by the number of profiles that fill them, rarest first.
+
+    Collects one number per bucket.
+    """
+    filled = profiles.select(F.explode("entries.b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    uses = {r.b: r.n for r in filled}
+    order = sorted(range(size), key=lambda b: (uses.get(b, 0), b))
+    place = [0] * size
+    for i, b in enumerate(order):
+        place[b] = i
+    return place
+
+
+def by_rarity(entries: Column, place: list[int]) -> Column:
+    """Entries with their buckets numbered by rarity, rarest first: common words end up behind the prefix."""
+    numbers = F.array(*map(F.lit, place))
+    return F.array_sort(F.transform(entries, lambda e: F.struct(F.get(numbers, e["b"]).alias("b"), e["c"].alias("c"))))
+
+
 def profile_prefix(entries: Column, min_similarity: float) -> Column:
     """Features up to the point where the rest cannot reach the similarity on its own."""
     square = squared_norm(entries)
@@ -203,7 +250,8 @@ def near_pairs(
     ``profiles`` has one row per distinct profile with ``bands`` and ``entries``.
     """
     entries = F.col("entries")
-    hashed = profiles.select(key, "bands", profile_prefix(entries, min_similarity).alias("prefix"))
+    rare_first = by_rarity(entries, rarity(profiles))
+    hashed = profiles.select(key, "bands", profile_prefix(rare_first, min_similarity).alias("prefix"))
     found = hash_candidates(hashed, key, max_distance=max_distance, width=width, prefix="prefix", crowd=crowd)
     a = profiles.select(F.col(key).alias("left_id"), entries.alias("le"), squared_norm(entries).alias("ln"))
     # the map is built once per profile, below the join
