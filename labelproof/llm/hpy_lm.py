@@ -44,9 +44,9 @@ RESTAURANTS = 1 << 16
 END = 0x5851F42D4C957F2D
 START = 0x14057B7EF767814F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CACHED_WORDS = 400_000
-CHUNK = 2_500_000  # tokens that a scan task gathers before it sends them
-BUCKET = 3_000_000  # tokens of a bucket or of a part of one, about
+CACHED_WORDS = 200_000
+CHUNK = 1_200_000  # tokens that a scan task gathers before it sends them
+BUCKET = 1_200_000  # tokens of a bucket or of a part of one, about
 ONE_BY_ONE = 64  # customers seated one by one; after them the waiting time for the next table is drawn
 UNIT = 1e-9  # of the sums of the base score
 COUNTS, TOKENS, DIRECTORY = range(3)
