@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelproof.operators.evaluation import share
-from labelproof.operators.ranking import exact_quantiles
+from labelproof.operators.ranking import value_weights, weighted_quantiles
 from labelproof.session import one_row
 
 
@@ -75,13 +75,19 @@ def structure_profile(df: DataFrame, key: str, entity: str, target: str, split:
 
 
 def min_median_max(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """min, exact median and max per group, long form: one row per (group, metric)."""
-    long = df.select(*group, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        list(group), list(metrics), "metric", "v"
-    )
+    """min, exact median and max per group, long form: one row per (group, metric); NaN counts as no value.
+
+    The ends of all metrics come from one aggregate of the wide rows. For the medians rows of equal values are merged
+    per metric before the metrics are put under each other.
+    """
+    wide = df.select(*group, *[F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias(m) for m in metrics])
     keys = [*group, "metric"]
-    ends = _present(long, *group).groupBy(*keys).agg(F.min("v").alias("minimum"), F.max("v").alias("maximum"))
-    return ends.join(exact_quantiles(long, keys, "v", [0.5], ["median"]), keys, "left")
+    both = [x for m in metrics for x in (F.min(m).alias(f"{m}__min"), F.max(m).alias(f"{m}__max"))]
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(f"{m}__min").alias("minimum"), F.col(f"{m}__max").alias("maximum")) for m in metrics]
+    ends = _present(wide, *group).groupBy(*group).agg(*both).select(*group, F.inline(F.array(*rows)))
+    weights = [value_weights(wide, group, m).select(*group, F.lit(m).alias("metric"), F.col(m).alias("v"), "weight") for m in metrics]
+    medians = weighted_quantiles(reduce(lambda a, b: a.unionByName(b), weights), keys, "v", [0.5], ["median"])
+    return ends.join(medians, keys, "left")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

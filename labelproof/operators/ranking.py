@@ -152,8 +152,15 @@ def exact_quantiles(
     aggregation buffer. Here slice totals tell which slices hold the wanted
     ranks and only those slices are ordered.
     """
+    return weighted_quantiles(value_weights(df, group, value), group, value, probabilities, names)
+
+
+def weighted_quantiles(
+    weights: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """``exact_quantiles`` of rows that are already merged to one per (group, value) with their ``weight``."""
     keys = [*group, SLICE]
-    weights = value_slice(value_weights(df, group, value), value, df)
+    weights = value_slice(weights, value)
     sizes = _offsets(weights.groupBy(*keys).agg(F.sum("weight").alias("__size")), group)
     last = F.col("__total") - 1
     wanted = []

@@ -141,6 +141,20 @@ def e20(t):
     return ev.threshold_sweep(validation(t))
 
 
+def dirty(t):
+    """Validation rows of which some have no confidence and some a confidence that is no number."""
+    broken = F.when(F.col("item_id") % 7 == 1, F.lit(None)).when(F.col("item_id") % 7 == 2, F.lit(float("nan")))
+    return validation(t).withColumn("confidence", broken.otherwise(F.col("confidence")))
+
+
+@query(
+    "e20_threshold_sweep_dirty",
+    "WITH {preds}, " + SQL_SWEEP.replace("confidence >= threshold", "(item_id % 7 NOT IN (1, 2) AND confidence >= threshold)") + " SELECT * FROM ruled",
+)
+def e20_dirty(t):
+    return ev.threshold_sweep(dirty(t))
+
+
 @query(
     "e21_threshold_choice",
     "WITH {preds}, " + SQL_SWEEP + """ SELECT threshold AS selected_threshold, rows, accepted, uncertain, coverage, accepted_accuracy

@@ -350,6 +350,19 @@ def i5_changed(t):
     return sp.reproducibility(manifest(t), changed, "target", "item_id", F.concat_ws("|", "item_text", "value"))
 
 
+@query(
+    "i5_null_shift",
+    "SELECT count(*)::BIGINT AS rows, count(*) = 0 AS same_fingerprint FROM documents",
+)
+def i5_null_shift(t):
+    """Values moved from one column to another that was null: another table, though the values are the same."""
+    none = F.lit(None).cast("string")
+    before = t.documents.select(F.col("lang").alias("a"), none.alias("b"))
+    after = t.documents.select(none.alias("a"), F.col("lang").alias("b"))
+    left, right = sp.fingerprint(before), one_row(sp.fingerprint(after))
+    return left.select("rows", (F.col("fingerprint") == right.getField("fingerprint")).alias("same_fingerprint"))
+
+
 # Texts of the item grid of this binding.
 GRID_TEXTS = tuple(f"text {i:02d}" for i in range(12))
 

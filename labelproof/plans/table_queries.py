@@ -293,6 +293,16 @@ def e7(t):
     return out.withColumn("median", F.round("median", 6))
 
 
+@query(
+    "e7_min_median_max_nan",
+    """WITH x AS (SELECT l_returnflag AS g, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS v FROM lineitem)
+    SELECT g AS l_returnflag, 'l_quantity' AS metric, min(v) AS minimum, max(v) AS maximum, round(median(v), 6) AS median FROM x GROUP BY g""",
+)
+def e7_nan(t):
+    rows = t.lineitem.withColumn("l_quantity", F.when(F.col("l_linenumber") == 3, float("nan")).otherwise(F.col("l_quantity")))
+    return profile.min_median_max(rows, ["l_returnflag"], ["l_quantity"]).withColumn("median", F.round("median", 6))
+
+
 @query(
     "e7_min_median_max_overall",
     "WITH " + SQL_MMM + """ SELECT metric, min(v) AS minimum, max(v) AS maximum, round(median(v), 6) AS median FROM x GROUP BY metric""",

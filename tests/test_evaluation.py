@@ -119,6 +119,20 @@ def test_early_stop(spark):
     assert out == {"reference": (14, 15, False), "lower rate": (13, 15, False), "wider": (9, 13, True)}
 
 
+def test_long_runs_are_whole_and_overlong_ones_an_error(spark):
+    history = spark.range(1202).select(F.lit("r").alias("run"), (F.col("id") + 1).alias("epoch"), (F.col("id") * 0.01).alias("f1"))
+    out = ev.early_stop(history, "run", "epoch", "f1").first()
+    assert (out["best_epoch"], out["epochs_trained"], out["stopped_early"]) == (1202, 1202, False)
+    with pytest.raises(Exception, match="more than 1000 epochs"):
+        ev.early_stop(history, "run", "epoch", "f1", max_epochs=1000).collect()
+
+
+def test_confidence_that_is_no_number_reaches_no_threshold(spark):
+    rows = spark.createDataFrame([(0.95, True), (None, True), (float("nan"), True), (0.2, False)], "confidence double, correct boolean")
+    out = ev.threshold_sweep(rows, [0.5]).first()
+    assert (out["rows"], out["accepted"], out["coverage"]) == (4, 1, 0.25)
+
+
 def test_best_run_tie_break(spark):
     runs = spark.createDataFrame([(1, 0.5, 0.7), (2, 0.69, 0.6), (3, 0.69, 0.695), (4, 0.69, 0.695)], "run int, f1 double, acc double")
     assert ev.best_run(runs, "f1", "acc", "run").first()["run"] == 3

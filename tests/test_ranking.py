@@ -110,3 +110,24 @@ def test_heavy_key_lookup_keeps_every_row(spark, frame):
         joined = lookup_by_heavy_key(frame.select("id", "g"), table, "g", "n", hot)
         assert joined.count() == 900
         assert joined.filter("g = 'hot'").select("n").distinct().first()[0] == frame.filter("g = 'hot'").count()
+
+
+def test_nan_and_null_have_no_rank(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0), (2, nan), (3, 3.0), (4, None), (5, 3.0)], "id int, v double")
+    ranks = {r["id"]: r["p"] for r in rk.average_percent_rank(df, "v", "p").collect()}
+    assert ranks == {1: 1 / 3, 2: None, 3: 2.5 / 3, 4: None, 5: 2.5 / 3}
+    assert rk.exact_quantiles(df, [], "v", [0.5], ["m"]).first()["m"] == 3.0
+
+
+def test_group_rows_are_not_dealt_out_by_the_group(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).withColumn("g", F.col("id") % 2)
+        joined = rk.with_group_row(df, df.groupBy("g").agg(F.sum("id").alias("s")), ["g"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 100 and "hashpartitioning(g#" in plan
+        facts = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "__part" in line]
+        assert len(facts) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
