@@ -27,22 +27,47 @@ def grey(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 
 def fit(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Centre-crop to the wanted aspect ratio, then bilinear resize with area averaging when shrinking."""
+    """Centre-crop to the wanted aspect ratio, then resize with a windowed-sinc filter; levels stay whole, 0 to 255."""
     h, w = image.shape
     scale = min(w / width, h / height)
     cw, ch = scale * width, scale * height
-    return _resample(_resample(image.astype(np.float64), height, (h - ch) / 2, ch, 0), width, (w - cw) / 2, cw, 1)
+    across = _levels(image.astype(np.float64) @ _weights(w, width, (w - cw) / 2, cw, "lanczos").T, image)
+    return _levels(_weights(h, height, (h - ch) / 2, ch, "lanczos") @ across, image)
 
 
-def _resample(image: np.ndarray, size: int, start: float, extent: float, axis: int) -> np.ndarray:
-    """One axis of a triangle-filter resize; the filter widens with the shrink factor."""
-    n = image.shape[axis]
-    step = extent / size
-    reach = max(step, 1.0)
-    centres = start + (np.arange(size) + 0.5) * step - 0.5
-    weights = np.maximum(0.0, 1.0 - np.abs(np.arange(n)[None, :] - centres[:, None]) / reach)
-    weights /= np.maximum(weights.sum(axis=1, keepdims=True), 1e-12)
-    return weights @ image if axis == 0 else image @ weights.T
+def stretch(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The whole image resized with a triangle filter, whatever its aspect ratio."""
+    h, w = image.shape
+    across = _levels(image.astype(np.float64) @ _weights(w, width, 0.0, w, "triangle").T, image)
+    return _levels(_weights(h, height, 0.0, h, "triangle") @ across, image)
+
+
+def _levels(values: np.ndarray, image: np.ndarray) -> np.ndarray:
+    """Whole levels in the range of the picture's kind: 8 bits, or what a deeper picture reaches."""
+    return np.clip(np.floor(values + 0.5), 0, max(255, image.max()))
+
+
+KERNELS = {
+    "triangle": (1.0, lambda x: np.maximum(0.0, 1.0 - np.abs(x))),
+    "lanczos": (3.0, lambda x: np.where(np.abs(x) < 3.0, np.sinc(x) * np.sinc(x / 3.0), 0.0)),
+}
+# resize weights of the sizes seen by this worker; pictures of a set have few sizes
+_KNOWN_WEIGHTS: dict[tuple, np.ndarray] = {}
+
+
+def _weights(n: int, size: int, start: float, extent: float, kernel: str) -> np.ndarray:
+    """Weights (size x n) of a resize along one axis; the filter widens with the shrink factor."""
+    key = (n, size, start, extent, kernel)
+    if key not in _KNOWN_WEIGHTS:
+        step = extent / size
+        reach, shape = KERNELS[kernel]
+        centres = start + (np.arange(size) + 0.5) * step
+        away = (np.arange(n)[None, :] + 0.5 - centres[:, None]) / max(step, 1.0)
+        weights = np.where(np.abs(away) <= reach, shape(away), 0.0)
+        if len(_KNOWN_WEIGHTS) > 64:
+            _KNOWN_WEIGHTS.clear()
+        _KNOWN_WEIGHTS[key] = weights / weights.sum(axis=1, keepdims=True)
+    return _KNOWN_WEIGHTS[key]
 
 
 STATS = T.StructType(
@@ -87,12 +112,12 @@ def image_hash(pixels: str = "pixels", height: str = "height", width: str = "wid
 
 
 def normalised(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
-    """Grey image fitted to a size and scaled to -1..1, row by row, as an array of floats."""
+    """Grey image stretched to a size and scaled to -1..1, row by row, as an array of floats."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             vectors = [
-                ((fit(grey(p, int(h), int(w), int(c)), width, height) / 255.0 - 0.5) / 0.5).ravel().astype(np.float32)
+                ((stretch(grey(p, int(h), int(w), int(c)), width, height) / 255.0 - 0.5) / 0.5).ravel().astype(np.float32)
                 for p, h, w, c in zip(b["pixels"], b["height"], b["width"], b["channels"])
             ]
             yield pd.DataFrame({key: b[key], "tensor": vectors})

@@ -187,18 +187,31 @@ def c16(t):
     )
 
 
-@query("c17_normalised_pixels")
+@query(
+    "c17_normalised_pixels",
+    "WITH " + gallery.SQL_GALLERY + """ SELECT 'v' || vec_id || '.png' AS name, 1024 AS values, round((list_min(levels) / 255.0::DOUBLE - 0.5) / 0.5, 5) AS lowest,
+    round((list_max(levels) / 255.0::DOUBLE - 0.5) / 0.5, 5) AS highest, round(16 * list_sum(list_transform(levels, lambda x: (x / 255.0::DOUBLE - 0.5) / 0.5)), 2) AS total
+    FROM gallery WHERE NOT missing AND NOT damaged""",
+)
 def c17(t):
-    images = files.read_images(t.spark, gallery.folder(t))
-    rows = normalised(images, "path", 16, 16)
+    """At the pictures' own size every value is its level, scaled."""
+    rows = normalised(files.read_images(t.spark, gallery.folder(t)), "path", 32, 32)
     return rows.select(
         F.element_at(F.split("path", "/"), -1).alias("name"),
         F.size("tensor").alias("values"),
-        F.array_min("tensor").alias("lowest"),
-        F.array_max("tensor").alias("highest"),
+        F.round(F.array_min("tensor").cast("double"), 5).alias("lowest"),
+        F.round(F.array_max("tensor").cast("double"), 5).alias("highest"),
+        F.round(F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x.cast("double")), 2).alias("total"),
     )
 
 
+@query("c17_stretched_pixels")
+def c17_stretched(t):
+    """A smaller size, so that the pictures are resized."""
+    rows = normalised(files.read_images(t.spark, gallery.folder(t)), "path", 16, 24)
+    return rows.select("path", F.size("tensor").alias("values"), F.array_min("tensor").alias("lowest"), F.array_max("tensor").alias("highest"))
+
+
 @query("k3_gradient_features")
 def k3(t):
     images = files.read_images(t.spark, gallery.folder(t))
@@ -237,6 +250,5 @@ def d6_images(t):
 def j4(t):
     rows = stored(gallery.measured(t), "measured")
     base = gallery.folder(t)
-    folder = base if "://" in base else f"file:{base}"
     images = rows.filter("exists").select("path", "decoded", "width", "height", "intensity_range")
-    return gates.file_gate(gallery.listed(t), images, files.list_files(t.spark, base), folder)
+    return gates.file_gate(gallery.listed(t), images, files.list_files(t.spark, base), base.replace("file:///", "file:/"))

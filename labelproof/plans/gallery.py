@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.functions.images import image_hash, pixel_stats, tile_png
+from labelproof.operators.splits import fingerprint
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path, spread
 from labelproof.sources.files import content_type, plain_path, read_binary, read_images
@@ -38,9 +39,15 @@ def levels(t: Tables) -> DataFrame:
     )
 
 
+def content_key(df: DataFrame) -> str:
+    """What a table holds, in one pass: results kept under it are not used after the table has changed."""
+    row = fingerprint(df).first()
+    return f"{row.rows}:{row.fingerprint}"
+
+
 def folder(t: Tables) -> str:
-    """Folder of the picture files; written once per session and input folder, by the tasks."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """Folder of the picture files; written by the tasks, once per session and content of the input table."""
+    key = (t.spark.sparkContext.applicationId, content_key(t.embeddings))
     if key not in _WRITTEN:
         path = scratch_path(t.spark, "gallery")
         r = F.col("vec_id") % 25
@@ -55,7 +62,7 @@ def folder(t: Tables) -> str:
 def listed(t: Tables) -> DataFrame:
     """Manifest of the pictures: path, key, target, declared size."""
     base = folder(t)
-    full = F.concat(F.lit(base if "://" in base else f"file:{base}"), F.format_string("/v%d.png", "vec_id"))
+    full = F.concat(F.lit(base), F.format_string("/v%d.png", "vec_id"))
     return t.embeddings.select("vec_id", "label", plain_path(full).alias("path"), F.lit("32x32").alias("image_size"))
 
 

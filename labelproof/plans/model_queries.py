@@ -12,6 +12,7 @@ from labelproof.plans import gallery
 from labelproof.plans.bindings import CLASSES, SPLIT_SEED, manifest, split_label
 from labelproof.plans.registry import query
 from labelproof.schemas import Tables
+from labelproof.plans.gallery import content_key
 from labelproof.session import scratch_path
 from labelproof.sources.files import read_images
 from labelproof.streaming import flows
@@ -26,7 +27,7 @@ def vectors(t: Tables):
 
 
 def fitted(t: Tables) -> PipelineModel:
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = (t.spark.sparkContext.applicationId, content_key(t.embeddings))
     if key not in _FITTED:
         train = vectors(t).filter("split = 'train'").select("vec_id", "label", "embedding").persist()
         _FITTED[key] = ml.fit_classifier(train, "label", "embedding", ml.Experiment("reference", max_iter=500))

@@ -45,7 +45,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/labelproof/{label}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{base.rstrip('/')}/labelproof/{label}-{uuid.uuid4().hex}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, so that every reader and writer means the same place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file:///") else full
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

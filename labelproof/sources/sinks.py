@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelproof.functions.text import markdown_cell
+from labelproof.session import qualified
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -64,13 +65,14 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
     """Write one file per row from the tasks; returns the rows' names and sizes (lazy).
 
     Names and bytes depend on the row alone, so a retried task rewrites the same
-    file. Any file system known to Arrow works.
+    file. Any file system known to Arrow works; a folder without a scheme is one of the session's default file system.
     """
+    target = qualified(df.sparkSession, folder)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, base = fs.FileSystem.from_uri(target)
         system.create_dir(base, recursive=True)
         for batch in batches:
             sizes = []
