@@ -181,6 +181,15 @@ def held_out_checks(items: DataFrame, assignments: DataFrame, *, entity: str, ta
     return gate_rows(facts, [Check(n, F.col(c) == 0, F.col(c)) for c, n in names.items()])
 
 
+def check_counts(held_out: DataFrame, expected: dict[str, tuple[int, int]], *, entity: str, target: str) -> None:
+    """Raise unless every class has the expected numbers of held-out rows and entities, and there is no other class."""
+    sizes = held_out.groupBy(target).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(entity).alias("entities"))
+    found = {r[target]: (r["rows"], r["entities"]) for r in sizes.limit(len(expected) + 1).collect()}
+    if found != expected:
+        wrong = {k: (expected.get(k), found.get(k)) for k in {*expected, *found} if expected.get(k) != found.get(k)}
+        raise AssertionError(f"held-out rows and entities per class, expected and found: {wrong}")
+
+
 def evaluate_once(
     paths: Paths,
     items: DataFrame,
@@ -194,10 +203,12 @@ def evaluate_once(
     target: str = "truth",
     split: str = "split",
     key: str = "item_id",
+    expected: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Verify the contract, score the held-out rows once, write every report and the receipt.
 
-    Cheap checks come before scoring, and a started receipt is written before
+    ``expected`` holds the numbers of held-out rows and entities of each class,
+    where they are known beforehand. Cheap checks come before scoring, and a started receipt is written before
     the first held-out row is scored, so a second run is refused.
     """
     spark = items.sparkSession
@@ -208,6 +219,8 @@ def evaluate_once(
     failed = held_out_checks(items, assignments, entity=entity, target=target, split=split).filter("status = 'FAIL'").collect()
     if failed:
         raise AssertionError(f"held-out checks failed: {[r['check_name'] for r in failed]}")
+    if expected is not None:
+        check_counts(items.filter(F.col(split) == "test"), expected, entity=entity, target=target)
     started = spark.range(1).select(F.lit("started").alias("status"), F.lit(False).alias("rerun_allowed"), F.current_timestamp().alias("at"))
     write_once(started, paths.receipt("started"))
 

@@ -81,6 +81,14 @@ def a7(t):
     return files.read_binary(t.spark, gallery.folder(t)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256")
 
 
+@query("a7_text_file_digest", "SELECT 'p' || page_id || '.html' AS name, octet_length(encode(html))::BIGINT AS length, sha256(html) AS sha256 FROM pages")
+def a7_texts(t):
+    path = scratch_path(t.spark, "pages")
+    named = t.pages.select(F.format_string("p%d.html", "page_id").alias("name"), F.col("html").cast("binary").alias("content"))
+    sinks.write_files(spread(named), path, "name", "content").write.format("noop").mode("overwrite").save()
+    return files.read_binary(t.spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "sha256")
+
+
 @query("a8_whole_text_scan", "SELECT page_id, sha256(lower(html)) AS digest, length(html)::BIGINT AS characters FROM pages")
 def a8(t):
     path = scratch_path(t.spark, "texts")

@@ -152,9 +152,41 @@ def m3(t):
     return a.unionByName(b).drop("probabilities")
 
 
+SQL_CENTROID = "WITH " + SQL_VECTORS + """, parts AS (SELECT e.vec_id, e.label AS truth, v.split, unnest(range(len(e.embedding))) AS i, unnest(e.embedding)::DOUBLE AS x
+    FROM embeddings e JOIN vectors v ON v.vec_id = e.vec_id),
+  means AS (SELECT truth AS cls, i, avg(x) AS m FROM parts WHERE split = 'train' GROUP BY 1, 2),
+  near AS (SELECT vec_id, truth, cls, -10 * sum((x - m) * (x - m)) AS s FROM parts JOIN means USING (i) WHERE split = 'test' GROUP BY 1, 2, 3),
+  raised AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM near),
+  shares AS (SELECT vec_id, truth, cls, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM raised)
+  SELECT vec_id, truth::VARCHAR AS truth, arg_max(cls, p)::VARCHAR AS predicted, round(max(p), 6) AS confidence, max(p) < 0.6 AS uncertain, arg_max(cls, p) = truth AS correct
+  FROM shares GROUP BY vec_id, truth"""
+
+
+def by_centroid(t: Tables, rows):
+    labels, table = centroids(t)
+    scored = ml.predict(rows, centroid_factory(table), KEYS, "label", 0.6, classes=labels, features="embedding", width=64)
+    return scored.withColumn("confidence", F.round("confidence", 6)).drop("probabilities")
+
+
+@query("m3_external_model", SQL_CENTROID)
+def m3_external(t):
+    return by_centroid(t, vectors(t).filter("split = 'test'"))
+
+
 # --- streams -----------------------------------------------------------------
 
 
+@query("l2_streaming_external_model", SQL_CENTROID)
+def l2_external(t):
+    """Rows that arrive in a stream get the scores of the batch."""
+    source, path, checkpoint = (scratch_path(t.spark, n) for n in ("arriving", "scored", "stream"))
+    rows = vectors(t).filter("split = 'test'").select("vec_id", "label", "embedding")
+    rows.write.parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(source)
+    flows.to_files(by_centroid(t, stream), path, checkpoint).awaitTermination()
+    return t.spark.read.parquet(path)
+
+
 @query(
     "l1_streaming_admission",
     "WITH " + gallery.SQL_GALLERY + """ SELECT vec_id, CASE WHEN damaged THEN 'unreadable' WHEN blank THEN 'blank or nearly blank' ELSE '' END AS reason,

@@ -102,3 +102,17 @@ def test_whole_text_scan(spark, tmp_path):
     (tmp_path / "a.md").write_bytes("First LINE\nsecond\n\xff".encode("latin-1"))
     row = files.read_texts(spark, str(tmp_path)).first()
     assert row["text"].startswith("first line\nsecond")
+
+
+def test_wrong_counts_stop_before_scoring(spark, items, tmp_path):
+    paths, _ = freeze(items, tmp_path)
+    held_out = items.filter("split = 'test'")
+    counts = {r["truth"]: (r["n"], r["e"]) for r in held_out.groupBy("truth").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("e")).collect()}
+    protocol.check_counts(held_out, counts, entity="entity", target="truth")
+    name = next(iter(counts))
+    wrong = {**counts, name: (counts[name][0] + 1, counts[name][1])}
+    with pytest.raises(AssertionError, match="rows and entities per class"):
+        protocol.evaluate_once(
+            paths, items, items.select("entity", "truth", "split").distinct(), lambda rows: rows, tables(items), CLASSES, SETTINGS, expected=wrong
+        )
+    assert not protocol.exists(spark, paths.receipt("started"))
