@@ -45,9 +45,9 @@ from labelproof.session import shuffle_width, stored
 WORDS = 5
 PERCENT = 75
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-CACHED_WORDS = 400_000
-CHUNK = 1_500_000  # shingles that a scan task gathers before it sends them
-BUCKET = 2_500_000  # shingles of a bucket, about
+CACHED_WORDS = 200_000
+CHUNK = 1_000_000  # shingles that a scan task gathers before it sends them
+BUCKET = 1_200_000  # shingles of a bucket, about
 FREQUENT = 64  # within a chunk
 BLOCK = 256  # candidates of a block
 ENTRIES, PAIRS, DIRECTORY, COUNTS = range(4)
@@ -327,16 +327,23 @@ def _links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return candidates.unionByName(hubs).groupBy("hub", "block").applyInArrow(_searched, "a binary, b binary")
 
 
-def _may_link(n, m):
-    """Sizes of which the smaller is at least 75 % of the larger."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def _may_link(n, rest, m, other_rest):
+    """Whether two classes can link whose rarest common shingle leaves them so many from it on."""
+    return F.least(rest, other_rest) * (100 + PERCENT) >= (n + m) * PERCENT
 
 
-def class_links(classes: DataFrame, hub_rounds: int = 2) -> DataFrame:
+def class_links(classes: DataFrame, hub_rounds: int = 4) -> DataFrame:
     """(node, label) of the classes that link: label is the same exactly for connected classes."""
     spark = classes.sparkSession
+    # rest: shingles from this one on in the order, which bounds the overlap where it is the rarest common one
     entries = stored(
-        classes.select(F.explode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("shingle"), "digest", "n"), "lists"
+        classes.select(
+            "digest",
+            "n",
+            F.size("shingles").alias("shared"),
+            F.posexplode(F.slice("shingles", F.lit(1), F.col("prefix"))).alias("pos", "shingle"),
+        ).withColumn("rest", F.col("shared") - F.col("pos")),
+        "lists",
     )
     links = spark.createDataFrame([], "a binary, b binary")
     tried = spark.createDataFrame([], "hub binary, other binary")
@@ -344,30 +351,37 @@ def class_links(classes: DataFrame, hub_rounds: int = 2) -> DataFrame:
     for round_ in range(hub_rounds + 1):
         here = entries.withColumn("label", F.col("digest"))
         if labels is not None:
-            here = entries.join(labels, F.col("digest") == F.col("node"), "left").select(
-                "shingle", "digest", "n", F.coalesce("label", "digest").alias("label")
+            here = entries.join(labels, F.col("digest") == F.col("node"), "left").withColumn(
+                "label", F.coalesce("label", "digest")
             )
+        # first the class with the largest part of shared shingles, the likely original; then others by chance
+        rank = -F.col("shared") / F.col("n") if round_ == 0 else F.xxhash64("digest", F.lit(round_)).cast("double")
+        first = F.min(F.struct(rank.alias("rank"), "digest", "n", "rest", "label"))
         # lists whose classes are all connected are done
         open_lists = (
             here.groupBy("shingle")
-            .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct("label", "digest", "n")).alias("hub"))
+            .agg(F.min("label").alias("least"), F.max("label").alias("most"), first.alias("hub"))
             .filter("least <> most")
             .select("shingle", "hub")
         )
-        here = stored(here.join(open_lists, "shingle"), "open-lists")
+        here = stored(
+            here.join(open_lists, "shingle").select("shingle", "digest", "n", "rest", "label", "hub"), "open-lists"
+        )
         if here.isEmpty():
             break
         if round_ < hub_rounds:
-            other = here.filter(F.col("label") != F.col("hub.label"))
-            pairs = other.filter(_may_link(F.col("n"), F.col("hub.n"))).select(
-                F.col("hub.digest").alias("hub"), F.col("digest").alias("other")
+            apart = (F.col("label") != F.col("hub.label")) & _may_link(
+                F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest")
             )
+            pairs = here.filter(apart).select(F.col("hub.digest").alias("hub"), F.col("digest").alias("other"))
         else:
-            left = here.select("shingle", F.col("digest").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+            names = ["digest", "n", "rest", "label"]
+            left = here.select("shingle", *(F.col(c).alias(f"hub_{c}") for c in names))
             pairs = (
-                left.join(here.select("shingle", "digest", "n", "label"), "shingle")
-                .filter((F.col("hub") < F.col("digest")) & (F.col("hub_label") != F.col("label")) & _may_link(F.col("n"), F.col("hub_n")))
-                .select("hub", F.col("digest").alias("other"))
+                left.join(here.select("shingle", *names), "shingle")
+                .filter((F.col("hub_digest") < F.col("digest")) & (F.col("hub_label") != F.col("label")))
+                .filter(_may_link(F.col("n"), F.col("rest"), F.col("hub_n"), F.col("hub_rest")))
+                .select(F.col("hub_digest").alias("hub"), F.col("digest").alias("other"))
             )
         pairs = stored(pairs.distinct().join(tried, ["hub", "other"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
