@@ -142,13 +142,15 @@ def a13(t):
 
 @query(
     "a14_markdown_table",
-    """WITH x AS (SELECT page_id, replace(replace(url || '|' || chr(10) || 'end', '|', '/'), chr(10), ' ') AS u FROM pages)
-    SELECT '| page_id | address |' AS value UNION ALL SELECT '|---|---|' UNION ALL SELECT '| ' || page_id || ' | ' || u || ' |' FROM x""",
+    """WITH x AS (SELECT regexp_extract(url, '/([a-z]{2})/', 1) AS target, count(*) AS pages, replace(replace(min(url) || '|' || chr(10) || 'end', '|', '/'), chr(10), ' ') AS u FROM pages GROUP BY 1)
+    SELECT '| target | pages | first |' AS value UNION ALL SELECT '|---|---|---|' UNION ALL SELECT '| ' || target || ' | ' || pages || ' | ' || u || ' |' FROM x""",
 )
 def a14(t):
+    """A report of a few rows, one per target, which is what one Markdown file is for."""
     path = scratch_path(t.spark, "markdown")
-    rows = t.pages.select("page_id", F.concat("url", F.lit("|\nend")).alias("address"))
-    sinks.write_markdown(rows, path, ["page_id"])
+    per = t.pages.groupBy(F.regexp_extract("url", "/([a-z]{2})/", 1).alias("target"))
+    rows = per.agg(F.count(F.lit(1)).alias("pages"), F.concat(F.min("url"), F.lit("|\nend")).alias("first"))
+    sinks.write_markdown(rows, path, ["target"])
     return t.spark.read.text(path)
 
 

@@ -266,6 +266,16 @@ def h6(t):
     return rs.set_difference(a, b, "orders", "customer")
 
 
+@query(
+    "h6_unequal_sets",
+    """WITH a AS (SELECT DISTINCT o_custkey + 5 AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer)
+    (SELECT k, 'orders' AS only_in FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) UNION ALL (SELECT k, 'customer' FROM (SELECT k FROM b EXCEPT SELECT k FROM a))""",
+)
+def h6_unequal(t):
+    a = t.orders.select((F.col("o_custkey") + 5).alias("k"))
+    return rs.set_difference(a, t.customer.select(F.col("c_custkey").alias("k")), "orders", "customer")
+
+
 # --- splits ------------------------------------------------------------------
 
 
