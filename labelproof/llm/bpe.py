@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from labelproof.llm.batches import bounded
+
 LEAF = 24
 NO_RANK = 1 << 40
 CACHED_PIECES = 300_000
@@ -164,7 +166,7 @@ def concatenated(parts: list[bytes]) -> bytes:
 
 def encoded(docs: DataFrame, keys: list[str], text: str, encoder: BytePairEncoder, ids: str = "ids") -> DataFrame:
     """(keys, ids) per row: the token ids of its text, array<int>."""
-    rows = docs.select(text, *keys)
+    rows = bounded(docs.select(text, *keys))
     out = T.StructType([*(docs.schema[k] for k in keys), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
@@ -195,4 +197,4 @@ def decoded(rows: DataFrame, keys: list[str], ids: str, ranks: dict[bytes, int],
                 [*batch.columns, pa.array(values, pa.binary())], [*keys, ids, out]
             )
 
-    return rows.select(*keys, ids).mapInArrow(run, T.StructType(fields))
+    return bounded(rows.select(*keys, ids)).mapInArrow(run, T.StructType(fields))

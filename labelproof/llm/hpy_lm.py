@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from labelproof.llm.batches import bounded
 from labelproof.llm.packing import from_planes, packed, planes, range_edges, unpacked
 from labelproof.session import stored
 
@@ -369,8 +370,8 @@ def fit(
 
 
 def _rows(docs: DataFrame, key: str, text: str, training: Column) -> DataFrame:
-    return docs.select(
-        F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training")
+    return bounded(
+        docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     )
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelproof.llm.batches import bounded
+
 UNKNOWN = "und"
 PIECE = 8192
 # zstandard stores a block as it is unless that gains some bytes; with this before them, short texts show their gain too
@@ -165,7 +167,7 @@ def predictions(docs: DataFrame, keys: list[str], text: str, model: LanguageMode
                 [*batch.columns[1:], *columns], [*keys, "lang_pred", "score", "rejected"]
             )
 
-    return rows.mapInArrow(judged, T.StructType([*(docs.schema[k] for k in keys), *RESULT]))
+    return bounded(rows).mapInArrow(judged, T.StructType([*(docs.schema[k] for k in keys), *RESULT]))
 
 
 def known_language(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
@@ -178,4 +180,4 @@ def known_language(docs: DataFrame, text: str, model: LanguageModel) -> DataFram
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([not model.predict(t)[2] for t in texts], pa.bool_()))
 
-    return rows.mapInArrow(kept, rows.schema).toDF(*names)
+    return bounded(rows).mapInArrow(kept, rows.schema).toDF(*names)

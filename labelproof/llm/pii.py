@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelproof.llm.batches import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 NONE = 0  # label of words outside segments; the kinds follow from 1
 LABELS = len(KINDS) + 1
@@ -293,7 +295,7 @@ def fit(docs: DataFrame, key: str, text: str, sample_rows: int = 1500, epochs: i
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["island", "before", "words"])
 
     sample = signal.filter(F.col("id").isin(known)).select("text")
-    cut = sample.mapInArrow(found, "island string, before string, words string").collect()
+    cut = bounded(sample).mapInArrow(found, "island string, before string, words string").collect()
     rng = random.Random(seed)
     examples = []
     for row in sorted(cut):
@@ -351,4 +353,4 @@ def spans(docs: DataFrame, keys: list[str], text: str, model: SemiMarkovModel |
             columns = [pa.array(c, pa.list_(ARROW_SPAN)) for c in (base, added)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*keys, "base", "added"])
 
-    return docs.select(F.col(text).alias("__text"), *keys).mapInArrow(run, T.StructType(fields))
+    return bounded(docs.select(F.col(text).alias("__text"), *keys)).mapInArrow(run, T.StructType(fields))

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelproof.llm.batches import bounded
+
 VERSION = b"WARC/1.1"
 LINE = b"\r\n"
 # gzip members and their end
@@ -218,7 +220,7 @@ def write(pages: DataFrame, key: str, url: str, payload: str, folder: str, least
             ]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    lines = marked.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
+    lines = bounded(marked).mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value"))
     lines.write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(folder)
 
 
