@@ -8,8 +8,11 @@ gzip member, whose last byte is zero, and zero is the separator.
 
 Reader: members and records are checked (inflation and its checksum, version line, lengths, closing line ends, payload
 digest). After a failed check it looks for the next gzip member or version line that passes, goes on from there, and
-reports the bytes between as a gap with the reason. Archives of bare records are read alike. A task holds one archive
-at a time; ``records_per_file`` bounds its size.
+reports the bytes between as a gap with the reason. A member of several records is searched alike: what was inflated
+up to a fault is kept, its sound records are given, and the gap's reason names the places in the member's content.
+Where only the member's checksum is wrong and no record shows the fault, records with a payload digest are given if
+there are several. Archives of bare records are read alike. A task holds one archive at a time; ``records_per_file``
+bounds its size.
 
 Defined cases: a null payload is the empty payload. A null URL leaves its header out, a null key gives a record without
 a page key that is never the one others refer to. Rows that repeat key and payload are written one by one, all as
@@ -93,6 +96,14 @@ class Damaged(ValueError):
     """A check failed; the message says which."""
 
 
+class Uninflated(Damaged):
+    """A gzip member that fails its checks, with the bytes inflated up to the fault."""
+
+    def __init__(self, message: str, content: bytes, read_to: int, checksum: bool = False):
+        super().__init__(message)
+        self.content, self.read_to, self.checksum = content, read_to, checksum
+
+
 def inflated(data: memoryview, at: int) -> tuple[bytes, int]:
     """The content of the gzip member at ``at`` and where it ends."""
     unpacker = zlib.decompressobj(31)
@@ -101,13 +112,28 @@ def inflated(data: memoryview, at: int) -> tuple[bytes, int]:
         while not unpacker.eof and fed < len(data):
             parts.append(unpacker.decompress(data[fed : fed + FEED]))
             fed = min(fed + FEED, len(data))
-    except zlib.error as error:
-        raise Damaged(f"gzip member: {error}") from None
+    except zlib.error:
+        raise up_to_fault(data, at, fed) from None
     if not unpacker.eof:
-        raise Damaged("gzip member: cut off")
+        raise Uninflated("gzip member: cut off", b"".join(parts), fed)
     return b"".join(parts), fed - len(unpacker.unused_data)
 
 
+def up_to_fault(data: memoryview, at: int, sound: int) -> Uninflated:
+    """Inflate the member again; from ``sound`` on byte by byte, as a failing call returns nothing of its bytes."""
+    unpacker = zlib.decompressobj(31)
+    parts = [unpacker.decompress(data[i : min(i + FEED, sound)]) for i in range(at, sound, FEED)]
+    place = sound
+    try:
+        while True:
+            parts.append(unpacker.decompress(data[place : place + 1]))
+            place += 1
+    except zlib.error as error:
+        # wrong sums come after the last byte of the content, so they do not say where in it the fault lies
+        checksum = "incorrect data check" in str(error) or "incorrect length check" in str(error)
+        return Uninflated(f"gzip member: {error}", b"".join(parts), place, checksum)
+
+
 def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at ``at``."""
     head_end = data.find(LINE + LINE, at)
@@ -149,42 +175,98 @@ def http_payload(block: bytes) -> tuple[int | None, bytes]:
     return int(stated[1]) if stated else None, payload
 
 
-def entry_at(data: bytes, view: memoryview, at: int) -> tuple[list, int]:
-    """The records of the member or bare record at ``at``, and where it ends."""
-    if not data.startswith(MAGIC, at):
-        headers, block, end = parsed(data, at)
-        return [(headers, block)], end
-    raw, end = inflated(view, at)
-    found, inner = [], 0
-    while inner < len(raw):
-        headers, block, inner = parsed(raw, inner)
+def sound_records(raw: bytes) -> tuple[list, list[str]]:
+    """The records of a member's content that pass their checks, and for each gap its place in the content and reason."""
+    found, faults = [], []
+    at, gap_at, reason = 0, None, ""
+    while at < len(raw):
+        try:
+            headers, block, end = parsed(raw, at)
+        except Damaged as error:
+            if gap_at is None:
+                gap_at, reason = at, str(error)
+            following = raw.find(b"WARC/", at + 1)
+            at = following if following >= 0 else len(raw)
+            continue
+        if gap_at is not None:
+            faults.append(f"bytes {gap_at} to {at} of the content: {reason}")
+            gap_at = None
         found.append((headers, block))
-    return found, end
+        at = end
+    if gap_at is not None:
+        faults.append(f"bytes {gap_at} to {len(raw)} of the content: {reason}")
+    return found, faults
+
+
+def has_digest(headers: dict[str, str]) -> bool:
+    return headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "").startswith("sha256:")
+
+
+def entry_at(data: bytes, view: memoryview, at: int) -> tuple[list, int | None, str | None, int]:
+    """The sound records of the member or bare record at ``at``, where it ends if that is known, the reason if it is
+    damaged, and how far it was read."""
+    if not data.startswith(MAGIC, at):
+        try:
+            headers, block, end = parsed(data, at)
+        except Damaged as error:
+            return [], None, str(error), at
+        return [(headers, block)], end, None, end
+    try:
+        raw, end = inflated(view, at)
+    except Uninflated as error:
+        found, faults = sound_records(error.content)
+        if error.checksum and not faults:
+            # the fault is in a header, which no digest covers, or in the sums; a lone record is then the one in doubt
+            found = [r for r in found if has_digest(r[0])] if len(found) > 1 else []
+            faults = ["not shown by any record, headers unproven"]
+        return found, None, "; ".join([str(error), *faults]), error.read_to
+    found, faults = sound_records(raw)
+    return found, end, "; ".join(faults) or None, end
 
 
 def salvaged(data: bytes):
-    """(offset, length, records, reason) over all bytes: records of a sound entry, or a gap with its reason."""
+    """(offset, length, records, reason) over all bytes: records of a sound entry, or a gap with its reason.
+
+    A gap that starts with a damaged member has the sound records of its members, and their faults in the reason.
+    """
     view = memoryview(data)
     start = re.compile(re.escape(MAGIC) + b"|WARC/")
-    at, gap_at, reason = 0, None, ""
+    at, gap_at, reason, kept, read_to = 0, None, "", [], 0
     while at < len(data):
-        try:
-            records, end = entry_at(data, view, at)
-        except Damaged as error:
+        records, end, fault, reach = entry_at(data, view, at)
+        # a member that is stored, not deflated, shows its records a second time as bare ones
+        again = fault is None and at < read_to and bool(records) and all(r in kept for r in records)
+        if fault is None and not again:
+            if gap_at is not None and records:
+                yield gap_at, at - gap_at, kept, reason
+                gap_at, kept = None, []
+            # an empty member inside a gap says nothing about the bytes before it
+            if records:
+                yield at, end - at, records, None
+            at = end
+            continue
+        if fault is not None and (gap_at is None or records):
+            if gap_at is not None and kept:
+                # members that follow each other, each with sound records, are logged one by one
+                yield gap_at, at - gap_at, kept, reason
+                gap_at, kept = None, []
             if gap_at is None:
-                gap_at, reason = at, str(error)
-            following = start.search(data, at + 1)
-            at = following.start() if following else len(data)
+                gap_at, reason = at, fault
+            else:
+                reason = f"{reason}; {fault} (member at {at})"
+        if fault is not None and records:
+            kept = kept + records
+            read_to = max(read_to, reach)
+        if end is not None:
+            at = end
+            if fault is not None:
+                yield gap_at, at - gap_at, kept, reason
+                gap_at, kept = None, []
             continue
-        if gap_at is not None and records:
-            yield gap_at, at - gap_at, [], reason
-            gap_at = None
-        # an empty member inside a gap says nothing about the bytes before it
-        if records:
-            yield at, end - at, records, None
-        at = end
+        following = start.search(data, at + 1)
+        at = following.start() if following else len(data)
     if gap_at is not None:
-        yield gap_at, len(data) - gap_at, [], reason
+        yield gap_at, len(data) - gap_at, kept, reason
 
 
 def write(pages: DataFrame, key: str, url: str, payload: str, folder: str, least: int = 100, records_per_file: int = 2000):

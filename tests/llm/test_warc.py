@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -59,6 +60,47 @@ def test_salvage_loses_only_damaged_records(packed):
         assert at == len(data)
 
 
+def pages_of(found):
+    return [int(warc.page_name(h["warc-record-id"])) for f in found for h, _ in f[2]]
+
+
+@pytest.mark.parametrize("how", ["digest", "length", "cut", "stream", "checksum"])
+@pytest.mark.parametrize("level", [0, 6])
+def test_sound_records_of_a_damaged_member_are_kept(how, level):
+    rng = random.Random(3)
+    noise = {i: rng.randbytes(3000).hex() for i in range(40)}
+    parts = [plain(i, f"http://h/{i}", noise[i]) for i in range(40)]
+    if how == "digest":
+        parts[20] = parts[20].replace(noise[20][:8].encode(), b"????????")
+    if how == "length":
+        parts[20] = parts[20].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1)
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    member = bytearray(packer.compress(b"".join(parts)) + packer.flush())
+    if how == "cut":
+        del member[len(member) // 2 :]
+    if how == "stream":
+        member[len(member) // 2 : len(member) // 2 + 2000] = b"\xff" * 2000
+    if how == "checksum":
+        member[-6] ^= 0xFF
+    after = warc.gzip_member(plain(99, "http://h/99", "after"))
+    found = list(warc.salvaged(bytes(member) + after))
+    got = pages_of(found)
+    assert len(got) == len(set(got)) and 99 in got
+    if how in ("digest", "length"):
+        assert sorted(got) == [i for i in range(40) if i != 20] + [99]
+        assert any(f[3] and f"bytes {sum(map(len, parts[:20]))} to" in f[3] for f in found)
+    elif how == "checksum":
+        assert sorted(got) == [*range(40), 99]
+    else:
+        assert set(range(17)) <= set(got)
+    assert sum(f[3] is not None for f in found) == 1
+    at = 0
+    for offset, length, _, _ in found:
+        assert offset == at
+        at += length
+    assert at == len(member) + len(after)
+
+
 def test_rows(spark):
     big = "<html>" + "same " * 40
     rows = [
