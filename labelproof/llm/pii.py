@@ -1,13 +1,14 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field that finds what they miss.
 
 The patterns give the base spans (e-mail, IP address, card, phone), which always stay. The model reads islands: runs of
-neighbouring words that each hold a digit or an at sign. It scores whole candidate segments of up to ``LONGEST`` words
+neighbouring words that each hold a digit or an at sign, or lie in an address whose at sign is written out ("[at]",
+"(at)", "at" before a domain, whose dots may be written out too). It scores whole candidate segments of up to ``LONGEST`` words
 by features of the segment as one piece (numbers of digits, groups, separators, check digit, the word before it), and
 a dynamic program over the segments chooses borders and kinds together. Segments that the model prefers over none by
 ``margin`` (in log odds), and that touch no base span, are added.
 
 The model is trained here, on islands of at most ``sample_rows`` rows (those of the smallest hashed id that hold a
-digit or an at sign), labelled by the patterns. A third of the labelled islands are written in a form the patterns do
+digit, an at sign or the word "at"), labelled by the patterns. A third of the labelled islands are written in a form the patterns do
 not know (without plus, with dots for spaces, with "at" for the sign), so that it learns shapes beyond theirs.
 
 Defined cases: a null text is the empty text and has no spans. Texts are read whole, in time linear in their length.
@@ -42,6 +43,14 @@ ADDRESS = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\s]+")
+# a written-out at sign: in brackets, or as a word of its own; and the domain after it, its dots written out or not
+WRITTEN_AT = re.compile(r"(?i)(?<=[\s\[({<])at(?=[\s\])}>])")
+WRITTEN_DOMAIN = re.compile(
+    r"(?i)[A-Za-z0-9-]++(?:(?:\.|[^\S\n]*+[\[({<][^\S\n]*+dot[^\S\n]*+[\])}>][^\S\n]*+|[^\S\n]++dot[^\S\n]++)[A-Za-z0-9-]++)+"
+)
+BLANKS = re.compile(r"[^\S\n]*+")
+CLOSING = {"[": "]", "(": ")", "{": "}", "<": ">"}
+ROWS_WITH_SIGNAL = r"[0-9@]|(?i:[\s\[({<]at[\s\])}>])"
 
 
 def luhn(digits: str) -> bool:
@@ -104,18 +113,47 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def written_addresses(text: str) -> list[tuple[int, int]]:
+    """Places that may be e-mail addresses with the at sign written out, on one line: from local part to domain."""
+    out, done = [], 0
+    for m in WRITTEN_AT.finditer(text):
+        start, end = m.span()
+        left = start
+        while left > done and text[left - 1] != "\n" and text[left - 1].isspace():
+            left -= 1
+        after = BLANKS.match(text, end).end()
+        if left > done and text[left - 1] in CLOSING and text[after : after + 1] == CLOSING[text[left - 1]]:
+            left, after = left - 1, BLANKS.match(text, after + 1).end()
+            while left > done and text[left - 1] != "\n" and text[left - 1].isspace():
+                left -= 1
+        elif left == start or after == end:
+            continue
+        local = left
+        while local > done and LOCAL.match(text, local - 1):
+            local -= 1
+        domain = WRITTEN_DOMAIN.match(text, after) if local < left else None
+        if domain:
+            done = domain.end()
+            out.append((local, done))
+    return out
+
+
 def islands(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """(word before in lower case, words) of every run of words on one line that hold a digit or an at sign."""
+    """(word before in lower case, words) of every run of words on one line that hold a digit or an at sign, or lie in
+    an address whose at sign is written out."""
     out: list[tuple[str, list[tuple[int, int]]]] = []
-    if not text or not SIGNAL.search(text):
+    written = written_addresses(text) if text else []
+    if not text or not (written or SIGNAL.search(text)):
         return out
-    before, words, last = "", [], 0
+    before, words, last, place = "", [], 0, 0
     for m in WORD.finditer(text):
         start, end = m.span()
         if words and text.find("\n", last, start) >= 0:
             out.append((before, words))
             words, before = [], ""
-        if SIGNAL.search(text, start, end):
+        while place < len(written) and written[place][1] <= start:
+            place += 1
+        if SIGNAL.search(text, start, end) or (place < len(written) and written[place][0] < end):
             start, end = trimmed(text, start, end)
             if start < end:
                 words.append((start, end))
@@ -254,7 +292,10 @@ class SemiMarkovModel:
 def disguised(kind: str, found: str, rng: random.Random) -> str:
     """The same item in a form the patterns do not know."""
     if kind == "email":
-        return found.replace("@", "[at]" if rng.random() < 0.5 else "(at)") + "@"[: rng.random() < 0.3]
+        local, _, domain = found.partition("@")
+        if rng.random() < 0.5:
+            domain = domain.replace(".", rng.choice(["[dot]", "(dot)", " dot ", " [dot] "]))
+        return local + rng.choice(["[at]", "(at)", " at ", " [at] ", " (at) "]) + domain
     if kind == "phone":
         return rng.choice([found.lstrip("+"), found.replace(" ", ".").lstrip("+"), "00" + found.lstrip("+")])
     if kind == "card":
@@ -276,7 +317,7 @@ def example(text: str, before: str, words: list[tuple[int, int]]):
 
 def fit(docs: DataFrame, key: str, text: str, sample_rows: int = 1500, epochs: int = 4, seed: int = 11):
     """A model from the islands of a bounded sample of rows; None where they hold no base span."""
-    signal = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    signal = docs.filter(F.col(text).rlike(ROWS_WITH_SIGNAL)).select(F.col(key).alias("id"), F.col(text).alias("text"))
     ids = signal.select("id", F.xxhash64("id").alias("draw")).orderBy("draw", "id").limit(sample_rows).collect()
     known = [r.id for r in ids if r.id is not None]
     if not known:

@@ -103,6 +103,37 @@ def test_model_finds_forms_beyond_the_patterns(spark):
     assert hits >= 50 and misses <= 3
 
 
+def test_disguised_addresses_without_digits_are_found(spark):
+    rng = random.Random(5)
+
+    def name(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    rows = []
+    for i in range(400):
+        mail = f"{name(4)}.{name(5)}@{name(6)}.{rng.choice(['com', 'org'])}"
+        text = f"please write to {mail} for more\nsee the page at www.{name(7)}.com or stay at home for {i} days"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs, "doc_id", "text", sample_rows=300)
+    hits, false = 0, 0
+    for i in range(60):
+        at = ["[at]", "(at)", " [at] ", " at "][i % 4]
+        dot = [".", "[dot]", " dot "][i % 3]
+        hidden = f"{name(4)}.{name(4)}{at}{name(7)}{dot}com"
+        text = f"please write to {hidden} about it\nwe met at noon"
+        found = pii.added_spans(text, pii.base_spans(text), model, 2.0)
+        hits += ("email", 16, 16 + len(hidden)) in found
+        text = f"see the page at www.{name(5)}.com and stay at home"
+        false += bool(pii.added_spans(text, [], model, 2.0))
+    assert hits >= 50 and false <= 3
+    jane = "ask jane.doe[at]example.com or jane at example dot com"
+    assert [jane[w[0][0] : w[-1][1]] for _, w in pii.islands(jane)] == ["jane.doe[at]example.com", "jane at example dot com"]
+    assert not any("@" in pii.disguised("email", "a.b@c.de", rng) for _ in range(100))
+    for text in ("a at " * 60_000, " " * 300_000 + "at", "at" * 150_000, "x at " + "b dot " * 50_000, "a(" * 99_999 + "at)"):
+        pii.written_addresses(text)
+
+
 def test_rows(spark):
     card = "4111 1111 1111 1111"
     rows = [
