@@ -46,6 +46,9 @@ ENCODINGS = (
     ("base64", UPPER + LOWER + DIGITS + "+/"),
     ("base64_url", UPPER + LOWER + DIGITS + "-_"),
 )
+NEAR_CLASSES = 2  # length classes on either side, an octave together
+NEAR_TOKENS = 50  # tokens that they count for at most
+DEVIATIONS = 2.0
 CUTS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
 
 
@@ -160,6 +163,25 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.transform(tokens, tested)).otherwise(empty)
 
 
+def chosen_cut(own: list[int], near: list[int], share: float) -> float:
+    """The smallest cut of a class, by its numbers of tokens over each cut and those of its neighbours.
+
+    The neighbours count for at most ``NEAR_TOKENS`` tokens. A cut is too low where the tokens between it and one half
+    exceed, by ``DEVIATIONS`` standard deviations, what random tokens leave there and ``share`` allows.
+    """
+    weight = min(1.0, NEAR_TOKENS / near[0]) if near[0] else 0.0
+    for i, cut in enumerate(CUTS[:-1]):
+        fraction = (CUTS[-1] - cut) / (1 - CUTS[-1])
+        random_ones = own[-1] + weight * near[-1]
+        accepted = own[i] + weight * near[i]
+        between = accepted - random_ones
+        noise = (own[i] - own[-1]) + weight**2 * (near[i] - near[-1])
+        noise += fraction**2 * (own[-1] + weight**2 * near[-1])
+        if between - fraction * random_ones - DEVIATIONS * noise**0.5 <= share * accepted:
+            return cut
+    return CUTS[-1]
+
+
 def _cuts(tested: DataFrame, share: float) -> Column:
     """Map of "encoding/size_class" to the p-value above which its tokens are accepted."""
     rows = tested.select(F.explode("tested").alias("t")).select("t.*")
@@ -168,14 +190,12 @@ def _cuts(tested: DataFrame, share: float) -> Column:
         .agg(*(F.sum((F.col("p") > cut).cast("long")).alias(f"over{i}") for i, cut in enumerate(CUTS)))
         .collect()
     )
+    over = {(r.encoding, r.size_class): [r[f"over{i}"] for i in range(len(CUTS))] for r in counts}
     cuts = {}
-    for row in counts:
-        random_ones = row[f"over{len(CUTS) - 1}"] / (1 - CUTS[-1])
-        for i, cut in enumerate(CUTS):
-            accepted = row[f"over{i}"]
-            if accepted and (accepted - random_ones * (1 - cut)) / accepted <= share:
-                cuts[f"{row.encoding}/{row.size_class}"] = cut
-                break
+    for (encoding, size), own in over.items():
+        others = [n for (e, z), n in over.items() if e == encoding and 0 < abs(z - size) <= NEAR_CLASSES]
+        near = [sum(n) for n in zip(*others)] or [0] * len(CUTS)
+        cuts[f"{encoding}/{size}"] = chosen_cut(own, near, share)
     pairs = [x for name, cut in sorted(cuts.items()) for x in (F.lit(name), F.lit(cut))]
     return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
 

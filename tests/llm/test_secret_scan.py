@@ -62,6 +62,35 @@ def test_random_tokens_are_found_and_structured_ones_are_not(spark):
     assert sum(bool(found[i]) for i in range(300, 600)) <= 3
 
 
+def test_random_tokens_are_found_in_classes_of_any_size(spark):
+    # 120 classes with a single random key each, as they are met one corpus at a time
+    rng = random.Random(12)
+    letters = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 200))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate(keys)], "doc_id long, text string")
+    scored = docs.select(secret_scan.candidates(F.col("text")).alias("c")).collect()
+    found = 0
+    for r in scored:
+        own = [int(r.c[0].p > cut) for cut in secret_scan.CUTS]
+        found += r.c[0].p > secret_scan.chosen_cut(own, [0] * len(own), 0.05)
+    assert found >= 114
+    # some tens of tokens, nothing structured: p-values are uniform
+    kept = total = 0
+    for _ in range(300):
+        values = [rng.random() for _ in range(rng.choice([1, 3, 10, 40]))]
+        own = [sum(v > cut for v in values) for cut in secret_scan.CUTS]
+        kept += sum(v > secret_scan.chosen_cut(own, [0] * len(own), 0.05) for v in values)
+        total += len(values)
+    assert kept >= 0.95 * total
+    # structured tokens are still cut off where their number, or that of the neighbours, shows them
+    for own, near in (([200, *[40] * 8], [0] * 9), ([3, *[0] * 8], [400, *[10] * 8])):
+        assert secret_scan.chosen_cut(own, near, 0.05) > 0.01
+    lone = docs.filter("doc_id < 4").collect()
+    for r in lone:
+        one = secret_scan.spans(spark.createDataFrame([r]), "doc_id", "text").first()
+        assert len(one.added) == int(scored[r.doc_id].c[0].p > 0.01)
+
+
 def test_rows(spark):
     key = "password: hunter2hunter2"
     rows = [(1, key, 1), (1, key, 1), (2, None, 1), (3, "", 1), (None, "AKIA" + "Q" * 16, 1)]
