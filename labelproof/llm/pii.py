@@ -206,8 +206,10 @@ class SemiMarkovModel:
         self.steps = np.zeros((LABELS + 1, LABELS))  # the last row starts an island
 
     def lattice(self, text: str, before: str, words: list[tuple[int, int]]):
+        return list(self.columns(text, before, words))
+
+    def columns(self, text: str, before: str, words: list[tuple[int, int]]):
         """Per end and length: feature numbers and label scores; several words cannot be outside a segment."""
-        rows = []
         for end in range(1, len(words) + 1):
             row = []
             for size in range(1, min(LONGEST, end) + 1):
@@ -218,35 +220,36 @@ class SemiMarkovModel:
                 if size > 1:
                     scores[NONE] = -np.inf
                 row.append((numbers, scores))
-            rows.append(row)
-        return rows
+            yield row
 
     def best(self, text: str, before: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
-        """(first word, end word, label, log odds over no segment) of the best segmentation."""
-        rows = self.lattice(text, before, words)
-        n = len(rows)
+        """(first word, end word, label, log odds over no segment) of the best segmentation.
+
+        A column of the lattice goes once it is used; about a hundred bytes a word stay.
+        """
+        n = len(words)
         value = np.full((n + 1, LABELS + 1), -np.inf)
         value[0, LABELS] = 0.0
-        came: list[dict[int, tuple[int, int, float]]] = [{}]
-        for end in range(1, n + 1):
-            back = {}
-            for size, (_, scores) in enumerate(rows[end - 1], 1):
+        sizes, previous = np.zeros((n + 1, LABELS), np.int8), np.zeros((n + 1, LABELS), np.int8)
+        gains, outside = np.zeros((n + 1, LABELS)), np.zeros(n)
+        for end, row in enumerate(self.columns(text, before, words), 1):
+            outside[end - 1] = row[0][1][NONE]
+            for size, (_, scores) in enumerate(row, 1):
                 ways = value[end - size, :, None] + self.steps
                 best = ways.argmax(axis=0)
                 total = ways[best, range(LABELS)] + scores
+                none = sum(outside[end - size : end])
                 for label in range(LABELS):
                     if total[label] > value[end, label]:
                         value[end, label] = total[label]
-                        outside = sum(rows[k][0][1][NONE] for k in range(end - size, end))
-                        back[label] = (size, int(best[label]), float(scores[label] - outside))
-            came.append(back)
+                        sizes[end, label], previous[end, label], gains[end, label] = size, best[label], scores[label] - none
         out, end = [], n
         label = int(value[n, :LABELS].argmax())
         while end > 0:
-            size, previous, odds = came[end][label]
+            size = int(sizes[end, label])
             if label != NONE:
-                out.append((end - size, end, label, odds))
-            end, label = end - size, previous
+                out.append((end - size, end, label, float(gains[end, label])))
+            end, label = end - size, int(previous[end, label])
         return out[::-1]
 
     def learn(self, text, before, words, gold: list[tuple[int, int, int]], rate: float) -> None:
@@ -363,13 +366,10 @@ def added_spans(text: str, base, model: SemiMarkovModel, margin: float) -> list[
     for before, words in islands(text):
         if all(any(a < end and start < b for _, a, b in base) for start, end in words):
             continue
-        # a dynamic program over pieces of bounded length keeps the memory of very long islands small
-        for k in range(0, len(words), 256):
-            piece = words[k : k + 256]
-            for first, end, label, odds in model.best(text, before if k == 0 else "#", piece):
-                start, stop = piece[first][0], piece[end - 1][1]
-                if odds >= margin and not any(a < stop and start < b for _, a, b in base):
-                    out.append((KINDS[label - 1], start, stop))
+        for first, end, label, odds in model.best(text, before, words):
+            start, stop = words[first][0], words[end - 1][1]
+            if odds >= margin and not any(a < stop and start < b for _, a, b in base):
+                out.append((KINDS[label - 1], start, stop))
     return out
 
 

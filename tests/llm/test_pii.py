@@ -80,6 +80,29 @@ def test_best_equals_brute_force():
     assert got == [s for s in want if s[2] != pii.NONE]
 
 
+def test_segments_across_any_word_of_a_long_island_are_found():
+    class Wanted(pii.SemiMarkovModel):
+        """Likes four words of four fours as a card."""
+
+        def columns(self, text, before, words):
+            for row in super().columns(text, before, words):
+                for size, (_, scores) in enumerate(row, 1):
+                    scores[:] = -np.inf if size > 1 else 0.0
+                    scores[1:] = -5.0
+                end = len(seen) + 1
+                seen.append(row)
+                if len(row) >= 4 and text[words[end - 4][0] : words[end - 1][1]] == "4444 4444 4444 4444":
+                    row[3][1][3] = 9.0
+                yield row
+
+    for place in (10, 253, 254, 255, 509, 511):
+        seen = []
+        words = ["7"] * place + ["4444"] * 4 + ["7"] * 300
+        text = " ".join(words)
+        start = 2 * place
+        assert pii.added_spans(text, [], Wanted(), 2.0) == [("card", start, start + 19)]
+
+
 def test_model_finds_forms_beyond_the_patterns(spark):
     rng = random.Random(4)
 
