@@ -7,8 +7,9 @@ by features of the segment as one piece (numbers of digits, groups, separators,
 a dynamic program over the segments chooses borders and kinds together. Segments that the model prefers over none by
 ``margin`` (in log odds), and that touch no base span, are added.
 
-The model is trained here, on islands of at most ``sample_rows`` rows (those of the smallest hashed id that hold a
-digit, an at sign or the word "at"), labelled by the patterns. A third of the labelled islands are written in a form the patterns do
+The model is trained here, on at most ``islands_per_row`` islands of each of at most ``sample_rows`` rows: in turn those
+with a base span of each kind and those with a digit, an at sign or the word "at" but none, by hashed id. They are
+labelled by the patterns. A third of the labelled islands are written in a form the patterns do
 not know (without plus, with dots for spaces, with "at" for the sign), so that it learns shapes beyond theirs.
 
 Defined cases: a null text is the empty text and has no spans. Texts are read whole, in time linear in their length.
@@ -20,6 +21,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelproof.llm.batches import bounded
+from labelproof.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = 0  # label of words outside segments; the kinds follow from 1
@@ -318,11 +322,78 @@ def example(text: str, before: str, words: list[tuple[int, int]]):
     return text, before, words, gold
 
 
-def fit(docs: DataFrame, key: str, text: str, sample_rows: int = 1500, epochs: int = 4, seed: int = 11):
-    """A model from the islands of a bounded sample of rows; None where they hold no base span."""
+def sampled_islands(value: str, islands_per_row: int) -> list[tuple[str, str, list[tuple[int, int]]]]:
+    """(island, word before, words) of at most so many islands of a text, chosen by hash, those with a base span first.
+
+    Of an island longer than any segment by far, a stretch around its first base span is cut out, or one by hash.
+    """
+    spans = sorted((a, b) for _, a, b in base_spans(value))
+    starts = [a for a, _ in spans]
+    reach = list(accumulate((b for _, b in spans), max))
+
+    def touched(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
+    ranked = []
+    for number, (before, words) in enumerate(islands(value)):
+        draw = zlib.crc32(f"{number}:{value[words[0][0] : words[0][1]]}".encode("utf-8", "replace"))
+        held = touched(words[0][0], words[-1][1])
+        ranked.append((not held, draw, number, before, words))
+    # the islands without a base span keep half of the places, if there are so many
+    ranked.sort(key=lambda r: r[:3])
+    labelled = [r for r in ranked if not r[0]]
+    others = ranked[len(labelled) :]
+    room = max(islands_per_row - len(others), islands_per_row - islands_per_row // 2)
+    out = []
+    for bare, draw, number, before, words in [*labelled[:room], *others][:islands_per_row]:
+        spare = len(words) - 4 * LONGEST
+        if spare > 0:
+            first = draw % (spare + 1)
+            if not bare:
+                first = next((k for k, w in enumerate(words) if touched(*w)), first) - draw % LONGEST
+            first = min(max(first, 0), spare)
+            before, words = before if first == 0 else "#", words[first : first + 4 * LONGEST]
+        start, end = words[0][0], words[-1][1]
+        out.append((value[start:end], before, [(a - start, b - start) for a, b in words]))
+    return out
+
+
+def sampled_ids(signal: DataFrame, sample_rows: int) -> list:
+    """Ids of rows with a base span of each kind and of rows without one, in turn, by their hashes."""
+    kind_of_id = signal.schema["id"]
+
+    def marked(batches):
+        for batch in batches:
+            kinds = [sorted({k for k, _, _ in base_spans(v)}) or ["none"] for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(kinds, pa.list_(pa.string()))], ["id", "kinds"]
+            )
+
+    schema = T.StructType([kind_of_id, T.StructField("kinds", T.ArrayType(T.StringType()))])
+    rows = stored(bounded(signal).mapInArrow(marked, schema), "pii-kinds").filter(F.col("id").isNotNull())
+    strata = []
+    for kind in (*KINDS, "none"):
+        own = rows.filter(F.array_contains("kinds", kind)).select("id", F.xxhash64("id").alias("draw"))
+        strata.append([r.id for r in own.orderBy("draw", "id").limit(sample_rows).collect()])
+    chosen: dict = {}
+    queues = [iter(s) for s in strata]
+    while queues and len(chosen) < sample_rows:
+        for queue in list(queues):
+            fresh = next((i for i in queue if i not in chosen), None)
+            if fresh is None:
+                queues.remove(queue)
+            elif len(chosen) < sample_rows:
+                chosen[fresh] = True
+    return list(chosen)
+
+
+def fit(
+    docs: DataFrame, key: str, text: str, sample_rows: int = 1500, epochs: int = 4, seed: int = 11, islands_per_row: int = 50
+):
+    """A model from the islands of a bounded sample of rows; None where no row holds a base span."""
     signal = docs.filter(F.col(text).rlike(ROWS_WITH_SIGNAL)).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    ids = signal.select("id", F.xxhash64("id").alias("draw")).orderBy("draw", "id").limit(sample_rows).collect()
-    known = [r.id for r in ids if r.id is not None]
+    known = sampled_ids(signal, sample_rows)
     if not known:
         return None
 
@@ -330,11 +401,8 @@ def fit(docs: DataFrame, key: str, text: str, sample_rows: int = 1500, epochs: i
         for batch in batches:
             rows = []
             for value in batch.column(0).to_pylist():
-                # an island is cut out of its text; one that is longer than any segment by far adds nothing
-                for before, words in islands(value)[:50]:
-                    start, end = words[0][0], words[: 4 * LONGEST][-1][1]
-                    shift = [f"{a - start}:{b - start}" for a, b in words[: 4 * LONGEST]]
-                    rows.append((value[start:end], before, ",".join(shift)))
+                for island, before, words in sampled_islands(value, islands_per_row):
+                    rows.append((island, before, ",".join(f"{a}:{b}" for a, b in words)))
             columns = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["island", "before", "words"])
 

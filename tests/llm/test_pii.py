@@ -157,6 +157,23 @@ def test_disguised_addresses_without_digits_are_found(spark):
         pii.written_addresses(text)
 
 
+def test_rare_kinds_are_in_the_sample(spark):
+    rows = [(i, f"row {i} of {i * 7} and {i * 13}") for i in range(3000)]
+    rows += [(3000 + i, "9 x\n" * 80 + f"write to ab{i}@example.org\n" + "8 y\n" * 80) for i in range(4)]
+    rows += [(3010, "from 10.0.0.1 on"), (3011, "call +1 (578) 555-6437 now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signal = docs.selectExpr("doc_id AS id", "text")
+    ids = pii.sampled_ids(signal, 40)
+    assert len(ids) == len(set(ids)) == 40 and {3000, 3001, 3002, 3003, 3010, 3011} <= set(ids)
+    islands = pii.sampled_islands(rows[3000][1], 50)
+    assert len(islands) == 50 and "ab0@example.org" in [i[0] for i in islands]
+    assert {"9", "8"} <= {i[0] for i in islands}
+    long = " ".join(map(str, range(500))) + " a1@example.org " + " ".join(map(str, range(500)))
+    (island, _, words), = pii.sampled_islands(long, 50)
+    assert len(words) == 4 * pii.LONGEST and "a1@example.org" in [island[a:b] for a, b in words]
+    assert pii.fit(docs, "doc_id", "text", sample_rows=40) is not None
+
+
 def test_rows(spark):
     card = "4111 1111 1111 1111"
     rows = [
