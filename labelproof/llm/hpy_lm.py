@@ -2,8 +2,9 @@
 
 The next word is drawn from the restaurant of the word before it; all these restaurants share one parent, the root,
 whose base is uniform over the training words and one unknown word. Words are dealt to ``RESTAURANTS`` restaurants by
-the hash of the word before: frequent words have one to themselves, rare ones share. So what the tasks need to know of
-all restaurants is a vector of fixed size, which is all that is ever broadcast.
+the hash of the word before; words that meet in one, frequent or rare, share it, more of them the larger the
+vocabulary. So what the tasks need to know of all restaurants is a vector of fixed size, which is all that is ever
+broadcast.
 
 A word's customers and tables in all restaurants, and its customers and tables in the root, lie together in the bucket
 of that word. In a sweep each bucket seats every word's customers anew, one after another as in the Chinese restaurant
