@@ -15,3 +15,9 @@ def bounded(rows: DataFrame) -> DataFrame:
     """
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
     return rows
+
+
+def limited(rows: DataFrame, batch_bytes: int = 1 << 26) -> DataFrame:
+    """As :func:`bounded`, and a batch also ends at ``batch_bytes``: many very long texts do not meet in one."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
+    return bounded(rows)

@@ -9,7 +9,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import bpe, decontam, fingerprint, hpy_lm, langid, line_dedup, ngram_join, pii, secret_scan, warc
+from labelproof.llm import (
+    bpe,
+    decontam,
+    fingerprint,
+    hpy_lm,
+    importance,
+    langid,
+    line_dedup,
+    ngram_join,
+    pii,
+    secret_scan,
+    spelling,
+    warc,
+)
 from labelproof.llm.folds import fold
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path
@@ -219,6 +232,109 @@ def op10_fingerprints(t: Tables) -> DataFrame:
     return fingerprint.edited_and_next(t.documents, "doc_id", "text")
 
 
+# DuckDB has no crc32: the sum is made of one entry of a table per byte, by the byte's distance from the end. The tables
+# follow from the polynomial; texts(s) are the strings to hash and crc(s, h) their unsigned checksums.
+CRC_SQL = r"""
+longest AS (SELECT max(octet_length(encode(s))) AS n FROM texts),
+first_table AS (
+  SELECT b, list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM range(256) AS t(b)),
+tables AS (
+  SELECT CAST(0 AS BIGINT) AS back, b, v FROM first_table
+  UNION ALL
+  SELECT p.back + 1, p.b, xor(p.v // 256, z.v) FROM tables p JOIN first_table z ON z.b = p.v % 256
+  WHERE p.back < (SELECT n FROM longest)),
+plain AS (SELECT s, octet_length(encode(s)) AS n, hex(encode(s)) AS h FROM texts),
+bytes AS (
+  SELECT s, n - i AS back, CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) AS b
+  FROM plain, unnest(range(1, n + 1)) AS u(i)),
+-- the sum starts from all bits set, which turns over the first four bytes
+crc AS (
+  SELECT s, xor(bit_xor(v), 4294967295) AS h FROM (
+    SELECT s, t.v FROM bytes x JOIN plain USING (s) JOIN tables t
+      ON t.back = x.back AND t.b = CASE WHEN n - x.back <= 4 THEN 255 - x.b ELSE x.b END
+    UNION ALL
+    SELECT s, 4294967295 // (1 << CAST(8 * n AS INTEGER)) FROM plain WHERE n < 4) GROUP BY s)
+"""
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS k FROM runs GROUP BY ALL),
+texts AS (SELECT s FROM counted),
+{CRC_SQL.strip()},
+slipped AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+    ELSE run END AS word, k FROM counted JOIN crc USING (s)),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cuts AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cuts a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.cut = b.word),
+near AS (
+  SELECT p.word, count(*) AS n_near, max(w.n) AS most,
+    first(p.other ORDER BY w.n DESC, encode(p.other)) AS best
+  FROM pairs p JOIN words w ON w.word = p.other GROUP BY p.word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN best END AS form,
+    CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM words w LEFT JOIN near USING (word)),
+chain AS (
+  SELECT word, word AS place FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.place WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.place AS root FROM chain c JOIN forms f ON f.word = c.place WHERE f.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM forms JOIN ends USING (word)
+"""
+
+
+@query("op12_spelling_variants", OP12_SQL)
+def op12_spelling_variants(t: Tables) -> DataFrame:
+    return spelling.variants(spelling.counted_words(t.documents, "doc_id", "text"))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+doc_runs AS (
+  SELECT doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+  FROM docs, unnest([1, 2, 3]) AS v(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+item_runs AS (
+  SELECT array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+  FROM items, unnest([1, 2, 3]) AS v(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+texts AS (SELECT s FROM doc_runs UNION SELECT s FROM item_runs),
+{CRC_SQL.strip()},
+doc_counts AS (SELECT h % 10000 AS bucket, count(*) AS n FROM doc_runs JOIN crc USING (s) GROUP BY 1),
+item_counts AS (SELECT h % 10000 AS bucket, count(*) AS n FROM item_runs JOIN crc USING (s) GROUP BY 1),
+gains AS (
+  SELECT u.bucket, CAST(floor(1000 * ln((coalesce(i.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM doc_counts) + 10000)::DOUBLE
+    / ((coalesce(d.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM item_counts) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) AS u(bucket) LEFT JOIN doc_counts d USING (bucket) LEFT JOIN item_counts i USING (bucket)),
+weights AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain) AS weight
+  FROM doc_runs JOIN crc USING (s) JOIN gains ON gains.bucket = h % 10000 GROUP BY doc_id),
+scores AS (
+  SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || CAST(doc_id AS VARCHAR)), 8) AS BIGINT)
+      + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, len(w) >= 20 AS enough
+  FROM docs LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place FROM scores)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN enough AND place <= (SELECT count(*) FROM scores WHERE enough) * 5 // 100 THEN place END AS rank
+FROM placed
+"""
+
+
+@query("op13_importance_resampling", OP13_SQL)
+def op13_importance_resampling(t: Tables) -> DataFrame:
+    return importance.resampled(t.documents, t.benchmark, "doc_id", "text", "text")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
