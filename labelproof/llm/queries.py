@@ -25,7 +25,7 @@ from labelproof.llm import (
 )
 from labelproof.llm.folds import fold
 from labelproof.schemas import Tables
-from labelproof.session import scratch_path
+from labelproof.session import scratch_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -294,7 +294,7 @@ FROM forms JOIN ends USING (word)
 
 @query("op12_spelling_variants", OP12_SQL)
 def op12_spelling_variants(t: Tables) -> DataFrame:
-    return spelling.variants(spelling.counted_words(t.documents, "doc_id", "text"))
+    return spelling.variants(spelling.counted_words(spread(t.documents), "doc_id", "text"))
 
 
 OP13_SQL = rf"""
@@ -332,7 +332,7 @@ FROM placed
 
 @query("op13_importance_resampling", OP13_SQL)
 def op13_importance_resampling(t: Tables) -> DataFrame:
-    return importance.resampled(t.documents, t.benchmark, "doc_id", "text", "text")
+    return importance.resampled(spread(t.documents), t.benchmark, "doc_id", "text", "text")
 
 
 QUERIES["pipeline"] = corpus_pipeline.run

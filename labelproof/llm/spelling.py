@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelproof.session import stored
+from labelproof.session import shuffle_width, stored
 
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]+"
 SYMBOLS = 6
@@ -74,9 +74,13 @@ def neighbourhood(word: str, symbols: int) -> Column:
 
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, other, other_n): every two words of ``words`` (word, n, reduced) that one edit parts, both ways."""
-    reach = words.select("reduced").distinct().select("reduced", F.explode(neighbourhood("reduced", symbols)).alias("near"))
+    # few bytes, much work: these are dealt to a fixed number of tasks, which adaptive execution does not merge
+    width = max(shuffle_width(words.sparkSession), words.sparkSession.sparkContext.defaultParallelism)
+    distinct = words.select("reduced").repartition(width, "reduced").distinct()
+    reach = distinct.select("reduced", F.explode(neighbourhood("reduced", symbols)).alias("near")).repartition(width, "near")
     others = words.select(F.col("reduced").alias("near"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    candidates = words.select("reduced", "word").join(reach.join(others, "near").drop("near"), "reduced")
+    met = reach.join(others, "near").drop("near").repartition(width, "reduced")
+    candidates = words.select("reduced", "word").join(met, "reduced")
     return candidates.filter(F.levenshtein("word", "other", 1) == 1).select("word", "other", "other_n")
 
 
