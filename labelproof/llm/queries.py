@@ -17,6 +17,7 @@ from labelproof.llm import (
     importance,
     langid,
     line_dedup,
+    line_quality,
     ngram_join,
     pii,
     secret_scan,
@@ -232,6 +233,15 @@ def op10_fingerprints(t: Tables) -> DataFrame:
     return fingerprint.edited_and_next(t.documents, "doc_id", "text")
 
 
+@query("op11_quality_classifier")
+def op11_quality_classifier(t: Tables) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    field = line_quality.fit(t.documents, t.labels, "doc_id", "text", "quality", ~held_out)
+    return line_quality.scores(spread(t.documents), ["doc_id"], "text", field).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 # DuckDB has no crc32: the sum is made of one entry of a table per byte, by the byte's distance from the end. The tables
 # follow from the polynomial; texts(s) are the strings to hash and crc(s, h) their unsigned checksums.
 CRC_SQL = r"""
