@@ -70,6 +70,41 @@ def _weights(n: int, size: int, start: float, extent: float, kernel: str) -> np.
     return _KNOWN_WEIGHTS[key]
 
 
+UPRIGHT = T.StructType(
+    [T.StructField("pixels", T.BinaryType()), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType())]
+)
+
+
+def upright(image: np.ndarray, orientation: int) -> np.ndarray:
+    """A picture (rows first) turned and mirrored as its stated orientation asks."""
+    if orientation >= 5:
+        image = image.swapaxes(0, 1)
+    # the corner that is stored first belongs top left, top right, bottom right or bottom left
+    if orientation in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        image = image[::-1]
+    return image
+
+
+@F.pandas_udf(UPRIGHT)
+def _turned(pixels: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, orientation: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p, h, w, c, o in zip(pixels, height, width, channels, orientation):
+        if p is None or pd.isna(h) or pd.isna(o):
+            rows.append((None, None, None))
+            continue
+        image = upright(np.frombuffer(p, np.uint8).reshape(int(h), int(w), int(c)), int(o))
+        rows.append((image.tobytes(), *image.shape[:2]))
+    kinds = ("object", "Int32", "Int32")
+    return pd.DataFrame({f: pd.Series([r[i] for r in rows], dtype=k) for i, (f, k) in enumerate(zip(UPRIGHT.names, kinds))})
+
+
+def turned() -> Column:
+    """Pixels, height and width of a decoded picture after its ``orientation``."""
+    return _turned(*[F.col(c) for c in ("pixels", "height", "width", "channels", "orientation")])
+
+
 STATS = T.StructType(
     [T.StructField(n, T.DoubleType()) for n in ("mean", "std", "minimum", "maximum", "intensity_range", "p01", "p99")]
 )
@@ -208,8 +243,8 @@ def image_similarity(left: str, right: str) -> Column:
     return _similarity(*parts)
 
 
-def png_bytes(image: np.ndarray) -> bytes:
-    """A grey (2-D) or RGB (3-D) array as PNG."""
+def png_bytes(image: np.ndarray, orientation: int | None = None) -> bytes:
+    """A grey (2-D) or RGB (3-D) array as PNG, with a stated orientation where one is given."""
     height, width = image.shape[:2]
     colour = 0 if image.ndim == 2 else 2
     raw = b"".join(b"\x00" + row.tobytes() for row in np.ascontiguousarray(image, dtype=np.uint8))
@@ -218,7 +253,12 @@ def png_bytes(image: np.ndarray) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     header = struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+    stated = b""
+    if orientation is not None:
+        # one directory of one entry: the orientation as a short number
+        directory = struct.pack(">HHHIHHI", 1, 0x0112, 3, 1, orientation, 0, 0)
+        stated = chunk(b"eXIf", b"MM" + struct.pack(">HI", 42, 8) + directory)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + stated + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
 def tile_png(levels: Column, side: int, scale: int) -> Column:

@@ -112,7 +112,7 @@ def finish(scored: DataFrame, classes: Sequence[str], keys: Sequence[str], label
         F.col(label).cast("string").alias("truth"),
         "predicted",
         confidence.alias("confidence"),
-        (confidence < F.lit(float(threshold))).alias("uncertain"),
+        (~ev.reaches(confidence, threshold)).alias("uncertain"),
         F.col(label).cast("string").eqNullSafe(F.col("predicted")).alias("correct"),
         "probabilities",
     )

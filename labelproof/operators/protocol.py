@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelproof.functions.vectors import probability_problem
+from labelproof.ml import bundles
 from labelproof.operators import evaluation as ev
 from labelproof.operators.gates import Check, count_rows, gate_rows, side_by_side
 from labelproof.operators.joins import assignment_difference
@@ -41,6 +42,8 @@ FREEZE_SCHEMA = _fields(
     ("class_order", T.ArrayType(_text)),
     ("settings", T.MapType(_text, _number)),
     ("digests", T.MapType(_text, _text)),
+    ("model_digest", _text),
+    ("held_out", T.MapType(_text, _fields(("rows", _whole), ("entities", _whole)))),
     ("test_access", _fields(("rows_loaded", _whole), ("predictions_made", _whole), ("metrics_recorded", _flag))),
 )
 
@@ -95,15 +98,39 @@ def check_validation_rows(predictions: DataFrame, classes: Sequence[str], expect
         raise AssertionError(f"{facts['bad']} validation rows have invalid probabilities or labels")
 
 
+def held_out_counts(items: DataFrame, *, entity: str, target: str, split: str) -> DataFrame:
+    """One row: held-out rows and entities per class, as a map. Reads labels of no prediction."""
+    held_out = items.filter(F.col(split) == "test")
+    sizes = held_out.groupBy(F.col(target).cast("string").alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(entity).alias("entities")
+    )
+    entry = F.struct("label", F.struct("rows", "entities").alias("counts"))
+    # one entry per class
+    return sizes.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("held_out"))
+
+
 def freeze_record(
-    predictions: DataFrame, tables: dict[str, DataFrame], classes: Sequence[str], settings: dict[str, float], name: str
+    predictions: DataFrame,
+    tables: dict[str, DataFrame],
+    classes: Sequence[str],
+    settings: dict[str, float],
+    name: str,
+    *,
+    model_digest: str | None = None,
+    counts: DataFrame | None = None,
+    sweep: dict | None = None,
 ) -> DataFrame:
-    """One nested row: chosen threshold, class order, settings, table digests, no test access yet."""
+    """One nested row: chosen threshold, class order, settings, table digests, no test access yet.
+
+    ``model_digest`` names the bundle that the evaluation has to load, ``counts`` is the row of
+    :func:`held_out_counts`, and ``sweep`` changes the candidates and floors of the threshold.
+    """
     check_validation_rows(predictions, classes)
-    sweep = ev.threshold_sweep(predictions)
-    chosen = ev.choose_threshold(sweep)
+    chosen = ev.choose_threshold(ev.threshold_sweep(predictions, **(sweep or {})))
     digests = table_digests(tables).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "digest")))).alias("digests"))
-    facts = side_by_side([chosen, digests])
+    if counts is None:
+        counts = predictions.sparkSession.range(1).select(F.lit(None).cast(FREEZE_SCHEMA["held_out"].dataType).alias("held_out"))
+    facts = side_by_side([chosen, digests, counts])
     numbers = [F.lit(x) for pair in settings.items() for x in (pair[0], float(pair[1]))]
     missing = F.raise_error(F.lit("no candidate threshold meets the accuracy and coverage floors"))
     return facts.select(
@@ -121,19 +148,23 @@ def freeze_record(
         F.array(*[F.lit(c) for c in classes]).alias("class_order"),
         F.create_map(*numbers).alias("settings"),
         "digests",
+        F.lit(model_digest).cast("string").alias("model_digest"),
+        "held_out",
         F.struct(F.lit(0).alias("rows_loaded"), F.lit(0).alias("predictions_made"), F.lit(False).alias("metrics_recorded")).alias(
             "test_access"
         ),
     )
 
 
-def prepare(paths: Paths, predictions: DataFrame, tables: dict[str, DataFrame], classes, settings, name: str) -> DataFrame:
+def prepare(
+    paths: Paths, predictions: DataFrame, tables: dict[str, DataFrame], classes, settings, name: str, **recorded
+) -> DataFrame:
     """Write the freeze record; refuses when one, or a receipt, is already there."""
     spark = predictions.sparkSession
     for path in (paths.freeze, paths.receipt("started")):
         if exists(spark, path):
             raise FileExistsError(f"refusing to prepare again: {path} exists")
-    record = freeze_record(predictions, tables, classes, settings, name)
+    record = freeze_record(predictions, tables, classes, settings, name, **recorded)
     write_once(record.coalesce(1), paths.freeze)
     return spark.read.schema(record.schema).json(paths.freeze)
 
@@ -183,18 +214,31 @@ def held_out_checks(items: DataFrame, assignments: DataFrame, *, entity: str, ta
 
 def check_counts(held_out: DataFrame, expected: dict[str, tuple[int, int]], *, entity: str, target: str) -> None:
     """Raise unless every class has the expected numbers of held-out rows and entities, and there is no other class."""
-    sizes = held_out.groupBy(target).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(entity).alias("entities"))
+    sizes = held_out.groupBy(F.col(target).cast("string").alias(target)).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(entity).alias("entities"))
     found = {r[target]: (r["rows"], r["entities"]) for r in sizes.limit(len(expected) + 1).collect()}
     if found != expected:
         wrong = {k: (expected.get(k), found.get(k)) for k in {*expected, *found} if expected.get(k) != found.get(k)}
         raise AssertionError(f"held-out rows and entities per class, expected and found: {wrong}")
 
 
+def frozen_scorer(
+    freeze: DataFrame, models: str | None, classes: Sequence[str], keys: Sequence[str], target: str, features: str, threshold: float
+) -> Callable[[DataFrame], DataFrame]:
+    """The scoring function of the bundle that the freeze record names."""
+    digest = freeze.select("model_digest").first()[0]
+    if digest is None or models is None:
+        raise ValueError("without a scorer the freeze record must name a model and a folder must hold it")
+    bundle = bundles.load(freeze.sparkSession, models, digest)
+    if list(bundle.classes) != list(classes):
+        raise AssertionError(f"the frozen model has other classes: {list(bundle.classes)}")
+    return bundles.scorer(bundle, keys, target, features, threshold)
+
+
 def evaluate_once(
     paths: Paths,
     items: DataFrame,
     assignments: DataFrame,
-    scorer: Callable[[DataFrame], DataFrame],
+    scorer: Callable[[DataFrame], DataFrame] | None,
     tables: dict[str, DataFrame],
     classes: Sequence[str],
     settings: dict[str, float],
@@ -204,11 +248,15 @@ def evaluate_once(
     split: str = "split",
     key: str = "item_id",
     expected: dict[str, tuple[int, int]] | None = None,
+    models: str | None = None,
+    features: str = "features",
 ) -> DataFrame:
     """Verify the contract, score the held-out rows once, write every report and the receipt.
 
-    ``expected`` holds the numbers of held-out rows and entities of each class,
-    where they are known beforehand. Cheap checks come before scoring, and a started receipt is written before
+    ``expected`` holds the numbers of held-out rows and entities of each class;
+    without it those that the freeze record holds, if any, are required. Without
+    a ``scorer`` the bundle that the record names by its digest is read from
+    ``models`` and scores the column ``features``. Cheap checks come before scoring, and a started receipt is written before
     the first held-out row is scored, so a second run is refused.
     """
     spark = items.sparkSession
@@ -219,8 +267,13 @@ def evaluate_once(
     failed = held_out_checks(items, assignments, entity=entity, target=target, split=split).filter("status = 'FAIL'").collect()
     if failed:
         raise AssertionError(f"held-out checks failed: {[r['check_name'] for r in failed]}")
+    if expected is None:
+        recorded = freeze.select("held_out").first()[0]
+        expected = None if recorded is None else {k: (v["rows"], v["entities"]) for k, v in recorded.items()}
     if expected is not None:
         check_counts(items.filter(F.col(split) == "test"), expected, entity=entity, target=target)
+    if scorer is None:
+        scorer = frozen_scorer(freeze, models, classes, [key, entity, split], target, features, threshold)
     started = spark.range(1).select(F.lit("started").alias("status"), F.lit(False).alias("rerun_allowed"), F.current_timestamp().alias("at"))
     write_once(started, paths.receipt("started"))
 

@@ -148,7 +148,7 @@ def quality_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
-def admission_rules() -> list[Rule]:
+def admission_rules(*, max_bytes: int = MAX_BYTES, max_pixels: int = MAX_PIXELS) -> list[Rule]:
     """Ordered admission rules over measured inputs.
 
     Columns: ``content_type``, ``length``, ``width``, ``height``, ``std``,
@@ -159,9 +159,9 @@ def admission_rules() -> list[Rule]:
     return [
         Rule(~F.coalesce(F.col("content_type").isin(*SUPPORTED_TYPES), F.lit(False)), "unsupported type"),
         Rule(F.coalesce(F.col("length"), F.lit(0)) == 0, "empty input"),
-        Rule(F.col("length") > MAX_BYTES, "too many bytes"),
+        Rule(F.col("length") > max_bytes, "too many bytes"),
         Rule(w.isNull() | h.isNull() | (w < 0), "unreadable"),
-        Rule(w.cast("bigint") * h > MAX_PIXELS, "too many pixels"),
+        Rule(w.cast("bigint") * h > max_pixels, "too many pixels"),
         Rule((w < MIN_SIDE) | (h < MIN_SIDE), "too small"),
         Rule((w > MAX_SIDE) | (h > MAX_SIDE), "too large"),
         Rule((std < BLANK_STD) | flat, "blank or nearly blank"),

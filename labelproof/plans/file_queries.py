@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelproof.functions.images import gradient_features, image_similarity, normalised
-from labelproof.operators import dedup, gates, profile, rules
+from labelproof.operators import admission, dedup, gates, profile, rules
 from labelproof.plans import gallery
 from labelproof.plans.bindings import LANGUAGES, manifest
 from labelproof.plans.registry import query
@@ -174,8 +174,45 @@ def b8(t):
     NOT damaged AND NOT blank AS admitted FROM gallery WHERE NOT missing""",
 )
 def b9(t):
-    present = gallery.measured(t).filter("exists")
-    return rules.first_failure(present, rules.admission_rules(), usable="admitted").select("vec_id", "reason", "admitted")
+    judged = admission.admit_folder(t.spark, gallery.folder(t))
+    return judged.select(gallery.key_of().alias("vec_id"), "reason", "admitted")
+
+
+SQL_AWKWARD = """SELECT vec_id, CASE r WHEN 3 THEN 'too many bytes' WHEN 4 THEN 'unsupported type' WHEN 5 THEN 'blank or nearly blank' WHEN 6 THEN 'too many pixels'
+      WHEN 7 THEN 'unreadable' WHEN 9 THEN 'too small' ELSE '' END AS reason, r NOT IN (3, 4, 5, 6, 7, 9) AS admitted,
+    CASE WHEN r = 6 THEN 6000 WHEN r = 9 THEN 16 WHEN r IN (3, 4, 7) THEN NULL ELSE 32 END AS width,
+    CASE WHEN r = 6 THEN 5001 WHEN r = 9 THEN 12 WHEN r IN (3, 4, 7) THEN NULL ELSE 24 END AS height
+    FROM (SELECT vec_id, vec_id % 25 AS r FROM embeddings)"""
+
+
+@query("b9_admission_by_header", SQL_AWKWARD)
+def b9_by_header(t):
+    """Too many bytes or pixels are told without reading or decoding; sizes are those of the turned picture."""
+    folder = gallery.awkward_folder(t)
+    judged = admission.admit_folder(t.spark, folder, max_bytes=gallery.AWKWARD_BYTES, max_pixels=gallery.AWKWARD_PIXELS)
+    return judged.select(gallery.key_of().alias("vec_id"), "reason", "admitted", "width", "height")
+
+
+@query(
+    "c17_turned_pictures",
+    "WITH " + gallery.SQL_GALLERY + """, seen AS (SELECT vec_id, list_transform(levels[:48], lambda v: (v / 255.0::DOUBLE - 0.5) / 0.5) AS x FROM gallery WHERE vec_id % 25 NOT IN (3, 4, 6, 7, 9))
+    SELECT vec_id, 32 AS width, 24 AS height, round(x[1], 5) AS top_left, round(x[8], 5) AS top_right, round(x[41], 5) AS bottom_left, round(x[48], 5) AS bottom_right,
+    round(list_avg(x), 4) AS mean FROM seen""",
+)
+def c17_turned(t):
+    """Copies stored in all eight orientations give the pixels of the upright picture."""
+    kind = gallery.key_of() % 25
+    images = files.read_images(t.spark, gallery.awkward_folder(t)).filter(F.col("decoded") & ~kind.isin(3, 9))
+    sized = images.select("path", F.col("width").alias("w"), F.col("height").alias("h"))
+    rows = normalised(images, "path", 32, 24).join(sized, "path")
+    corner = {"top_left": 0, "top_right": 31, "bottom_left": 23 * 32, "bottom_right": 24 * 32 - 1}
+    return rows.select(
+        gallery.key_of().alias("vec_id"),
+        F.col("w").alias("width"),
+        F.col("h").alias("height"),
+        *[F.round(F.get("tensor", i).cast("double"), 5).alias(n) for n, i in corner.items()],
+        F.round(F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x.cast("double")) / 768, 4).alias("mean"),
+    )
 
 
 @query(

@@ -6,17 +6,22 @@ damaged or blank so the checks have something to find.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import struct
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelproof.functions.images import image_hash, pixel_stats, tile_png
+from labelproof.functions.images import image_hash, pixel_stats, png_bytes, tile_png, upright
 from labelproof.operators.splits import fingerprint
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path, spread
 from labelproof.sources.files import content_type, plain_path, read_binary, read_images
 from labelproof.sources.sinks import write_files
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 SQL_GALLERY = """
 gallery AS (
@@ -47,18 +52,59 @@ def content_key(df: DataFrame) -> str:
 
 def folder(t: Tables) -> str:
     """Folder of the picture files; written by the tasks, once per session and content of the input table."""
-    key = (t.spark.sparkContext.applicationId, content_key(t.embeddings))
+    r = F.col("vec_id") % 25
+    rows = levels(t).filter(r != 3)
+    content = F.when(r == 4, F.lit("not an image").cast("binary")).otherwise(tile_png(F.col("levels"), 8, 4))
+    return kept_folder(t, "gallery", rows.select(F.format_string("v%d.png", "vec_id").alias("name"), content.alias("content")))
+
+
+def kept_folder(t: Tables, label: str, named: DataFrame) -> str:
+    """Folder with the files of ``named`` (name, content); written by the tasks, once per session and content of the input."""
+    key = (t.spark.sparkContext.applicationId, label, content_key(t.embeddings))
     if key not in _WRITTEN:
-        path = scratch_path(t.spark, "gallery")
-        r = F.col("vec_id") % 25
-        rows = levels(t).filter(r != 3)
-        content = F.when(r == 4, F.lit("not an image").cast("binary")).otherwise(tile_png(F.col("levels"), 8, 4))
-        named = rows.select(F.format_string("v%d.png", "vec_id").alias("name"), content.alias("content"))
+        path = scratch_path(t.spark, label)
         write_files(spread(named), path, "name", "content").write.format("noop").mode("overwrite").save()
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
 
+# Sizes of the awkward set: files over the limit are not read.
+AWKWARD_BYTES = 4096
+AWKWARD_PIXELS = 20_000_000
+
+
+@F.pandas_udf(T.BinaryType())
+def _awkward(levels: pd.Series, kind: pd.Series, orientation: pd.Series) -> pd.Series:
+    """The file of 8 x 6 tiles by its kind, stored so that turning it as stated puts the first tile top left."""
+    out = []
+    for values, k, o in zip(levels, kind, orientation):
+        tiles = np.asarray(values, np.uint8)[:48].reshape(6, 8)
+        image = np.kron(tiles, np.ones((2, 2) if k == 9 else (4, 4), np.uint8))
+        data = png_bytes(upright(image, {6: 8, 8: 6}.get(o, o)), o)
+        if k == 3:
+            data = data.ljust(AWKWARD_BYTES + 1, b"\0")
+        elif k == 4:
+            data = b"not an image"
+        elif k == 6:
+            # a header of 30 million pixels, and nothing after it
+            data = data[:16] + struct.pack(">II", 6000, 5001) + data[24:33]
+        elif k == 7:
+            data = data[: len(data) - 40]
+        out.append(data)
+    return pd.Series(out)
+
+
+def awkward_folder(t: Tables) -> str:
+    """Pictures that state all orientations, and files that admission has to turn down."""
+    kind, turn = (F.col("vec_id") % 25).cast("int"), (F.col("vec_id") % 8 + 1).cast("int")
+    rows = levels(t).select(F.format_string("v%d.png", "vec_id").alias("name"), _awkward("levels", kind, turn).alias("content"))
+    return kept_folder(t, "awkward", rows)
+
+
+def key_of(path: str = "path") -> Column:
+    return F.regexp_extract(path, r"v(\d+)\.png$", 1).cast("bigint")
+
+
 def listed(t: Tables) -> DataFrame:
     """Manifest of the pictures: path, key, target, declared size."""
     base = folder(t)

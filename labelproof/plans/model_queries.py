@@ -10,6 +10,7 @@ from labelproof.ml import models as ml
 from labelproof.operators import evaluation as ev
 from labelproof.plans import gallery
 from labelproof.plans.bindings import CLASSES, SPLIT_SEED, manifest, split_label
+from labelproof.plans.file_queries import SQL_AWKWARD
 from labelproof.plans.registry import query
 from labelproof.schemas import Tables
 from labelproof.plans.gallery import content_key
@@ -152,14 +153,15 @@ def m3(t):
     return a.unionByName(b).drop("probabilities")
 
 
-SQL_CENTROID = "WITH " + SQL_VECTORS + """, parts AS (SELECT e.vec_id, e.label AS truth, v.split, unnest(range(len(e.embedding))) AS i, unnest(e.embedding)::DOUBLE AS x
+SQL_CENTROID_SCORES = "WITH " + SQL_VECTORS + """, parts AS (SELECT e.vec_id, e.label AS truth, v.split, unnest(range(len(e.embedding))) AS i, unnest(e.embedding)::DOUBLE AS x
     FROM embeddings e JOIN vectors v ON v.vec_id = e.vec_id),
   means AS (SELECT truth AS cls, i, avg(x) AS m FROM parts WHERE split = 'train' GROUP BY 1, 2),
-  near AS (SELECT vec_id, truth, cls, -10 * sum((x - m) * (x - m)) AS s FROM parts JOIN means USING (i) WHERE split = 'test' GROUP BY 1, 2, 3),
+  near AS (SELECT vec_id, split, truth, cls, -10 * sum((x - m) * (x - m)) AS s FROM parts JOIN means USING (i) WHERE split <> 'train' GROUP BY 1, 2, 3, 4),
   raised AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM near),
-  shares AS (SELECT vec_id, truth, cls, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM raised)
+  shares AS (SELECT vec_id, split, truth, cls, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM raised)"""
+SQL_CENTROID = SQL_CENTROID_SCORES + """
   SELECT vec_id, truth::VARCHAR AS truth, arg_max(cls, p)::VARCHAR AS predicted, round(max(p), 6) AS confidence, max(p) < 0.6 AS uncertain, arg_max(cls, p) = truth AS correct
-  FROM shares GROUP BY vec_id, truth"""
+  FROM shares WHERE split = 'test' GROUP BY vec_id, truth"""
 
 
 def by_centroid(t: Tables, rows):
@@ -189,15 +191,23 @@ def l2_external(t):
 
 @query(
     "l1_streaming_admission",
-    "WITH " + gallery.SQL_GALLERY + """ SELECT vec_id, CASE WHEN damaged THEN 'unreadable' WHEN blank THEN 'blank or nearly blank' ELSE '' END AS reason,
+    "WITH " + gallery.SQL_GALLERY + """ SELECT vec_id, CASE WHEN damaged THEN 'unsupported type' WHEN blank THEN 'blank or nearly blank' ELSE '' END AS reason,
     NOT damaged AND NOT blank AS admitted FROM gallery WHERE NOT missing""",
 )
 def l1(t):
-    path, checkpoint = scratch_path(t.spark, "admitted"), scratch_path(t.spark, "stream")
-    stream = flows.admitted(flows.arriving_images(t.spark, gallery.folder(t)))
-    flows.to_files(stream, path, checkpoint, partition="admitted").awaitTermination()
-    key = F.regexp_extract("path", r"v(\d+)\.png$", 1).cast("bigint")
-    return t.spark.read.parquet(path).select(key.alias("vec_id"), "reason", F.col("admitted").cast("boolean").alias("admitted"))
+    path, checkpoint = scratch_path(t.spark, "judged"), scratch_path(t.spark, "stream")
+    flows.admission(flows.arriving_files(t.spark, gallery.folder(t)), path, checkpoint).awaitTermination()
+    return flows.judged_files(t.spark, path).select(gallery.key_of().alias("vec_id"), "reason", "admitted")
+
+
+@query("l1_streaming_admission_by_header", SQL_AWKWARD)
+def l1_by_header(t):
+    """The reasons of the batch, from the same bytes; several batches."""
+    path, checkpoint = scratch_path(t.spark, "judged"), scratch_path(t.spark, "stream")
+    files = flows.arriving_files(t.spark, gallery.awkward_folder(t), 1000)
+    limits = {"max_bytes": gallery.AWKWARD_BYTES, "max_pixels": gallery.AWKWARD_PIXELS}
+    flows.admission(files, path, checkpoint, **limits).awaitTermination()
+    return flows.judged_files(t.spark, path).select(gallery.key_of().alias("vec_id"), "reason", "admitted", "width", "height")
 
 
 @query("l2_streaming_scoring")

@@ -55,6 +55,11 @@ def qualified(spark: SparkSession, path: str) -> str:
     return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file:///") else full
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelproof.functions.headers import picture_header
+from labelproof.functions.images import turned
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *, keep_empty: bool = False) -> DataFrame:
     """CSV with a header and an explicit schema.
@@ -64,7 +67,24 @@ def content_type(head: Column) -> Column:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images; a file that cannot be decoded stays, with null sizes."""
+    """Decoded images the right way up; a file that cannot be decoded stays, with null sizes.
+
+    Spark's picture source leaves out the orientation that a file states, so the few files that state one are found by
+    their headers and turned.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    stated = files.select(plain_path(F.col("path")).alias("path"), picture_header("content").alias("facts"))
+    turns = stated.select("path", F.col("facts.orientation").alias("orientation")).filter(F.col("orientation") > 1)
+    rows = raw_images(spark, path).join(turns, "path", "left")
+    upright = rows.withColumn("upright", F.when(F.col("orientation") > 1, turned()))
+    return upright.select(
+        "path", "decoded", *[F.coalesce(f"upright.{c}", c).alias(c) for c in ("width", "height")], "channels",
+        F.coalesce("upright.pixels", "pixels").alias("pixels"),
+    )
+
+
+def raw_images(spark: SparkSession, path: str) -> DataFrame:
+    """Decoded images as their pixels are stored."""
     frame = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(path)
     opened = F.col("image.nChannels") > 0
     return frame.select(

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelproof.functions.text import markdown_cell
 from labelproof.session import qualified
@@ -61,8 +62,10 @@ def write_markdown(df: DataFrame, path: str, order: Sequence) -> None:
     markdown_lines(df, order).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
-    """Write one file per row from the tasks; returns the rows' names and sizes (lazy).
+def write_files(df: DataFrame, folder: str, name: str, content: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Write one file per row from the tasks; returns the rows' names, sizes and the columns ``keep`` (lazy).
+
+    A row without a name or content writes nothing and has no size.
 
     Names and bytes depend on the row alone, so a retried task rewrites the same
     file. Any file system known to Arrow works; a folder without a scheme is one of the session's default file system.
@@ -77,9 +80,13 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
         for batch in batches:
             sizes = []
             for file_name, data in zip(batch[name], batch[content]):
+                if file_name is None or data is None:
+                    sizes.append(None)
+                    continue
                 with system.open_output_stream(f"{base}/{file_name}") as out:
                     out.write(bytes(data))
                 sizes.append(len(data))
-            yield pd.DataFrame({name: batch[name], "bytes": sizes})
+            yield batch[[*keep, name]].assign(bytes=pd.array(sizes, dtype="Int64"))
 
-    return df.select(name, content).mapInPandas(write, f"{name} string, bytes bigint")
+    fields = [*(df.schema[c] for c in keep), T.StructField(name, T.StringType()), T.StructField("bytes", T.LongType())]
+    return df.select(*keep, name, content).mapInPandas(write, T.StructType(fields))
