@@ -265,7 +265,9 @@ def confidence_summary(
 ) -> DataFrame:
     """Count, mean, quartiles, minimum and maximum for all, correct and incorrect rows."""
     outcome = F.when(F.col(correct), "correct").otherwise("incorrect")
-    tagged = predictions.select(F.explode(F.array(F.lit("all"), outcome)).alias("subset"), F.col(confidence).alias("c"))
+    # a confidence that is no number is left out everywhere, as the quartiles leave it out
+    number = F.nanvl(F.col(confidence).cast("double"), F.lit(None).cast("double"))
+    tagged = predictions.select(F.explode(F.array(F.lit("all"), outcome)).alias("subset"), number.alias("c"))
     basic = tagged.groupBy("subset").agg(
         F.count("c").alias("count"), F.avg("c").alias("mean"), F.min("c").alias("minimum"), F.max("c").alias("maximum")
     )

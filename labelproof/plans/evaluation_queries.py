@@ -196,6 +196,21 @@ def e23(t):
     return out
 
 
+@query(
+    "e23_confidence_summary_dirty",
+    """WITH {preds}, tagged AS (
+      SELECT unnest(['all', CASE WHEN correct THEN 'correct' ELSE 'incorrect' END]) AS subset, confidence AS c
+      FROM preds WHERE split = 'validation' AND item_id % 7 NOT IN (1, 2))
+    SELECT subset, count(*)::BIGINT AS count, round(avg(c), 9) AS mean, min(c) AS minimum, max(c) AS maximum,
+           round(quantile_cont(c, 0.25), 9) AS q25, round(median(c), 9) AS median, round(quantile_cont(c, 0.75), 9) AS q75
+    FROM tagged GROUP BY subset""",
+)
+def e23_dirty(t):
+    """Confidences that are null or no number enter no figure."""
+    out = ev.confidence_summary(dirty(t))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean", "q25", "median", "q75")})
+
+
 @query(
     "e24_uncertainty_by_class",
     """WITH {preds} SELECT truth AS label, count(*)::BIGINT AS rows,

@@ -9,8 +9,8 @@ from labelproof.operators import balance, gates, joins, profile, reshape, rules
 from labelproof.operators.rules import Rule
 from labelproof.schemas import EFFECTS
 
-METADATA = """name: "Example Sans"
-category: "SANS_SERIF"
+METADATA = """name: "Example Wide"
+category: "WIDE_OPEN"
 license: "OFL"
 fonts {
   name: "inner"
@@ -30,7 +30,7 @@ def one(spark, column):
 
 def test_metadata_fields(spark):
     m = one(spark, tx.metadata_fields(F.lit(METADATA)))
-    assert (m["name"], m["category"], m["license"]) == ("Example Sans", "SANS_SERIF", "OFL")
+    assert (m["name"], m["category"], m["license"]) == ("Example Wide", "WIDE_OPEN", "OFL")
     assert m["filenames"] == ["ExampleSans-Regular.ttf", "ExampleSans-Bold.ttf"]
     assert m["subsets"] == ["latin", "menu"]
 
@@ -54,10 +54,10 @@ def test_preferred_name(spark, names, picked):
 
 def test_slugs_and_labels(spark):
     assert one(spark, tx.safe_slug(F.lit("  Ab c/d-1.0_ "))) == "Ab_c_d-1.0"
-    assert one(spark, tx.lower_slug(F.lit("Wider CNN (24)"))) == "wider_cnn_24"
-    assert one(spark, tx.entity_key(F.lit("PT Sans-Caption"))) == "ptsanscaption"
-    assert one(spark, tx.display_label(F.lit("sans_serif"))) == "Sans serif"
-    assert one(spark, tx.title_label(F.lit("sans_serif"))) == "Sans Serif"
+    assert one(spark, tx.lower_slug(F.lit("Model Nine (24)"))) == "model_nine_24"
+    assert one(spark, tx.entity_key(F.lit("No. 4 Main-Street"))) == "no4mainstreet"
+    assert one(spark, tx.display_label(F.lit("north_west"))) == "North west"
+    assert one(spark, tx.title_label(F.lit("north_west"))) == "North West"
     assert one(spark, tx.range_label(F.lit(0.1), F.lit(0.2))) == "0.1–0.2"
 
 
@@ -126,10 +126,10 @@ def test_split_filter_reaches_the_scan(spark, tmp_path):
 
 
 def test_audit_summary(spark):
-    rows = [("A", "serif", "serif", True), ("A", "serif", "serif", True), ("B", "serif", "serif", False)]
+    rows = [("A", "red", "red", True), ("A", "red", "red", True), ("B", "red", "red", False)]
     df = spark.createDataFrame(rows, "entity string, actual string, listed string, usable boolean")
-    out = profile.audit_summary(df, ["serif", "display"], entity="entity", actual="actual", listed="listed", usable="usable")
-    assert {tuple(r) for r in out.collect()} == {("serif", 1, 1, 3), ("display", 0, 0, 0)}
+    out = profile.audit_summary(df, ["red", "blue"], entity="entity", actual="actual", listed="listed", usable="usable")
+    assert {tuple(r) for r in out.collect()} == {("red", 1, 1, 3), ("blue", 0, 0, 0)}
 
 
 def test_column_profile_and_constants(spark):
