@@ -12,13 +12,18 @@ differ in few bits and their profiles are almost parallel.
   least ``b - d`` are equal; putting the bands in ``b - d - 1`` groups, some
   group holds two equal bands, so the band pairs inside the groups are a complete
   family of keys.
-* A crowded key (short texts have mostly constant hashes) is split by a feature
-  of the profile prefix: features in a fixed order up to the point where what is
-  left is too short to reach the wanted cosine. Two profiles that reach it share
-  a prefix feature, so nothing is lost. What is still crowded is cut into cells
-  in which each pair of rows meets once.
-
-A pair is produced once, at the first key and first prefix feature it shares.
+* A crowded key (short texts have mostly constant hashes) becomes an inverted
+  index over the profiles' features, rarest first. What a profile does not share
+  with a near one is at most ``1 - similarity^2`` of its squared norm, so a
+  feature is listed as the first shared one only while what comes before it is
+  no more than that, and a pair of features as the first two while what comes
+  before the second, without the first, is no more. Crowded features are listed
+  by such pairs. A profile that one feature makes up nearly alone may share that
+  one only; it is compared with those that hold much of one feature.
+* What is still crowded (mostly pairs that are links) is cut into cells in which
+  each pair of rows meets once, so that no task grows with it.
+
+A pair is produced once, at the first key and first features it shares.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelproof.functions.vectors import hamming
 from labelproof.operators.skew import lookup_by_heavy_key
@@ -42,8 +48,16 @@ HASH_BITS = PROFILE_SIZE - 1
 PROFILE = "array<struct<b:int,c:bigint>>"
 
 
+def hash_bands(buckets: np.ndarray, counts: np.ndarray, size: int = PROFILE_SIZE) -> np.ndarray:
+    """Difference hash of a sparse profile as 64-bit numbers: bit i is 0 where bucket i holds more than bucket i + 1."""
+    dense = np.zeros(size, np.int64)
+    dense[buckets] = counts
+    return np.packbits(dense[1:] >= dense[:-1]).view(">i8").astype(np.int64)
+
+
 def text_profiles(df: DataFrame, key: str, text: str, size: int = PROFILE_SIZE) -> DataFrame:
-    """Per row with a text: content digest and word counts by bucket as sorted ``entries`` (at most ``size``).
+    """Per row with a text: content digest, word counts by bucket as sorted ``entries`` (at most ``size``), the digest
+    of these as ``profile`` and their difference hash as ``bands``.
 
     A profile depends on its row alone, so it is counted inside the scan task, batch by batch: no shuffle. A word's
     bucket is the first 32 bits of its MD5 digest modulo ``size``.
@@ -54,7 +68,7 @@ def text_profiles(df: DataFrame, key: str, text: str, size: int = PROFILE_SIZE)
     def counted(batches):
         known: dict[bytes, int] = {}
         for batch in batches:
-            numbers, counts, lengths = [], [], []
+            numbers, counts, lengths, digests, bands = [], [], [], [], []
             for value in batch.column(2).to_pylist():
                 # the six ASCII blanks part words, as the SQL pattern for blanks does
                 places = []
@@ -70,46 +84,21 @@ def text_profiles(df: DataFrame, key: str, text: str, size: int = PROFILE_SIZE)
                 numbers.append(filled)
                 counts.append(per[filled])
                 lengths.append(len(filled))
+                digests.append(hashlib.sha256(filled.tobytes() + per[filled].tobytes()).hexdigest())
+                bands.append(hash_bands(filled, per[filled], size))
             entry = pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(numbers), pa.int32()), pa.array(np.concatenate(counts), pa.int64())], ["b", "c"]
             )
             offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+            width = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * ((size - 1) // 64))
+            hashes = pa.ListArray.from_arrays(width, pa.array(np.concatenate(bands)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, entry)], [key, "digest", "entries"]
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, entry), pa.array(digests), hashes],
+                [key, "digest", "entries", "profile", "bands"],
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return lowered.mapInArrow(counted, f"`{key}` {kind}, digest string, entries {PROFILE}")
-
-
-def profile_hash(entries: Column, size: int = PROFILE_SIZE) -> Column:
-    """Difference hash of a sparse profile as 64-bit numbers.
-
-    Bit i is 0 only where bucket i holds more than bucket i + 1, so zero bits
-    lie at filled buckets and the work follows the entries, not the buckets.
-    """
-    following = F.slice(entries, 2, size)
-
-    def drop(e: Column, nxt: Column) -> Column:
-        adjacent = F.when(nxt["b"] == e["b"] + 1, nxt["c"]).otherwise(0)
-        falls = e["c"] > F.coalesce(adjacent, F.lit(0))
-        return F.when(falls & (e["b"] < size - 1), e["b"])
-
-    zeros = F.array_compact(F.zip_with(entries, following, drop))
-
-    def flip(acc: Column, position: Column) -> Column:
-        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(63) - position % 64))
-
-    def band(j: int) -> Column:
-        mine = F.filter(zeros, lambda p: (p >= 64 * j) & (p < 64 * (j + 1)))
-        return F.aggregate(mine, F.lit(-1).cast("bigint"), flip)
-
-    return F.array(*[band(j) for j in range((size - 1) // 64)])
-
-
-def with_hash(profiles: DataFrame, size: int = PROFILE_SIZE) -> DataFrame:
-    """Add ``bands``: the difference hash of the profile as 64-bit numbers."""
-    return profiles.withColumn("bands", profile_hash(F.col("entries"), size))
+    return lowered.mapInArrow(counted, f"`{key}` {kind}, digest string, entries {PROFILE}, profile string, bands array<bigint>")
 
 
 def copy_links(items: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
@@ -159,34 +148,81 @@ def rarity(profiles: DataFrame, size: int = PROFILE_SIZE) -> list[int]:
     return place
 
 
-def by_rarity(entries: Column, place: list[int]) -> Column:
-    """Entries with their buckets numbered by rarity, rarest first: common words end up behind the prefix."""
-    numbers = F.array(*map(F.lit, place))
-    return F.array_sort(F.transform(entries, lambda e: F.struct(F.get(numbers, e["b"]).alias("b"), e["c"].alias("c"))))
+PROBES = "array<struct<f:int,seconds:array<int>>>"
 
 
-def profile_prefix(entries: Column, min_similarity: float) -> Column:
-    """Features up to the point where the rest cannot reach the similarity on its own."""
-    square = squared_norm(entries)
-    bound = square.cast("double") * F.lit(min_similarity**2 - 1e-9)
-    start = F.struct(square.alias("rest"), bound.alias("bound"), F.array().cast("array<int>").alias("taken"))
+def probes(features: np.ndarray, counts: np.ndarray, min_similarity: float):
+    """(first features with their second ones, all features listed, dominated, near dominated) of one profile.
 
-    def take(state: Column, e: Column) -> Column:
-        left = state["rest"] - e["c"] * e["c"]
-        grown = F.when(state["rest"] >= state["bound"], F.array_append(state["taken"], e["b"])).otherwise(state["taken"])
-        return F.struct(left.alias("rest"), state["bound"].alias("bound"), grown.alias("taken"))
+    ``features`` are numbered by rarity and ascend. ``dominated``: one feature holds all but what may be unshared;
+    ``near dominated``: one holds as much as it must in a profile near a dominated one.
+    """
+    squares = counts.astype(np.float64) ** 2
+    mass = squares / squares.sum() if len(squares) else squares
+    before = np.cumsum(mass) - mass
+    spare = 1.0 - min_similarity**2 + 1e-9
+    firsts = int(np.searchsorted(before, spare, "right"))
+    ends = np.searchsorted(before, spare + mass[:firsts], "right")
+    found = [(int(features[i]), features[i + 1 : ends[i]].tolist()) for i in range(firsts)]
+    most = mass.max(initial=0.0)
+    least = max(0.0, min_similarity - (2.0 - 2.0 * min_similarity) ** 0.5) ** 2
+    return found, features[: ends.max(initial=0)].tolist(), bool(1.0 - most <= spare), bool(most >= least - 1e-9)
+
+
+def with_probes(profiles: DataFrame, key: str, min_similarity: float) -> DataFrame:
+    """(key, bands, listed, probes, dominated, near_dominated) per profile; one number per bucket goes through the driver."""
+    place = np.array(rarity(profiles), np.int32)
+
+    def work(batches):
+        for batch in batches:
+            offsets, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            numbers, counts = place[flat.field(0).to_numpy()], flat.field(1).to_numpy()
+            rows = []
+            for low, high in zip(offsets, offsets[1:]):
+                order = np.argsort(numbers[low:high])
+                rows.append(probes(numbers[low:high][order], counts[low:high][order], min_similarity))
+            found = [[{"f": f, "seconds": g} for f, g in r[0]] for r in rows]
+            kind = pa.list_(pa.struct([("f", pa.int32()), ("seconds", pa.list_(pa.int32()))]))
+            arrays = [pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array(found, kind)]
+            flags = [pa.array([r[i] for r in rows], pa.bool_()) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *arrays, *flags], [key, "bands", "listed", "probes", "dominated", "near_dominated"]
+            )
 
-    return F.aggregate(entries, start, take)["taken"]
+    kind = profiles.schema[key].dataType.simpleString()
+    return profiles.select(key, "bands", "entries").mapInArrow(
+        work, f"`{key}` {kind}, bands array<bigint>, listed array<int>, probes {PROBES}, dominated boolean, near_dominated boolean"
+    )
 
 
-def cosine(left: Column, left_norm: Column, right_map: Column, right_norm: Column) -> Column:
-    """Cosine of two sparse profiles; counts are whole numbers, so product and norms are exact."""
-    zero = F.lit(0).cast("bigint")
-    product = F.aggregate(left, zero, lambda a, e: a + e["c"] * F.coalesce(F.try_element_at(right_map, e["b"]), zero))
-    return F.try_divide(product.cast("double"), F.sqrt(left_norm.cast("double") * right_norm.cast("double")))
+def with_cosine(pairs: DataFrame) -> DataFrame:
+    """Pairs (left_id, right_id, distance, le, re) with the cosine of both profiles instead of their entries."""
+
+    def dense(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return column.offsets.to_numpy(), column.values.field(0).to_numpy(), column.values.field(1).to_numpy()
+
+    def work(batches):
+        for batch in batches:
+            sides = [dense(batch.column(i)) for i in (3, 4)]
+            found = []
+            for row in range(batch.num_rows):
+                (lb, lc), (rb, rc) = ((b[o[row] : o[row + 1]], c[o[row] : o[row + 1]]) for o, b, c in sides)
+                _, at_left, at_right = np.intersect1d(lb, rb, assume_unique=True, return_indices=True)
+                norms = float((lc * lc).sum()) * float((rc * rc).sum())
+                found.append(float((lc[at_left] * rc[at_right]).sum()) / norms**0.5 if norms else None)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(found, pa.float64())], ["left_id", "right_id", "distance", "similarity"]
+            )
+
+    fields = [pairs.schema[c] for c in ("left_id", "right_id", "distance")] + [T.StructField("similarity", T.DoubleType())]
+    return pairs.select("left_id", "right_id", "distance", "le", "re").mapInArrow(work, T.StructType(fields))
 
 
 CROWD = 2048
+# rows under a first shared feature that are still compared with each other
+FEW = 16
+# in place of a feature: the key is not split further; the pair may share one feature only
+ANY, ALONE = -2, -1
 
 
 def crowded_keys(keyed: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -207,38 +243,53 @@ def split_crowded(keyed: DataFrame, keys: list[str], row: str, limit: int = CROW
     return cells.withColumn("lo", F.least("block", "__j")).withColumn("hi", F.greatest("block", "__j")).drop("__j", "blocks")
 
 
-def hash_candidates(
-    rows: DataFrame, key: str, *, max_distance: int, width: int, prefix: str | None = None, crowd: int = CROWD
-) -> DataFrame:
+def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int, crowd: int = CROWD) -> DataFrame:
     """Pairs of rows whose 256-bit hashes differ in at most ``max_distance`` bits, each pair once.
 
-    Keys with more than ``crowd`` rows are split: first by the prefix features
-    (``prefix`` is an array of feature numbers; only pairs sharing one can be
-    similar enough), then into cells of rows.
+    ``rows`` may hold the columns of :func:`with_probes`; then only pairs that share the features they must are given
+    for keys of more than ``crowd`` rows. Without them such keys are cut into cells alone.
     """
     family = key_family(HASH_BITS // width, max_distance)
-    hashed = rows.select(key, "bands", (F.col(prefix) if prefix else F.array(F.lit(0))).alias("prefix"))
+    if "probes" in rows.columns:
+        hashed = rows.select(key, "bands", "listed", "probes", "dominated", "near_dominated")
+    else:
+        one = F.array(F.struct(F.lit(0).alias("f"), F.array().cast("array<int>").alias("seconds")))
+        no = F.array(F.lit(0))
+        hashed = rows.select(
+            key, "bands", no.alias("listed"), one.alias("probes"), F.lit(True).alias("dominated"), F.lit(True).alias("near_dominated")
+        )
     parts = narrow_bands(F.col("bands"), width)
     keys = F.array(
         *[F.struct(F.lit(i).alias("k"), parts[a].alias("x"), parts[b].alias("y")) for i, (a, b) in enumerate(family)]
     )
-    band_keys = ["k", "x", "y"]
-    keyed = hashed.select(key, "bands", "prefix", F.inline(keys))
-    flagged = keyed.join(crowded_keys(keyed, band_keys, crowd), band_keys, "left")
-    light = flagged.filter("blocks IS NULL").drop("blocks").withColumns({c: F.lit(v) for c, v in (("f", -1), ("block", 0), ("lo", 0), ("hi", 0))})
-    heavy = flagged.filter("blocks IS NOT NULL").drop("blocks").withColumn("f", F.explode("prefix"))
-    celled = light.unionByName(split_crowded(heavy, [*band_keys, "f"], key, crowd))
-    on = [*band_keys, "f", "lo", "hi"]
-    left = celled.select(*on, F.col("block").alias("lblock"), F.col(key).alias("left_id"), F.col("bands").alias("lb"), F.col("prefix").alias("lp"))
-    right = celled.select(*on, F.col("block").alias("rblock"), F.col(key).alias("right_id"), F.col("bands").alias("rb"), F.col("prefix").alias("rp"))
-    once = (F.col("lo") == F.col("hi")) | (F.col("lblock") != F.col("rblock"))
+    band_keys, first, second = ["k", "x", "y"], ["k", "x", "y", "f"], ["k", "x", "y", "f", "g"]
+    keyed = hashed.select("*", F.inline(keys))
+    by_key = keyed.join(crowded_keys(keyed, band_keys, crowd), band_keys, "left")
+    whole = {"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}
+    kept = [key, "bands", "listed", "dominated", *second, *whole]
+    light = by_key.filter("blocks IS NULL").withColumns({"f": F.lit(ANY), "g": F.lit(ANY), **whole})
+    listed = by_key.filter("blocks IS NOT NULL").drop("blocks").select("*", F.inline("probes"))
+    by_first = listed.join(crowded_keys(listed, first, min(FEW, crowd)), first, "left")
+    few = by_first.filter("blocks IS NULL").withColumns({"g": F.lit(ANY), **whole})
+    alone = F.array(F.lit(ALONE))
+    seconds = F.when(F.col("dominated"), alone).when(F.col("near_dominated"), F.concat("seconds", alone)).otherwise(F.col("seconds"))
+    many = by_first.filter("blocks IS NOT NULL").drop("blocks").withColumn("g", F.explode(seconds))
+    celled = light.select(*kept).unionAll(few.select(*kept)).unionAll(split_crowded(many, second, key, crowd).select(*kept))
+    on = [*second, "lo", "hi"]
+    names = {"block": "block", key: "id", "bands": "b", "listed": "p", "dominated": "d"}
+    left = celled.select(*on, *[F.col(c).alias(f"left_{n}") for c, n in names.items()])
+    right = celled.select(*on, *[F.col(c).alias(f"right_{n}") for c, n in names.items()])
+    once = (F.col("lo") == F.col("hi")) | (F.col("left_block") != F.col("right_block"))
     joined = left.join(right, on).filter((F.col("left_id") < F.col("right_id")) & once)
-    lparts, rparts = narrow_bands(F.col("lb"), width), narrow_bands(F.col("rb"), width)
+    lparts, rparts = narrow_bands(F.col("left_b"), width), narrow_bands(F.col("right_b"), width)
     equal = F.array(*[(lparts[a] == rparts[a]) & (lparts[b] == rparts[b]) for a, b in family])
     first_key = F.array_position(equal, True) == F.col("k") + 1
-    first_feature = (F.col("f") == -1) | (F.array_min(F.array_intersect("lp", "rp")) == F.col("f"))
-    found = joined.withColumn("distance", hamming(F.col("lb"), F.col("rb")))
-    found = found.filter((F.col("distance") <= max_distance) & first_key & first_feature)
+    shared = F.sort_array(F.array_intersect("left_p", "right_p"))
+    first_feature = (F.col("f") == ANY) | (F.get(shared, 0) == F.col("f"))
+    either = F.col("left_d") | F.col("right_d")
+    second_feature = (F.col("g") == ANY) | F.when(F.col("g") == ALONE, either).otherwise(F.get(shared, 1) == F.col("g"))
+    found = joined.withColumn("distance", hamming(F.col("left_b"), F.col("right_b")))
+    found = found.filter((F.col("distance") <= max_distance) & first_key & first_feature & second_feature)
     return found.select("left_id", "right_id", "distance")
 
 
@@ -249,16 +300,12 @@ def near_pairs(
 
     ``profiles`` has one row per distinct profile with ``bands`` and ``entries``.
     """
-    entries = F.col("entries")
-    rare_first = by_rarity(entries, rarity(profiles))
-    hashed = profiles.select(key, "bands", profile_prefix(rare_first, min_similarity).alias("prefix"))
-    found = hash_candidates(hashed, key, max_distance=max_distance, width=width, prefix="prefix", crowd=crowd)
-    a = profiles.select(F.col(key).alias("left_id"), entries.alias("le"), squared_norm(entries).alias("ln"))
-    # the map is built once per profile, below the join
-    b = profiles.select(F.col(key).alias("right_id"), F.map_from_entries(entries).alias("rm"), squared_norm(entries).alias("rn"))
-    similarity = cosine(F.col("le"), F.col("ln"), F.col("rm"), F.col("rn"))
-    scored = found.join(a, "left_id").join(b, "right_id").withColumn("similarity", similarity)
-    return scored.filter(F.col("similarity") >= min_similarity).select("left_id", "right_id", "distance", "similarity")
+    # read by the counts of every level of keys and by both sides of the join
+    hashed = stored(with_probes(profiles, key, min_similarity), "probes")
+    found = hash_candidates(hashed, key, max_distance=max_distance, width=width, crowd=crowd)
+    a = profiles.select(F.col(key).alias("left_id"), F.col("entries").alias("le"))
+    b = profiles.select(F.col(key).alias("right_id"), F.col("entries").alias("re"))
+    return with_cosine(found.join(a, "left_id").join(b, "right_id")).filter(F.col("similarity") >= min_similarity)
 
 
 def suspicious_links(
@@ -280,9 +327,8 @@ def suspicious_links(
     profiles = stored(text_profiles(df, key, text), "profiles")
     copies, contents = copy_links(profiles, key, "digest")
     one = profiles.join(contents.select(F.col("keep").alias(key)), key, "left_semi")
-    signed = one.withColumn("profile", F.sha2(F.to_json("entries"), 256))
-    same, kept = copy_links(signed, key, "profile")
-    distinct_profiles = with_hash(signed.join(kept.select(F.col("keep").alias(key)), key, "left_semi"))
+    same, kept = copy_links(one, key, "profile")
+    distinct_profiles = one.join(kept.select(F.col("keep").alias(key)), key, "left_semi")
     distinct_profiles = stored(distinct_profiles.select(key, "entries", "bands"), "distinct-profiles")
     near = near_pairs(
         distinct_profiles, key, max_distance=max_distance, width=width, min_similarity=min_similarity, crowd=crowd

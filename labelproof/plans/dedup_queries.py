@@ -47,7 +47,7 @@ def _links_sql(distance: int) -> str:
     "WITH " + SQL_PROFILE + SQL_WIDE + " SELECT doc_id, " + " || ".join(f"printf('%08x', h{i})" for i in range(8)) + " AS hash FROM hashes",
 )
 def c11(t):
-    hashed = dedup.with_hash(dedup.text_profiles(t.documents, "doc_id", "text"))
+    hashed = dedup.text_profiles(t.documents, "doc_id", "text")
     return hashed.select("doc_id", vx.hash_hex(F.col("bands"), 4).alias("hash"))
 
 
@@ -71,7 +71,7 @@ def c11_vectors(t):
     "WITH " + SQL_PROFILE + SQL_WIDE + f" SELECT a.doc_id, ({SQL_DISTANCE})::BIGINT AS distance FROM hashes a JOIN hashes b ON b.doc_id = a.doc_id + 1",
 )
 def c12(t):
-    hashed = dedup.with_hash(dedup.text_profiles(t.documents, "doc_id", "text")).select("doc_id", "bands")
+    hashed = dedup.text_profiles(t.documents, "doc_id", "text").select("doc_id", "bands")
     following = hashed.select((F.col("doc_id") - 1).alias("doc_id"), F.col("bands").alias("next_bands"))
     return hashed.join(following, "doc_id").select("doc_id", vx.hamming(F.col("bands"), F.col("next_bands")).alias("distance"))
 

@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,56 @@ def test_links(spark, texts, distance, width, similarity, crowd):
     assert any(k == "near" for *_, k in found)
 
 
+def crowd_of(n, rng):
+    """Texts of two to six words whose hashes are all alike in the test below."""
+    return [(i, " ".join(rng.choices(WORDS, k=rng.randint(2, 6)))) for i in range(n)]
+
+
+def test_a_crowd_under_one_key_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """All rows have one hash: candidates follow the rows and the links, not the pairs."""
+    rng = random.Random(4)
+    profiles = {tuple(profile(t)): i for i, t in crowd_of(20000, rng)}
+    rows = [(i, [(b, c) for b, c in enumerate(p) if c]) for p, i in profiles.items()]
+    frame = spark.createDataFrame(rows, "id long, entries array<struct<b:int,c:bigint>>").withColumn("bands", F.array(*[F.lit(0)] * 4).cast("array<bigint>"))
+    frame = frame.repartition(8).cache()
+    probed = dedup.with_probes(frame, "id", 0.995)
+    found = dedup.hash_candidates(probed, "id", max_distance=2, width=64, crowd=200)
+    links = dedup.near_pairs(frame, "id", max_distance=2, width=64, min_similarity=0.995, crowd=200).count()
+    assert len(rows) > 15000 and found.count() < 4 * (len(rows) + links)
+
+
+@pytest.mark.parametrize("similarity", [0.995, 0.9, 0.5])
+def test_probes_lose_no_near_pair(similarity):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(150):
+        size = rng.choice([1, 2, 3, 8, 30])
+        entries = {rng.randrange(40): rng.choice([1, 1, 2, 5, 60]) for _ in range(size)}
+        rows.append(entries)
+        near = dict(entries)
+        near[rng.randrange(40)] = rng.choice([1, 2, 3])
+        rows.append(near)
+
+    def probed(entries):
+        features = np.array(sorted(entries))
+        return dedup.probes(features, np.array([entries[f] for f in features]), similarity)
+
+    seen = 0
+    for (x, px), (y, py) in itertools.combinations([(r, probed(r)) for r in rows], 2):
+        dot = sum(c * y.get(b, 0) for b, c in x.items())
+        if dot / math.sqrt(sum(c * c for c in x.values()) * sum(c * c for c in y.values())) < similarity:
+            continue
+        seen += 1
+        shared = sorted(set(x) & set(y))
+        firsts = [dict(p[0]) for p in (px, py)]
+        assert all(shared[0] in f for f in firsts)
+        if px[2] or py[2]:
+            assert px[3] and py[3]
+        else:
+            assert all(shared[1] in f[shared[0]] for f in firsts) and all(set(shared[:2]) <= set(p[1]) for p in (px, py))
+    assert seen > 100
+
+
 def test_key_family_covers_every_pattern():
     for bands, distance in ((4, 2), (16, 8)):
         family = dedup.key_family(bands, distance)
