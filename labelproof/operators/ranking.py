@@ -25,12 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelproof.operators.skew import lookup_by_heavy_key
+from labelproof.operators.skew import join_group_row, lookup_by_heavy_key
 from labelproof.session import shuffle_width
 
 SLICE = "__slice"
-# parts of a group in a join with one row per group
-SPREAD = 64
 
 
 def hash_draw(seed: int | str, *keys: str) -> Column:
@@ -236,12 +234,9 @@ def average_percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 def with_group_row(df: DataFrame, table: DataFrame, group: Sequence[str], *, keep: bool = False) -> DataFrame:
     """Rows with the one row that ``table`` has for their group; ``keep`` also keeps rows without one.
 
-    Groups may be few and hot, so the rows are not dealt out by group: each is spread over ``SPREAD`` parts, and the
-    table, which has one row per group, is repeated for each part.
+    Groups may be few and hot: those of many rows are spread over as many tasks as their size asks for.
     """
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)).alias("__part")
-    copies = table.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))).alias("__part"))
-    return df.select("*", part.cast("bigint").alias("__part")).join(copies, [*group, "__part"], "left" if keep else "inner").drop("__part")
+    return join_group_row(df, table, group, "left" if keep else "inner")
 
 
 def closest_to_median(df: DataFrame, group: Sequence[str], value: str, key: str) -> DataFrame:

@@ -80,7 +80,9 @@ def difficulty(t):
     by_value = rk.percent_rank_table(e.select("value"), "value", "pv")
     by_size = rk.percent_rank_table(e.select("actual_font_size"), "actual_font_size", "pf")
     # sizes are few, so their rows are spread; an item without value or size keeps its row with a null score
-    ranked = rk.with_group_row(e.join(by_value, "value", "left"), by_size, ["actual_font_size"], keep=True)
+    known = rk.is_number("value", e)
+    valued = e.filter(known).join(by_value, "value", "left").unionByName(e.filter(~known).withColumn("pv", F.lit(None).cast("double")))
+    ranked = rk.with_group_row(valued, by_size, ["actual_font_size"], keep=True)
     tiny = F.lit(1e-9)
     score = (
         (F.lit(1.0) - F.col("pv"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelproof.operators import ranking as rk
-from labelproof.operators.skew import lookup_by_heavy_key
+from labelproof.operators.skew import group_parts, join_group_row, lookup_by_heavy_key
 
 
 @pytest.fixture(scope="module")
@@ -120,14 +120,52 @@ def test_nan_and_null_have_no_rank(spark):
     assert rk.exact_quantiles(df, [], "v", [0.5], ["m"]).first()["m"] == 3.0
 
 
-def test_group_rows_are_not_dealt_out_by_the_group(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def settings(spark, **values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return before
+
+
+def test_large_groups_are_spread_by_their_size(spark):
+    plain = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = settings(spark, **plain)
+    try:
+        i = F.col("id")
+        g = F.when(i < 12000, 0).when(i < 15000, 1).when(i < 18000, F.lit(None)).otherwise(i % 500 + 2)
+        df = spark.range(20000).withColumn("g", g).withColumn("h", i % 2)
+        parts = {r.g: r["__parts"] for r in group_parts(df, ["g"], part_rows=500).collect()}
+        assert parts == {0: 24, 1: 6}
+        # a bounded list whatever the number of large groups
+        assert group_parts(df, ["g"], part_rows=1, most=10).agg(F.sum("__parts")).first()[0] <= 20
+        table = df.groupBy("g").agg(F.sum("id").alias("s"))
+        want = df.filter("g IS NOT NULL").count()
+        for how, rows in (("inner", want), ("left", 20000)):
+            joined = join_group_row(df, table, ["g"], how, part_rows=500)
+            assert joined.columns == ["g", "id", "h", "s"] and joined.count() == rows
+            tasks = joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            assert tasks < 2000
+            assert joined.filter("g = 0").select("s").distinct().first()[0] == sum(range(12000))
+        assert joined.filter("g IS NULL AND s IS NULL").count() == 3000
+        two = join_group_row(df, df.groupBy("g", "h").agg(F.count("*").alias("n")), ["g", "h"], part_rows=500)
+        assert two.count() == want and two.filter("g = 0 AND n <> 6000").count() == 0
+        assert join_group_row(df.limit(0), table, ["g"]).count() == 0
+    finally:
+        settings(spark, **before)
+
+
+def test_group_rows_are_dealt_by_group_and_part(spark):
+    before = settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"})
     try:
         df = spark.range(100).withColumn("g", F.col("id") % 2)
         joined = rk.with_group_row(df, df.groupBy("g").agg(F.sum("id").alias("s")), ["g"])
         plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert joined.count() == 100 and "hashpartitioning(g#" in plan
+        assert joined.count() == 100
         facts = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "__part" in line]
         assert len(facts) == 2
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        settings(spark, **before)
