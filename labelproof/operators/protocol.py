@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from labelproof.functions.vectors import probability_problem
 from labelproof.ml import bundles
+from labelproof.operators import digests
 from labelproof.operators import evaluation as ev
 from labelproof.operators.gates import Check, count_rows, gate_rows, side_by_side
 from labelproof.operators.joins import assignment_difference
@@ -59,6 +60,9 @@ class Paths:
     def receipt(self, stage: str) -> str:
         return f"{self.folder}/receipt_{stage}"
 
+    def record(self, table: str) -> str:
+        return f"{self.folder}/record_{table}"
+
     def report(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
@@ -127,10 +131,10 @@ def freeze_record(
     """
     check_validation_rows(predictions, classes)
     chosen = ev.choose_threshold(ev.threshold_sweep(predictions, **(sweep or {})))
-    digests = table_digests(tables).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "digest")))).alias("digests"))
+    current = table_digests(tables).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "digest")))).alias("digests"))
     if counts is None:
         counts = predictions.sparkSession.range(1).select(F.lit(None).cast(FREEZE_SCHEMA["held_out"].dataType).alias("held_out"))
-    facts = side_by_side([chosen, digests, counts])
+    facts = side_by_side([chosen, current, counts])
     numbers = [F.lit(x) for pair in settings.items() for x in (pair[0], float(pair[1]))]
     missing = F.raise_error(F.lit("no candidate threshold meets the accuracy and coverage floors"))
     return facts.select(
@@ -157,14 +161,27 @@ def freeze_record(
 
 
 def prepare(
-    paths: Paths, predictions: DataFrame, tables: dict[str, DataFrame], classes, settings, name: str, **recorded
+    paths: Paths,
+    predictions: DataFrame,
+    tables: dict[str, DataFrame],
+    classes,
+    settings,
+    name: str,
+    *,
+    keys: dict[str, Sequence[str]] | None = None,
+    **recorded,
 ) -> DataFrame:
-    """Write the freeze record; refuses when one, or a receipt, is already there."""
+    """Write the freeze record; refuses when one, or a receipt, is already there.
+
+    For each table that ``keys`` gives a key, the digests of its rows are kept, so that a change can be found by key.
+    """
     spark = predictions.sparkSession
     for path in (paths.freeze, paths.receipt("started")):
         if exists(spark, path):
             raise FileExistsError(f"refusing to prepare again: {path} exists")
     record = freeze_record(predictions, tables, classes, settings, name, **recorded)
+    for table, key in (keys or {}).items():
+        digests.record(tables[table], key, paths.record(table))
     write_once(record.coalesce(1), paths.freeze)
     return spark.read.schema(record.schema).json(paths.freeze)
 
@@ -172,7 +189,7 @@ def prepare(
 def contract_rows(freeze: DataFrame, tables: dict[str, DataFrame], classes: Sequence[str], settings: dict[str, float]) -> DataFrame:
     """Recorded against current: table digests, class order, settings, and how the threshold was chosen."""
     recorded = freeze.select(F.explode("digests").alias("name", "recorded"))
-    digests = recorded.join(table_digests(tables), "name", "full_outer").select(
+    compared = recorded.join(table_digests(tables), "name", "full_outer").select(
         F.concat(F.lit("digest "), F.col("name")).alias("check_name"),
         F.when(F.col("recorded").eqNullSafe(F.col("digest")), "PASS").otherwise("FAIL").alias("status"),
     )
@@ -188,7 +205,12 @@ def contract_rows(freeze: DataFrame, tables: dict[str, DataFrame], classes: Sequ
         Check("threshold from validation", F.col("threshold.source_split") == "validation", F.col("threshold.source_split")),
         Check("no test data in threshold", ~F.col("threshold.test_data_used"), F.col("threshold.test_data_used")),
     ]
-    return gate_rows(freeze, checks).select("check_name", "status").unionByName(digests)
+    return gate_rows(freeze, checks).select("check_name", "status").unionByName(compared)
+
+
+def changed_keys(paths: Paths, table: str, current: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, change): the keys of a recorded table that are not as they were when the contract was frozen."""
+    return digests.changed_keys(current, key, paths.record(table))
 
 
 def verify(freeze: DataFrame, tables: dict[str, DataFrame], classes, settings) -> float:

@@ -279,23 +279,48 @@ def protocol_tables(t):
     return {"manifest": manifest(t), "assignments": manifest(t).select("entity", "target", "split").distinct()}
 
 
-def prepared(t):
+def prepared(t, **recorded):
     paths = protocol.Paths(scratch_path(t.spark, "protocol"))
     validation = predictions(t).filter("split = 'validation'")
-    return paths, protocol.prepare(paths, validation, protocol_tables(t), CLASSES, SETTINGS, "reference run")
+    return paths, protocol.prepare(paths, validation, protocol_tables(t), CLASSES, SETTINGS, "reference run", **recorded)
+
+
+SQL_CHANGED = """changed AS (SELECT item_id, value + CASE WHEN item_id % 97 = 7 THEN 0.01 ELSE 0 END AS v, * EXCLUDE (item_id, value) FROM manifest WHERE item_id <> 11),
+  edits AS (SELECT coalesce(m.item_id, c.item_id) AS item_id, CASE WHEN c.item_id IS NULL THEN 'removed' WHEN m.item_id IS NULL THEN 'added' ELSE 'changed' END AS change
+    FROM manifest m FULL JOIN changed c ON m.item_id = c.item_id WHERE m.item_id IS NULL OR c.item_id IS NULL OR m.value IS DISTINCT FROM c.v),
+  before AS (SELECT DISTINCT entity, target, split FROM manifest), after AS (SELECT DISTINCT entity, target, split FROM changed),
+  moved AS ((SELECT * FROM before EXCEPT SELECT * FROM after) UNION ALL (SELECT * FROM after EXCEPT SELECT * FROM before))"""
+
+
+def changed_tables(t):
+    """The recorded tables after the freeze: some values edited and a row lost."""
+    i = F.col("item_id")
+    rows = manifest(t).filter(i != 11).withColumn("value", F.col("value") + F.when(i % 97 == 7, 0.01).otherwise(0.0))
+    return {"manifest": rows, "assignments": rows.select("entity", "target", "split").distinct()}
 
 
 @query(
     "j7_frozen_contract",
-    """WITH {manifest} SELECT unnest(['status prepared', 'class order', 'settings', 'threshold from validation', 'no test data in threshold', 'digest manifest', 'digest assignments']) AS check_name,
-    unnest(['PASS', 'PASS', 'PASS', 'PASS', 'PASS', 'FAIL', 'PASS']) AS status, count(*) > 0 AS over_rows FROM manifest""",
+    "WITH {preds}, " + SQL_SWEEP + ", " + SQL_CHANGED + """
+    SELECT 'status prepared' AS check_name, CASE WHEN (SELECT count(*) FROM ruled WHERE qualifies) > 0 THEN 'PASS' ELSE 'FAIL' END AS status
+    UNION ALL SELECT 'class order', CASE WHEN (SELECT string_agg(DISTINCT target, ',' ORDER BY target) FROM manifest) = 'click,error,purchase,signup,view' THEN 'PASS' ELSE 'FAIL' END
+    UNION ALL SELECT 'settings', CASE WHEN 0.001::DOUBLE * 2 = 0.001::DOUBLE THEN 'PASS' ELSE 'FAIL' END
+    UNION ALL SELECT 'threshold from validation', CASE WHEN (SELECT count(*) FROM preds WHERE split = 'validation') = (SELECT max(rows) FROM sweep) THEN 'PASS' ELSE 'FAIL' END
+    UNION ALL SELECT 'no test data in threshold', CASE WHEN (SELECT count(*) FROM preds WHERE split <> 'validation') + (SELECT max(rows) FROM sweep) = (SELECT count(*) FROM preds) THEN 'PASS' ELSE 'FAIL' END
+    UNION ALL SELECT 'digest manifest', CASE WHEN (SELECT count(*) FROM edits) = 0 THEN 'PASS' ELSE 'FAIL' END
+    UNION ALL SELECT 'digest assignments', CASE WHEN (SELECT count(*) FROM moved) = 0 THEN 'PASS' ELSE 'FAIL' END""",
 )
 def j7(t):
-    """One recorded table is changed after the freeze: its digest check must fail, the others pass."""
+    """Recorded tables and a setting are changed after the freeze: their checks must fail, the others pass."""
     _, freeze = prepared(t)
-    tables = protocol_tables(t)
-    tables["manifest"] = tables["manifest"].withColumn("value", F.col("value") + F.when(F.col("item_id") == 7, 0.01).otherwise(0.0))
-    return protocol.contract_rows(freeze, tables, CLASSES, SETTINGS).withColumn("over_rows", F.lit(True))
+    return protocol.contract_rows(freeze, changed_tables(t), CLASSES, {**SETTINGS, "learning_rate": 0.002})
+
+
+@query("j7_changed_keys", "WITH {manifest}, " + SQL_CHANGED + " SELECT item_id, change FROM edits")
+def j7_changed_keys(t):
+    """The keys behind a failed digest: exactly those that were edited or lost."""
+    paths, _ = prepared(t, keys={"manifest": ["item_id"]})
+    return protocol.changed_keys(paths, "manifest", changed_tables(t)["manifest"], ["item_id"])
 
 
 @query(

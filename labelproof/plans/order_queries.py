@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelproof.operators import evaluation as ev
+from labelproof.operators import digests, evaluation as ev
 from labelproof.operators import ranking as rk
 from labelproof.operators import reshape as rs
 from labelproof.operators import rules
@@ -12,7 +12,7 @@ from labelproof.operators import splits as sp
 from labelproof.plans.bindings import CLASSES, SEGMENTS, SPLITS, catalogue, docs, manifest, predictions
 from labelproof.plans.registry import query
 from labelproof.plans.row_queries import PAGE_RULES_SQL, expanded_effects, page_rules
-from labelproof.session import one_row, stored
+from labelproof.session import one_row, scratch_path, stored
 
 # --- ranks -------------------------------------------------------------------
 
@@ -353,15 +353,34 @@ def i5(t):
 
 
 @query(
-    "i5_changed_run",
+    "i5_changed_sample",
     """WITH {manifest}, s AS (SELECT item_id, row_number() OVER (PARTITION BY target ORDER BY sha256('42|' || item_id::VARCHAR), item_id) AS r FROM manifest)
     SELECT 'table' AS scope, '' AS key UNION ALL SELECT 'item', item_id::VARCHAR FROM s WHERE r <= 6 AND item_id % 3 = 0""",
 )
-def i5_changed(t):
+def i5_changed_sample(t):
     changed = manifest(t).withColumn("item_text", F.when(F.col("item_id") % 3 == 0, "other").otherwise(F.col("item_text")))
     return sp.reproducibility(manifest(t), changed, "target", "item_id", F.concat_ws("|", "item_text", "value"))
 
 
+@query(
+    "i5_changed_run",
+    """WITH {manifest} SELECT item_id, CASE WHEN item_id % 11 = 4 THEN 'removed' ELSE 'changed' END AS change FROM manifest
+    WHERE item_id % 11 = 4 OR (item_id % 3 = 0 AND item_text <> 'other') OR (item_id % 13 = 5 AND value IS NOT NULL)
+    UNION ALL SELECT -1 - item_id, 'added' FROM manifest WHERE item_id % 17 = 2""",
+)
+def i5_changed(t):
+    """Every key in which the second run differs: edited text, edited values, rows lost and new."""
+    path = scratch_path(t.spark, "run")
+    first = manifest(t)
+    digests.record(first, ["item_id"], path)
+    i = F.col("item_id")
+    edited = first.withColumn("item_text", F.when(i % 3 == 0, "other").otherwise(F.col("item_text"))).withColumn(
+        "value", F.when(i % 13 == 5, -F.col("value") - 1).otherwise(F.col("value"))
+    )
+    new = first.filter(i % 17 == 2).withColumn("item_id", -1 - i)
+    return digests.changed_keys(edited.filter(i % 11 != 4).unionByName(new), ["item_id"], path)
+
+
 @query(
     "i5_null_shift",
     "SELECT count(*)::BIGINT AS rows, count(*) = 0 AS same_fingerprint FROM documents",
