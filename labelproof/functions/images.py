@@ -161,19 +161,39 @@ def normalised(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
     return kept.mapInPandas(work, T.StructType([df.schema[key], T.StructField("tensor", T.ArrayType(T.FloatType()))]))
 
 
-def orientation_histogram(image: np.ndarray, cell: tuple[int, int], bins: int = 9, block: int = 2) -> np.ndarray:
-    """Histogram-of-gradients vector: cell histograms by unsigned angle, blocks normalised twice with clipping at 0.2."""
-    gy, gx = np.zeros_like(image), np.zeros_like(image)
-    gy[1:-1, :] = image[2:, :] - image[:-2, :]
-    gx[:, 1:-1] = image[:, 2:] - image[:, :-2]
-    strength = np.hypot(gx, gy)
+# parts of one grey level in which the strength of a gradient is counted
+STRENGTH_PARTS = 256
+
+
+def cell_counts(image: np.ndarray, cell: tuple[int, int], bins: int = 9) -> np.ndarray:
+    """Gradient strength by cell and unsigned angle (row, column, bin), in whole ``STRENGTH_PARTS`` of a level.
+
+    Levels and so gradients are whole numbers, and a strength is rounded down before it is added: sums are exact and
+    do not depend on their order. One running sum per angle over rows and columns gives every cell by four corners.
+    """
+    levels = image.astype(np.int64)
+    gy, gx = np.zeros_like(levels), np.zeros_like(levels)
+    gy[1:-1, :] = levels[2:, :] - levels[:-2, :]
+    gx[:, 1:-1] = levels[:, 2:] - levels[:, :-2]
+    strength = np.floor(STRENGTH_PARTS * np.sqrt(gx * gx + gy * gy)).astype(np.int64)
     sector = (np.degrees(np.arctan2(gy, gx)) % 180.0 // (180.0 / bins)).astype(int) % bins
     cw, ch = cell
-    rows, cols = image.shape[0] // ch, image.shape[1] // cw
-    place = (np.arange(rows * ch)[:, None] // ch * cols + np.arange(cols * cw)[None, :] // cw) * bins
-    slots = place + sector[: rows * ch, : cols * cw]
-    cells = np.bincount(slots.ravel(), strength[: rows * ch, : cols * cw].ravel(), rows * cols * bins)
-    cells = cells.reshape(rows, cols, bins) / (cw * ch)
+    height, width = levels.shape
+    across, down = np.arange(0, width - cw + 1, cw), np.arange(0, height - ch + 1, ch)
+    found = np.empty((len(down), len(across), bins), np.int64)
+    for angle in range(bins):
+        total = np.zeros((height + 1, width + 1), np.int64)
+        total[1:, 1:] = np.where(sector == angle, strength, 0).cumsum(0).cumsum(1)
+        low, high = total[down], total[down + ch]
+        found[:, :, angle] = high[:, across + cw] - high[:, across] - low[:, across + cw] + low[:, across]
+    return found
+
+
+def orientation_histogram(image: np.ndarray, cell: tuple[int, int], bins: int = 9, block: int = 2) -> np.ndarray:
+    """Histogram-of-gradients vector of a picture of whole levels: cell counts in blocks, normalised twice, clipped at 0.2."""
+    cw, ch = cell
+    cells = cell_counts(image, cell, bins) / (STRENGTH_PARTS * 255.0 * cw * ch)
+    rows, cols = cells.shape[:2]
     windows = np.lib.stride_tricks.sliding_window_view(cells, (block, block), axis=(0, 1))
     vectors = np.moveaxis(windows, 2, -1).reshape(rows - block + 1, cols - block + 1, -1)
 
@@ -190,7 +210,7 @@ def gradient_features(df: DataFrame, keep: list[str], width: int, height: int, c
         for b in batches:
             out = b[keep].copy()
             out["features"] = [
-                orientation_histogram(fit(grey(p, int(h), int(w), int(c)), width, height) / 255.0, cell)
+                orientation_histogram(fit(grey(p, int(h), int(w), int(c)), width, height), cell)
                 for p, h, w, c in zip(b["pixels"], b["height"], b["width"], b["channels"])
             ]
             yield out
@@ -200,13 +220,30 @@ def gradient_features(df: DataFrame, keep: list[str], width: int, height: int, c
     return df.filter("decoded").select(*columns).mapInPandas(work, T.StructType(fields))
 
 
+def cell_histograms(df: DataFrame, keep: list[str], cell: tuple[int, int] = (8, 8)) -> DataFrame:
+    """Cell counts of decoded images at their own size, flattened row by row; ``keep`` passes through."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[keep].copy()
+            out["counts"] = [
+                cell_counts(grey(p, int(h), int(w), int(c)), cell).ravel()
+                for p, h, w, c in zip(b["pixels"], b["height"], b["width"], b["channels"])
+            ]
+            yield out
+
+    columns = list(dict.fromkeys([*keep, "pixels", "height", "width", "channels"]))
+    fields = [df.schema[c] for c in keep] + [T.StructField("counts", T.ArrayType(T.LongType()))]
+    return df.filter("decoded").select(*columns).mapInPandas(work, T.StructType(fields))
+
+
 def gradient_column(picture: str, width: int, height: int, cell: tuple[int, int] = (8, 8)) -> Column:
     """Orientation-histogram features of a picture struct (pixels, height, width, channels)."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def work(pixels: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
         rows = zip(pixels, h, w, c)
-        return pd.Series([orientation_histogram(fit(grey(p, *map(int, s)), width, height) / 255.0, cell) for p, *s in rows])
+        return pd.Series([orientation_histogram(fit(grey(p, *map(int, s)), width, height), cell) for p, *s in rows])
 
     return work(*[F.col(f"{picture}.{n}") for n in ("pixels", "height", "width", "channels")])
 

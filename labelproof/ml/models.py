@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
@@ -90,6 +92,38 @@ def fit_classifier(train: DataFrame, label: str, features: str, e: Experiment) -
     return PipelineModel([assembled, classifier, indexer.setHandleInvalid("keep")])
 
 
+def gradient_norm(train: DataFrame, model: PipelineModel, label: str) -> float:
+    """Length of the gradient of the regularised loss at the fitted weights, over all training rows.
+
+    The loss is convex with curvature of at least the regularisation, so the weights lie no further from the optimum
+    than this length divided by it, however the fit went. Every task adds up its rows' part as one row of numbers.
+    """
+    classifier = next(s for s in model.stages if hasattr(s, "coefficientMatrix"))
+    weights = classifier.coefficientMatrix.toArray()
+    size = weights.shape[0] * (weights.shape[1] + 1)
+    scored = model.transform(train).select(
+        vector_to_array("features").alias("x"), vector_to_array("probability").alias("p"), F.col("label_index").cast("int").alias("y")
+    )
+
+    def parts(batches):
+        total, rows = np.zeros(size), 0
+        for batch in batches:
+            x, p = (np.stack(batch.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
+            p[np.arange(len(p)), batch.column(2).to_numpy()] -= 1.0
+            total += (p.T @ np.column_stack([x, np.ones(len(x))])).ravel()
+            rows += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([rows])], ["part", "rows"])
+
+    found = scored.mapInArrow(parts, "part array<double>, rows bigint").select(F.posexplode("part").alias("i", "v"), "rows")
+    # one number per weight
+    sums = sorted(found.groupBy("i").agg(F.sum("v").alias("v"), F.sum("rows").alias("n")).collect())
+    if not sums or not sums[0]["n"]:
+        raise ValueError("no training rows")
+    slope = np.array([r["v"] for r in sums]).reshape(len(weights), -1) / sums[0]["n"]
+    slope[:, :-1] += classifier.getRegParam() * weights
+    return float(np.sqrt((slope**2).sum()))
+
+
 def class_order(model: PipelineModel) -> list[str]:
     from pyspark.ml.feature import StringIndexerModel
 
@@ -164,12 +198,15 @@ def run_grid(
         model = fit_classifier(fit_rows, label, features, e)
         top = ev.headline(score(check_rows, model, keys, label, 0.0), class_order(model)).first()
         iterations = model.stages[1].summary.totalIterations
-        rows.append((order, e.name, float(e.c), top["rows"], top["correct"], float(top["accuracy"]), float(top["macro_f1"]), int(iterations)))
+        slope = gradient_norm(fit_rows, model, label)
+        rows.append(
+            (order, e.name, float(e.c), top["rows"], top["correct"], float(top["accuracy"]), float(top["macro_f1"]), int(iterations), slope)
+        )
     for pair in cached.values():
         for frame in pair:
             frame.unpersist()
     return spark.createDataFrame(
-        rows, "run_order int, run_name string, c double, rows bigint, correct bigint, accuracy double, macro_f1 double, iterations int"
+        rows, "run_order int, run_name string, c double, rows bigint, correct bigint, accuracy double, macro_f1 double, iterations int, gradient_norm double"
     )
 
 

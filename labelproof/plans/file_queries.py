@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelproof.functions.images import gradient_features, image_similarity, normalised
+from labelproof.functions.images import cell_histograms, gradient_features, image_similarity, normalised
 from labelproof.operators import admission, dedup, gates, profile, rules
 from labelproof.plans import gallery
 from labelproof.plans.bindings import LANGUAGES, manifest
@@ -259,6 +259,23 @@ def c17_stretched(t):
     return rows.select("path", F.size("tensor").alias("values"), F.array_min("tensor").alias("lowest"), F.array_max("tensor").alias("highest"))
 
 
+@query(
+    "k3_cell_histograms",
+    "WITH " + gallery.SQL_GALLERY + """, px AS (SELECT vec_id, y, x, levels[(y // 4) * 8 + x // 4 + 1] AS v FROM gallery, (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x) WHERE NOT missing AND NOT damaged),
+    g AS (SELECT vec_id, y, x,
+      coalesce(lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - lag(v) OVER (PARTITION BY vec_id, y ORDER BY x), 0) AS gx,
+      coalesce(lead(v) OVER (PARTITION BY vec_id, x ORDER BY y) - lag(v) OVER (PARTITION BY vec_id, x ORDER BY y), 0) AS gy FROM px),
+    a AS (SELECT vec_id, (y // 8) * 4 + x // 8 AS cell, floor(256 * sqrt((gx * gx + gy * gy)::DOUBLE))::BIGINT AS strength, degrees(atan2(gy::DOUBLE, gx::DOUBLE)) AS d FROM g WHERE gx <> 0 OR gy <> 0)
+    SELECT vec_id, cell, (floor((CASE WHEN d < 0 THEN d + 180 ELSE d END) / 20.0::DOUBLE)::BIGINT % 9)::BIGINT AS bin, sum(strength)::BIGINT AS strength FROM a GROUP BY ALL""",
+)
+def k3_cells(t):
+    """What the gradient features are made of, exactly, at the pictures' own size."""
+    rows = cell_histograms(files.read_images(t.spark, gallery.folder(t)), ["path"])
+    each = rows.select(gallery.key_of().alias("vec_id"), F.posexplode("counts").alias("i", "strength")).filter("strength > 0")
+    place = F.col("i").cast("bigint")
+    return each.select("vec_id", F.floor(place / 9).alias("cell"), (place % 9).alias("bin"), "strength")
+
+
 @query("k3_gradient_features")
 def k3(t):
     images = files.read_images(t.spark, gallery.folder(t))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,29 @@ def test_feature_stage_passes_vectors_through(rows, tmp_path):
     again = ml.VectorFeatures.load(str(tmp_path / "s"))
     out = again.transform(rows).select("x", vector_to_array("f").alias("f"))
     assert out.filter(F.col("x").cast("array<double>") != F.col("f")).count() == 0
+
+
+def test_gradient_norm_tells_a_finished_fit(rows):
+    done = ml.fit_classifier(rows, "label", "x", ml.Experiment("r", max_iter=500, tol=1e-9))
+    early = ml.fit_classifier(rows, "label", "x", ml.Experiment("r", max_iter=1))
+    assert ml.gradient_norm(rows, done, "label") < 1e-5 < 1e-3 < ml.gradient_norm(rows, early, "label")
+    # against differences of the loss in plain numpy
+    data = [(r.label, r.x) for r in rows.select("label", "x").collect()]
+    x = np.array([v for _, v in data], float)
+    y = np.array(["abc".index(name) for name, _ in data])
+    classifier = early.stages[1]
+    weights, bias = classifier.coefficientMatrix.toArray(), classifier.interceptVector.toArray()
+
+    def loss(w, b):
+        scores = x @ w.T + b
+        raised = np.log(np.exp(scores).sum(1))
+        return (raised - scores[np.arange(len(y)), y]).mean() + classifier.getRegParam() * (w**2).sum() / 2
+
+    slope = []
+    for i in range(3):
+        for j in range(4):
+            push = np.zeros((3, 4))
+            push[i, j] = 1e-5
+            up, down = (loss(weights + s * push[:, :3], bias + s * push[:, 3]) for s in (1, -1))
+            slope.append((up - down) / 2e-5)
+    assert ml.gradient_norm(rows, early, "label") == pytest.approx(np.sqrt((np.array(slope) ** 2).sum()), rel=1e-4)
