@@ -37,6 +37,8 @@ LINE = b"\r\n"
 # gzip members and their end
 MAGIC = b"\x1f\x8b\x08"
 FEED = 1 << 16
+# never in header lines; the borders of stored blocks hold one
+CONTROL = re.compile(rb"[\x00-\x08\x0a-\x1f\x7f]")
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -99,9 +101,9 @@ class Damaged(ValueError):
 class Uninflated(Damaged):
     """A gzip member that fails its checks, with the bytes inflated up to the fault."""
 
-    def __init__(self, message: str, content: bytes, read_to: int, checksum: bool = False):
+    def __init__(self, message: str, content: bytes, read_to: int, checksum: bool = False, cut: bool = False):
         super().__init__(message)
-        self.content, self.read_to, self.checksum = content, read_to, checksum
+        self.content, self.read_to, self.checksum, self.cut = content, read_to, checksum, cut
 
 
 def inflated(data: memoryview, at: int) -> tuple[bytes, int]:
@@ -115,7 +117,7 @@ def inflated(data: memoryview, at: int) -> tuple[bytes, int]:
     except zlib.error:
         raise up_to_fault(data, at, fed) from None
     if not unpacker.eof:
-        raise Uninflated("gzip member: cut off", b"".join(parts), fed)
+        raise Uninflated("gzip member: cut off", b"".join(parts), fed, cut=True)
     return b"".join(parts), fed - len(unpacker.unused_data)
 
 
@@ -130,8 +132,12 @@ def up_to_fault(data: memoryview, at: int, sound: int) -> Uninflated:
             place += 1
     except zlib.error as error:
         # wrong sums come after the last byte of the content, so they do not say where in it the fault lies
-        checksum = "incorrect data check" in str(error) or "incorrect length check" in str(error)
-        return Uninflated(f"gzip member: {error}", b"".join(parts), place, checksum)
+        content = b"".join(parts)
+        checksum = "incorrect length check" in str(error)
+        if "incorrect data check" in str(error):
+            # of another length than the four bytes after the sum say, it is not what was packed
+            checksum = bytes(data[place + 1 : place + 5]) == (len(content) & 0xFFFFFFFF).to_bytes(4, "little")
+        return Uninflated(f"gzip member: {error}", content, place, checksum)
 
 
 def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -147,10 +153,14 @@ def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
+        if CONTROL.search(line):
+            raise Damaged("control character in the headers")
         name = name.strip().lower().decode("latin-1")
         if name in headers:
             raise Damaged("repeated header, as where two records ran together")
         headers[name] = value.strip().decode("utf-8", "replace")
+    if not re.fullmatch(r"<[^<>\s]+>", headers.get("warc-record-id", "")) or not {"warc-type", "warc-date"} <= set(headers):
+        raise Damaged("a header that every record has is missing")
     size = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", size):
         raise Damaged("content length missing")
@@ -175,8 +185,11 @@ def http_payload(block: bytes) -> tuple[int | None, bytes]:
     return int(stated[1]) if stated else None, payload
 
 
-def sound_records(raw: bytes) -> tuple[list, list[str]]:
-    """The records of a member's content that pass their checks, and for each gap its place in the content and reason."""
+def sound_records(raw: bytes, in_step: bool = True) -> tuple[list, list[str]]:
+    """The records of a member's content that pass their checks, and for each gap its place in the content and reason.
+
+    Where the content is not ``in_step`` with what was packed, it ends at the first fault, and at the last proven record.
+    """
     found, faults = [], []
     at, gap_at, reason = 0, None, ""
     while at < len(raw):
@@ -185,6 +198,8 @@ def sound_records(raw: bytes) -> tuple[list, list[str]]:
         except Damaged as error:
             if gap_at is None:
                 gap_at, reason = at, str(error)
+            if not in_step:
+                break
             following = raw.find(b"WARC/", at + 1)
             at = following if following >= 0 else len(raw)
             continue
@@ -195,6 +210,8 @@ def sound_records(raw: bytes) -> tuple[list, list[str]]:
         at = end
     if gap_at is not None:
         faults.append(f"bytes {gap_at} to {len(raw)} of the content: {reason}")
+    while not in_step and found and not has_digest(found[-1][0]):
+        found.pop()
     return found, faults
 
 
@@ -214,7 +231,10 @@ def entry_at(data: bytes, view: memoryview, at: int) -> tuple[list, int | None,
     try:
         raw, end = inflated(view, at)
     except Uninflated as error:
-        found, faults = sound_records(error.content)
+        # after a broken symbol copies come from wrong places, so that later headers may be made of others; stored
+        # content and content up to a cut has no such copies
+        stored = len(error.content) >= 0.99 * (error.read_to - at) - 64 and len(error.content) < error.read_to - at
+        found, faults = sound_records(error.content, error.checksum or error.cut or stored)
         if error.checksum and not faults:
             # the fault is in a header, which no digest covers, or in the sums; a lone record is then the one in doubt
             found = [r for r in found if has_digest(r[0])] if len(found) > 1 else []
@@ -227,44 +247,55 @@ def entry_at(data: bytes, view: memoryview, at: int) -> tuple[list, int | None,
 def salvaged(data: bytes):
     """(offset, length, records, reason) over all bytes: records of a sound entry, or a gap with its reason.
 
-    A gap that starts with a damaged member has the sound records of its members, and their faults in the reason.
+    A gap that starts with a damaged member has the sound records of that member, and their faults in the reason. The
+    bytes that were read as the member's are not read as bare records again: a member that is stored, not deflated, shows
+    its content in them, with block borders between. Whole members among them are taken, as a member that was cut is read
+    on into the next. Bare records after them go to the same gap, which ends at the next sound member.
     """
     view = memoryview(data)
     start = re.compile(re.escape(MAGIC) + b"|WARC/")
     at, gap_at, reason, kept, read_to = 0, None, "", [], 0
+
+    def onward() -> int:
+        following = start.search(data, at + 1)
+        return following.start() if following else len(data)
+
     while at < len(data):
+        packed = data.startswith(MAGIC, at)
+        if not packed and at < read_to:
+            at = onward()
+            continue
         records, end, fault, reach = entry_at(data, view, at)
-        # a member that is stored, not deflated, shows its records a second time as bare ones
-        again = fault is None and at < read_to and bool(records) and all(r in kept for r in records)
-        if fault is None and not again:
-            if gap_at is not None and records:
-                yield gap_at, at - gap_at, kept, reason
-                gap_at, kept = None, []
-            # an empty member inside a gap says nothing about the bytes before it
-            if records:
+        if fault is None:
+            if read_to and not packed:
+                kept = kept + records
+            elif records:
+                if gap_at is not None:
+                    yield gap_at, at - gap_at, kept, reason
+                    gap_at, kept, read_to = None, [], 0
                 yield at, end - at, records, None
+            # an empty member inside a gap says nothing about the bytes before it
             at = end
             continue
-        if fault is not None and (gap_at is None or records):
-            if gap_at is not None and kept:
-                # members that follow each other, each with sound records, are logged one by one
-                yield gap_at, at - gap_at, kept, reason
-                gap_at, kept = None, []
-            if gap_at is None:
-                gap_at, reason = at, fault
-            else:
-                reason = f"{reason}; {fault} (member at {at})"
-        if fault is not None and records:
-            kept = kept + records
-            read_to = max(read_to, reach)
-        if end is not None:
-            at = end
-            if fault is not None:
-                yield gap_at, at - gap_at, kept, reason
-                gap_at, kept = None, []
+        if gap_at is not None and records and kept:
+            # members that follow each other, each with sound records, are logged one by one
+            yield gap_at, at - gap_at, kept, reason
+            gap_at, kept, read_to = None, [], 0
+        alone = gap_at is None
+        if alone:
+            gap_at, reason = at, fault
+        elif records:
+            reason = f"{reason}; {fault} (member at {at})"
+        kept = kept + records
+        if end is None:
+            # what is no member has been read as far as its own place
+            read_to = max(read_to, reach) if packed and (records or alone) else read_to
+            at = onward()
             continue
-        following = start.search(data, at + 1)
-        at = following.start() if following else len(data)
+        at = end
+        if alone or records:
+            yield gap_at, at - gap_at, kept, reason
+            gap_at, kept, read_to = None, [], 0
     if gap_at is not None:
         yield gap_at, len(data) - gap_at, kept, reason
 

@@ -101,6 +101,73 @@ def test_sound_records_of_a_damaged_member_are_kept(how, level):
     assert at == len(member) + len(after)
 
 
+def covered(found, size):
+    """Records and gaps cover every byte once."""
+    at = 0
+    for offset, length, _, _ in found:
+        assert offset == at
+        at += length
+    assert at == size
+
+
+@pytest.mark.parametrize("level", [0, 1, 6])
+@pytest.mark.parametrize("count", [500, 2000, 4000])
+def test_long_members_give_each_record_once(level, count):
+    """Stored and deflated members, cut or damaged at any place: true records, each once, and one gap."""
+    rng = random.Random(level * 10000 + count)
+    parts = [plain(i, f"http://h/{i}", f"<p>{i} {rng.randbytes(rng.randrange(8, 60)).hex()}</p>") for i in range(count)]
+    known = {p[: p.index(b"\r\n\r\n")] for p in parts}
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    whole = packer.compress(b"".join(parts)) + packer.flush()
+    after = warc.gzip_member(plain("after", "http://h/after", "after"))
+    assert pages_of_text(warc.salvaged(whole + after)) == [*map(str, range(count)), "after"]
+
+    def check(data, least, follows):
+        found = list(warc.salvaged(data))
+        names = pages_of_text(found)
+        assert len(names) == len(set(names))
+        assert {*names} <= {*map(str, range(count)), "after"} and ("after" in names) == follows
+        assert sum(f[3] is not None for f in found) == 1 and len(names) >= least
+        covered(found, len(data))
+        for _, _, records, _ in found:
+            for headers, block in records:
+                if headers["warc-record-id"] != "<urn:page:after>":
+                    text = parts[int(warc.page_name(headers["warc-record-id"]))]
+                    assert text.endswith(b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    assert len(known) == count
+    check(whole[:-20], count - 1, False)
+    check(whole[: -rng.randrange(9, 300)] + after, 1, True)
+    for share in (0.1, 0.5, 0.9):
+        place = int(len(whole) * share)
+        check(whole[:place], int(count * share * 0.9) - 60, False)
+        check(whole[:place] + after, int(count * share * 0.9) - 60, True)
+        hurt = bytearray(whole)
+        hurt[place : place + 40] = rng.randbytes(40)
+        check(bytes(hurt) + after, int(count * share * 0.9) - 60, True)
+        check(whole[:place] + whole[place + 7 :] + after, int(count * share * 0.9) - 60, True)
+
+
+def pages_of_text(found):
+    return [warc.page_name(h["warc-record-id"]) for f in found for h, _ in f[2]]
+
+
+def test_a_block_border_in_a_header_is_no_record():
+    sound = plain(1, "http://h/1", "text")
+    for place in range(9, sound.index(b"\r\n\r\n")):
+        for border in (b"\x00\xff\xff\x00\x00", b"\x01\x10\x00\xef\xff"):
+            with pytest.raises(warc.Damaged):
+                warc.parsed(sound[:place] + border + sound[place:], 0)
+
+
+def test_bare_records_after_a_cut_member_are_kept():
+    member = warc.gzip_member(b"".join(plain(i, f"http://h/{i}", "x" * i) for i in range(30)))
+    bare = [plain(i, f"http://h/{i}", f"bare {i}") for i in range(100, 140)]
+    data = member[: len(member) // 2] + b"".join(bare)
+    names = pages_of(list(warc.salvaged(data)))
+    assert len(names) == len(set(names)) and set(range(110, 140)) <= set(names)
+
+
 def test_rows(spark):
     big = "<html>" + "same " * 40
     rows = [
