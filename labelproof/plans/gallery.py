@@ -15,14 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelproof.functions.images import image_hash, pixel_stats, png_bytes, tile_png, upright
-from labelproof.operators.splits import fingerprint
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path, spread
 from labelproof.sources.files import content_type, plain_path, read_binary, read_images
 from labelproof.sources.sinks import write_files
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-
 SQL_GALLERY = """
 gallery AS (
   SELECT vec_id, label, vec_id % 25 = 3 AS missing, vec_id % 25 = 4 AS damaged, vec_id % 25 = 5 AS blank,
@@ -44,14 +41,8 @@ def levels(t: Tables) -> DataFrame:
     )
 
 
-def content_key(df: DataFrame) -> str:
-    """What a table holds, in one pass: results kept under it are not used after the table has changed."""
-    row = fingerprint(df).first()
-    return f"{row.rows}:{row.fingerprint}"
-
-
 def folder(t: Tables) -> str:
-    """Folder of the picture files; written by the tasks, once per session and content of the input table."""
+    """Folder of the picture files."""
     r = F.col("vec_id") % 25
     rows = levels(t).filter(r != 3)
     content = F.when(r == 4, F.lit("not an image").cast("binary")).otherwise(tile_png(F.col("levels"), 8, 4))
@@ -59,13 +50,14 @@ def folder(t: Tables) -> str:
 
 
 def kept_folder(t: Tables, label: str, named: DataFrame) -> str:
-    """Folder with the files of ``named`` (name, content); written by the tasks, once per session and content of the input."""
-    key = (t.spark.sparkContext.applicationId, label, content_key(t.embeddings))
-    if key not in _WRITTEN:
+    """Folder with the files of ``named`` (name, content); written by the tasks, once per query."""
+
+    def write() -> str:
         path = scratch_path(t.spark, label)
         write_files(spread(named), path, "name", "content").write.format("noop").mode("overwrite").save()
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+        return path
+
+    return t.once(label, write)
 
 
 # Sizes of the awkward set: files over the limit are not read.

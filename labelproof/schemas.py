@@ -66,11 +66,20 @@ EFFECTS = T.StructType(
 
 
 class Tables:
-    """Lazy access to the input tables of one folder: ``Tables(spark, dir).events``."""
+    """Lazy access to the input tables of one folder: ``Tables(spark, dir).events``.
+
+    ``once`` keeps what a query needs in several places, a fitted model or a folder of files, for that query alone.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._once: dict[str, object] = {}
+
+    def once(self, name: str, make):
+        if name not in self._once:
+            self._once[name] = make()
+        return self._once[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in INPUT_TABLES:
