@@ -311,15 +311,17 @@ def evaluate_once(
         "mistakes": ev.mistakes(scored, threshold).drop("probabilities"),
         "representative_mistakes": ev.representative_mistakes(scored, threshold, key).drop("probabilities"),
     }
-    # independent small jobs over one stored table: submit them together
-    with ThreadPoolExecutor(len(reports)) as pool:
-        list(pool.map(lambda item: write_csv(item[1], paths.report(item[0])), reports.items()))
     overall = ev.overall_result(scored, threshold, entity=entity)
     macro = ev.headline(scored, classes).select("macro_f1")
     metrics = side_by_side([overall, macro]).withColumn("threshold", F.lit(threshold))
-    write_once(metrics.coalesce(1), paths.report("metrics"))
-    # the inputs must not have changed while scoring
-    verify(freeze, tables, classes, settings)
+    # independent small jobs over one stored table: submit them together
+    with ThreadPoolExecutor(len(reports) + 2) as pool:
+        # the inputs must not have changed while scoring
+        checked = pool.submit(verify, freeze, tables, classes, settings)
+        written = [pool.submit(write_csv, frame, paths.report(name)) for name, frame in reports.items()]
+        written.append(pool.submit(write_once, metrics.coalesce(1), paths.report("metrics")))
+    for job in (checked, *written):
+        job.result()
     done = spark.read.schema(metrics.schema).json(paths.report("metrics"))
     receipt = done.select(F.lit("completed").alias("status"), F.lit(False).alias("rerun_allowed"), "rows", F.current_timestamp().alias("at"))
     write_once(receipt, paths.receipt("completed"))

@@ -256,7 +256,8 @@ def c17(t):
 def c17_stretched(t):
     """A smaller size, so that the pictures are resized."""
     rows = normalised(files.read_images(t.spark, gallery.folder(t)), "path", 16, 24)
-    return rows.select("path", F.size("tensor").alias("values"), F.array_min("tensor").alias("lowest"), F.array_max("tensor").alias("highest"))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return rows.select(name, F.size("tensor").alias("values"), F.array_min("tensor").alias("lowest"), F.array_max("tensor").alias("highest"))
 
 
 @query(
