@@ -104,9 +104,13 @@ def text_profiles(df: DataFrame, key: str, text: str, size: int = PROFILE_SIZE)
 def copy_links(items: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
     """(links, groups): every row beyond the lowest key of its digest, and one row per digest."""
     groups = items.groupBy(digest).agg(F.min(key).alias("keep"), F.count(F.lit(1)).alias("copies"))
-    copied = groups.filter("copies > 1")
-    links = lookup_by_heavy_key(items.select(key, digest), copied, digest, "copies")
-    return links.filter(F.col(key) != F.col("keep")).select(F.col("keep").alias("left_id"), F.col(key).alias("right_id")), groups
+    return links_to_first(items.select(key, digest), groups, key, digest), groups
+
+
+def links_to_first(items: DataFrame, groups: DataFrame, key: str, digest: str) -> DataFrame:
+    """A link to the kept row of its digest for every other row."""
+    links = lookup_by_heavy_key(items, groups.filter("copies > 1"), digest, "copies")
+    return links.filter(F.col(key) != F.col("keep")).select(F.col("keep").alias("left_id"), F.col(key).alias("right_id"))
 
 
 def narrow_bands(bands: Column, width: int) -> list[Column]:
@@ -264,9 +268,13 @@ def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int,
     )
     band_keys, first, second = ["k", "x", "y"], ["k", "x", "y", "f"], ["k", "x", "y", "f", "g"]
     keyed = hashed.select("*", F.inline(keys))
-    by_key = keyed.join(crowded_keys(keyed, band_keys, crowd), band_keys, "left")
+    # mostly no key is crowded; the plan for those that are is then left out
+    crowded = stored(crowded_keys(keyed, band_keys, crowd), "crowded")
+    by_key = keyed.join(crowded, band_keys, "left")
     whole = {"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}
     kept = [key, "bands", "listed", "dominated", *second, *whole]
+    if crowded.isEmpty():
+        by_key = keyed.withColumn("blocks", F.lit(None).cast("int"))
     light = by_key.filter("blocks IS NULL").withColumns({"f": F.lit(ANY), "g": F.lit(ANY), **whole})
     listed = by_key.filter("blocks IS NOT NULL").drop("blocks").select("*", F.inline("probes"))
     by_first = listed.join(crowded_keys(listed, first, min(FEW, crowd)), first, "left")
@@ -274,7 +282,9 @@ def hash_candidates(rows: DataFrame, key: str, *, max_distance: int, width: int,
     alone = F.array(F.lit(ALONE))
     seconds = F.when(F.col("dominated"), alone).when(F.col("near_dominated"), F.concat("seconds", alone)).otherwise(F.col("seconds"))
     many = by_first.filter("blocks IS NOT NULL").drop("blocks").withColumn("g", F.explode(seconds))
-    celled = light.select(*kept).unionAll(few.select(*kept)).unionAll(split_crowded(many, second, key, crowd).select(*kept))
+    celled = light.select(*kept)
+    if not crowded.isEmpty():
+        celled = celled.unionAll(few.select(*kept)).unionAll(split_crowded(many, second, key, crowd).select(*kept))
     on = [*second, "lo", "hi"]
     names = {"block": "block", key: "id", "bands": "b", "listed": "p", "dominated": "d"}
     left = celled.select(*on, *[F.col(c).alias(f"left_{n}") for c, n in names.items()])
@@ -325,10 +335,13 @@ def suspicious_links(
     """
     # read several times below: written once so texts are scanned and hashed once
     profiles = stored(text_profiles(df, key, text), "profiles")
-    copies, contents = copy_links(profiles, key, "digest")
-    one = profiles.join(contents.select(F.col("keep").alias(key)), key, "left_semi")
+    # one row per content; equal contents have equal profiles
+    firsts = [F.min(key).alias("keep"), F.count(F.lit(1)).alias("copies"), F.first("profile").alias("profile")]
+    contents = stored(profiles.select(key, "digest", "profile").groupBy("digest").agg(*firsts), "contents")
+    copies = links_to_first(profiles.select(key, "digest"), contents.drop("profile"), key, "digest")
+    one = contents.select(F.col("keep").alias(key), "profile")
     same, kept = copy_links(one, key, "profile")
-    distinct_profiles = one.join(kept.select(F.col("keep").alias(key)), key, "left_semi")
+    distinct_profiles = profiles.join(kept.select(F.col("keep").alias(key)), key, "left_semi")
     distinct_profiles = stored(distinct_profiles.select(key, "entries", "bands"), "distinct-profiles")
     near = near_pairs(
         distinct_profiles, key, max_distance=max_distance, width=width, min_similarity=min_similarity, crowd=crowd
