@@ -10,7 +10,7 @@ stand beside them.) So a piece of any length takes about n log n steps.
 The ranks of the vocabulary are read by the driver and travel to the tasks; they are as large as their file.
 
 Defined cases: a null text encodes as the empty text, to no tokens. Texts are never cut. Repeated rows are encoded one
-by one, and other columns are not read.
+by one, and other columns are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ result is each document's set size and the smallest id it is linked with over an
 Defined cases: null and empty texts have no shingles and link with nothing, not even each other. A text of fewer than
 five words is one shingle. Repeated rows link with each other. Ids must be neither null nor, for a meaningful
 component, repeated; rows of null id are kept with a null component where nothing smaller links to them. Extra columns
-are not read. Shingles are told apart by 64 hashed bits, sets by 128.
+are not read. An empty table gives no rows. Shingles are told apart by 64 hashed bits, sets by 128.
 """
 
 from __future__ import annotations
