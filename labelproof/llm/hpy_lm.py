@@ -21,7 +21,7 @@ Discounts come from the counts of counts (n1 / (n1 + 2 n2)); strengths are param
 
 Defined cases: a null text is the empty text, which has one token, its end. Without training rows every token is
 unknown. Repeated rows are scored and counted one by one. A null training flag counts as false. Other columns are not
-read. Words are told apart by 64 hashed bits.
+read. An empty table gives no rows. Words are told apart by 64 hashed bits.
 """
 
 from __future__ import annotations

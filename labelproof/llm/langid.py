@@ -11,7 +11,7 @@ what is sent to the executors; every text is compressed whole, in pieces of ``PI
 
 Defined cases: texts that are null or hold no letter get ``und``, score 0 and are rejected. Without labelled rows all
 texts do. With a single language every text with a letter gets it. Equal sizes go to the first name in order. Repeated
-rows are judged alike. Other columns are not read.
+rows are judged alike. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

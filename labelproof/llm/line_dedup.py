@@ -19,7 +19,7 @@ out differently.
 
 Defined cases: lines are cut at line feeds; lines without words are no part of the sequence, and are deleted only
 inside a deleted run. A null text has no lines and stays null. Rows with equal id and equal text are one document.
-A null id comes first. Lines are told apart by 128 hashed bits.
+A null id comes first. An empty table gives no rows. Other columns pass through unread. Lines are told apart by 128 hashed bits.
 """
 
 from __future__ import annotations

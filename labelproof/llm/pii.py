@@ -14,6 +14,7 @@ not know (without plus, with dots for spaces, with "at" for the sign), so that i
 
 Defined cases: a null text is the empty text and has no spans. Texts are read whole, in time linear in their length.
 Without training rows nothing is added. Repeated rows are judged alike, and other columns are not read.
+An empty table gives no rows. A span of more than ``LONGEST`` words (a number in seven groups) is not found whole.
 """
 
 from __future__ import annotations

@@ -11,8 +11,12 @@ alphabet that holds it; under the hypothesis that it is drawn at random from tha
 The smallest of the three p-values is corrected for their number. Random tokens then have uniform p-values and
 structured ones (names, words, counters) small ones. Short tokens leave the tests little power, so the share of
 structured tokens is estimated per encoding and length class from the p-values of the whole corpus: those above one
-half tell how many are random. A class's tokens are accepted above the smallest cut at which the estimated share of
-structured tokens among the accepted is at most ``share``. The table of counts has at most 8 encodings times 31
+half tell how many are random. A class's tokens are accepted above the smallest cut at which the share of structured
+tokens among the accepted is not shown, by ``DEVIATIONS`` standard deviations, to be over ``share``. So large classes
+keep the rate and random tokens of small classes are not lost; but in a class of some tens of tokens, too few to show
+it, the share of structured ones can be several times ``share`` (15 tokens over the lowest cut and 5 over one half are
+taken whole, an estimated third of them structured). Tokens of letters or of digits only are no candidates, and those
+with the signs of both base64 alphabets fit no encoding. The table of counts has at most 8 encodings times 31
 length classes times 9 cuts, whatever the size of the input; only it is collected.
 
 Defined cases: a null text is the empty text and has no spans. Texts are read whole. Repeated rows are judged alike,
