@@ -12,7 +12,7 @@ from labelproof.operators.rules import EFFECT_FLAGS, Rule, effect_flags
 from labelproof.plans import gallery
 from labelproof.plans.bindings import CLASSES, SEGMENTS, SPLITS, leaky_manifest, manifest, predictions
 from labelproof.plans.evaluation_queries import SQL_REPORT, SQL_SWEEP
-from labelproof.plans.model_queries import SQL_CENTROID_SCORES, centroids, vectors
+from labelproof.plans.model_queries import SQL_QUARTERS, centroids, quarters
 from labelproof.plans.order_queries import GRID_TEXTS, SQL_QUOTA, quota
 from labelproof.plans.registry import query
 from labelproof.plans.row_queries import SQL_FLAGS, expanded_effects
@@ -365,21 +365,16 @@ def j9_given(t):
     )
 
 
-EMBEDDING_CLASSES = tuple(str(i) for i in range(10))
-# the labels of the embeddings are drawn at random, so a floor of accuracy would leave no threshold
-EMBEDDING_SWEEP = {"thresholds": (0.15, 0.2, 0.25, 0.3), "minimum_accuracy": 0.0, "minimum_coverage": 0.25}
+QUARTERS = ("0", "1", "2", "3")
+QUARTER_SWEEP = {"minimum_accuracy": 0.8, "minimum_coverage": 0.1}
 
 
 @query(
     "j9_held_out_evaluation",
-    SQL_CENTROID_SCORES + """, preds AS (SELECT vec_id, vec_id % 40 AS entity, split, truth, arg_max(cls, p) AS predicted, max(p) AS confidence, arg_max(cls, p) = truth AS correct
-      FROM shares GROUP BY vec_id, split, truth),
-    sweep AS (SELECT t.threshold, count(*) FILTER (WHERE confidence >= threshold) / count(*) AS coverage
-      FROM preds, (SELECT unnest([0.15, 0.2, 0.25, 0.3]::DOUBLE[]) AS threshold) t WHERE split = 'validation' GROUP BY 1),
-    chosen AS (SELECT min(threshold) AS threshold FROM sweep WHERE coverage >= 0.25),
+    "WITH " + SQL_QUARTERS + ", " + SQL_SWEEP.strip().replace(">= 0.9 AND coverage >= 0.5", ">= 0.8 AND coverage >= 0.1") + ", " + SQL_CHOSEN + """,
     scored AS (SELECT * FROM preds WHERE split = 'test'),
     cells AS (SELECT c AS label, count(*) FILTER (WHERE truth = c AND predicted = c) AS tp, count(*) FILTER (WHERE truth = c) AS n, count(*) FILTER (WHERE predicted = c) AS m
-      FROM scored, (SELECT unnest(range(10)) AS c) GROUP BY c)
+      FROM scored, (SELECT unnest(range(4)) AS c) GROUP BY c)
     SELECT count(*)::BIGINT AS rows, count(DISTINCT entity)::BIGINT AS entities, count(*) FILTER (WHERE correct)::BIGINT AS correct,
       count(*) FILTER (WHERE correct) / count(*) AS accuracy, count(*) FILTER (WHERE confidence >= threshold)::BIGINT AS accepted,
       count(*) FILTER (WHERE NOT correct AND confidence >= threshold)::BIGINT AS confident_mistakes, count(*) FILTER (WHERE NOT correct AND confidence < threshold)::BIGINT AS low_confidence_mistakes,
@@ -388,27 +383,23 @@ EMBEDDING_SWEEP = {"thresholds": (0.15, 0.2, 0.25, 0.3), "minimum_accuracy": 0.0
 def j9(t):
     """A centroid model is fitted on train, frozen by digest with a threshold of the validation rows, and scores test once."""
     spark = t.spark
-    items = vectors(t).withColumn("label", F.col("label").cast("string"))
-    labels, table = centroids(t)
-    known = dict(zip(labels, table))
-    width = len(table[0])
-    # a class that train lacks lies too far off to be predicted
-    weights = tuple(tuple(known.get(c, [1e3] * width)) for c in EMBEDDING_CLASSES)
+    items = quarters(t)
+    labels, table = centroids(t, items)
     models = scratch_path(spark, "models")
-    bundle = bundles.Bundle("centroid", EMBEDDING_CLASSES, weights, 10.0)
+    bundle = bundles.Bundle("centroid", tuple(labels), tuple(map(tuple, table)), 40.0)
     digest = bundles.publish(spark, bundle, models)
     tables = {"items": items.drop("embedding"), "vectors": t.embeddings}
     keys = ["vec_id", "entity", "split"]
     validation = bundles.score(items.filter("split = 'validation'"), bundle, keys, "label", "embedding", 0.0)
     paths = protocol.Paths(scratch_path(spark, "protocol"))
     counts = protocol.held_out_counts(items, entity="entity", target="label", split="split")
-    settings = {"scale": 10.0}
+    settings = {"scale": 40.0}
     protocol.prepare(
-        paths, stored(validation, "validation"), tables, EMBEDDING_CLASSES, settings, "centroid", model_digest=digest, counts=counts, sweep=EMBEDDING_SWEEP
+        paths, stored(validation, "validation"), tables, QUARTERS, settings, "centroid", model_digest=digest, counts=counts, sweep=QUARTER_SWEEP
     )
     assignments = items.select("entity", "label", "split").distinct()
     metrics = protocol.evaluate_once(
-        paths, items, assignments, None, tables, EMBEDDING_CLASSES, settings, target="label", key="vec_id", models=models, features="embedding"
+        paths, items, assignments, None, tables, QUARTERS, settings, target="label", key="vec_id", models=models, features="embedding"
     )
     return metrics.select(
         "rows", "entities", "correct", "accuracy", "accepted", "confident_mistakes", "low_confidence_mistakes", "threshold", F.round("macro_f1", 9).alias("macro_f1")

@@ -170,9 +170,9 @@ def centroid_factory(centroids):
     return load
 
 
-def centroids(t: Tables):
+def centroids(t: Tables, rows=None):
     """Mean training vector per label: one row per (label, dimension) after a map-side combine."""
-    parts = vectors(t).filter("split = 'train'").select("label", F.posexplode("embedding").alias("i", "v"))
+    parts = (vectors(t) if rows is None else rows).filter("split = 'train'").select("label", F.posexplode("embedding").alias("i", "v"))
     means = parts.groupBy("label", "i").agg(F.avg("v").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
     rows = means.select(F.col("label").cast("string").alias("label"), F.col("c.m").alias("c")).orderBy("label").collect()
     return [r["label"] for r in rows], [r["c"] for r in rows]
@@ -188,6 +188,23 @@ def m3(t):
     return a.unionByName(b).drop("probabilities")
 
 
+SQL_QUARTERS = f"""v AS (SELECT vec_id, vec_id % 40 AS entity, 2 * (embedding[1] > 0)::INT + (embedding[2] > 0)::INT AS truth, embedding,
+    CASE WHEN d < 70 THEN 'train' WHEN d < 85 THEN 'validation' ELSE 'test' END AS split
+    FROM (SELECT *, ('0x' || substr(sha256('{SPLIT_SEED}|' || (vec_id % 40)::VARCHAR), 1, 8))::BIGINT % 100 AS d FROM embeddings)),
+  parts AS (SELECT vec_id, entity, split, truth, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM v),
+  means AS (SELECT truth AS cls, i, avg(x) AS m FROM parts WHERE split = 'train' GROUP BY 1, 2),
+  near AS (SELECT vec_id, entity, split, truth, cls, -40 * sum((x - m) * (x - m)) AS s FROM parts JOIN means USING (i) WHERE split <> 'train' GROUP BY ALL),
+  raised AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM near),
+  shares AS (SELECT vec_id, entity, split, truth, cls, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM raised),
+  preds AS (SELECT vec_id, entity, split, truth, arg_max(cls, p) AS predicted, max(p) AS confidence, arg_max(cls, p) = truth AS correct FROM shares GROUP BY vec_id, entity, split, truth)"""
+
+
+def quarters(t: Tables):
+    """Vectors labelled by the signs of their first two numbers: a target that can be learned."""
+    sign = [(F.get("embedding", i) > 0).cast("int") for i in (0, 1)]
+    return vectors(t).withColumn("label", (2 * sign[0] + sign[1]).cast("string"))
+
+
 SQL_CENTROID_SCORES = "WITH " + SQL_VECTORS + """, parts AS (SELECT e.vec_id, e.label AS truth, v.split, unnest(range(len(e.embedding))) AS i, unnest(e.embedding)::DOUBLE AS x
     FROM embeddings e JOIN vectors v ON v.vec_id = e.vec_id),
   means AS (SELECT truth AS cls, i, avg(x) AS m FROM parts WHERE split = 'train' GROUP BY 1, 2),
