@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from labelproof.functions import images as im
 from labelproof.operators import rules
 from labelproof.schemas import schema
+from labelproof.session import gathered
 from labelproof.sources import files, sinks
 
 
@@ -47,6 +50,65 @@ def test_image_scan_and_statistics(spark, gallery):
     assert rows["colour.png"]["s"]["mean"] == 124.0
 
 
+def filtered_png(image, kind):
+    """A picture whose rows are stored by one filter: 0 as they are, 1 from the left, 2 from above, 3 by an average."""
+    height, width, channels = image.shape
+    padded = np.zeros((height + 1, width + 1, channels), np.int64)
+    padded[1:, 1:] = image
+    left, above = padded[1:, :-1], padded[:-1, 1:]
+    near = {0: 0, 1: left, 2: above, 3: (left + above) // 2}[kind]
+    rows = ((image.astype(np.int64) - near) % 256).astype(np.uint8).reshape(height, -1)
+    raw = b"".join(bytes([kind]) + r.tobytes() for r in rows)
+
+    def chunk(name, data):
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    header = struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_plain_pictures_have_the_pixels_of_the_picture_source(spark, tmp_path):
+    draw = np.random.default_rng(1)
+    plain = {}
+    for channels in (1, 3):
+        for kind in range(4):
+            data = filtered_png(draw.integers(0, 256, (7, 5, channels), np.uint8), kind)
+            plain[f"c{channels}f{kind}.png"] = im.plain_png(data)
+            (tmp_path / f"c{channels}f{kind}.png").write_bytes(data)
+            for broken in (data[:-1], data[:-20], data[:50] + b"?" + data[51:], data[:20]):
+                assert im.plain_png(broken) is None
+    # what is no plain picture is left to the picture source
+    assert {n for n, p in plain.items() if p is None} == {"c1f3.png", "c3f3.png"}
+    for name, row in by_name(files.raw_images(spark, str(tmp_path))).items():
+        if plain[name] is not None:
+            assert plain[name].shape == (row["height"], row["width"], row["channels"])
+            assert plain[name].tobytes() == bytes(row["pixels"])
+    columns = ("decoded", "width", "height", "channels", "pixels")
+    got, want = (by_name(read(spark, str(tmp_path))) for read in (files.read_images, files.raw_images))
+    assert {n: [r[c] for c in columns] for n, r in got.items()} == {n: [r[c] for c in columns] for n, r in want.items()}
+
+
+def test_the_picture_source_gets_only_what_is_not_plain(spark, gallery, monkeypatch):
+    opened, source = [], files.raw_images
+    monkeypatch.setattr(files, "raw_images", lambda s, path: opened.append(path) or source(s, path))
+    assert files.read_images(spark, str(gallery)).count() == 5
+    assert [files.list_files(spark, p).count() for p in opened] == [1]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.bin").write_bytes(b"x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1)
+    try:
+        scan = spark.read.format("binaryFile").load(str(tmp_path))
+        cores = spark.sparkContext.defaultParallelism
+        assert scan.rdd.getNumPartitions() == 40
+        few = gathered(scan)
+        assert few.rdd.getNumPartitions() == min(40, 4 * cores) and few.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_digests_and_types(spark, gallery):
     rows = by_name(files.read_binary(spark, str(gallery)).withColumn("t", files.content_type(F.col("head"))))
     assert rows["one.png"]["sha256"] == rows["copy.png"]["sha256"] == hashlib.sha256((gallery / "one.png").read_bytes()).hexdigest()
