@@ -184,3 +184,15 @@ def test_a_batch_that_fails_between_the_writes_is_written_once(spark, folder, tm
     flows.admission(flows.arriving_files(spark, folder, 100), out, checkpoint).awaitTermination()
     assert calls[0] == calls[2] and reasons(flows.judged_files(spark, out)) == REASONS
     assert flows.judged_files(spark, out).count() == len(REASONS)
+
+
+def test_a_batch_is_not_listed_in_a_task_per_file(spark, folder, tmp_path, monkeypatch):
+    setting, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    before, write = spark.conf.get(setting), flows.write_outputs
+    monkeypatch.setattr(
+        flows, "write_outputs", lambda rows, *rest: seen.append(int(rows.sparkSession.conf.get(setting))) or write(rows, *rest)
+    )
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    flows.admission(flows.arriving_files(spark, folder), out, checkpoint).awaitTermination()
+    assert seen == [4 * spark.sparkContext.defaultParallelism]
+    assert spark.conf.get(setting) == before
