@@ -24,6 +24,8 @@ A null id comes first. An empty table gives no rows. Other columns pass through
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +117,22 @@ def suffix_ranks(lines: DataFrame, most_lines: int) -> list[DataFrame]:
     return levels
 
 
+def _named(passages: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Passages that may have copies, with their name and place; all levels are joined at once, by their number.
+
+    A join for each level would make a plan that takes the driver more memory than the rows take the executors.
+    """
+    ranks = reduce(DataFrame.unionAll, [level.withColumn("level", F.lit(k)) for k, level in enumerate(levels)])
+    head = ranks.select("level", *DOC, F.col("j").alias("a"), F.col("rank").alias("head_rank"))
+    tail = ranks.select("level", *DOC, F.col("j").alias("tail"), F.col("rank").alias("tail_rank"))
+    # the number of the highest bit: 2^level <= n < 2^(level + 1)
+    own = passages.withColumn("level", F.length(F.bin("n")) - 1)
+    own = own.withColumn("tail", F.col("a") + F.col("n") - F.expr("shiftleft(1, level)"))
+    found = own.join(head, ["level", *DOC, "a"]).join(tail, ["level", *DOC, "tail"])
+    # a rank means something within its level only, which the number of lines tells
+    return found.select(*DOC, "from_pos", "to_pos", "n", "head_rank", "tail_rank", F.struct("id", *DOC, "a").alias("place"))
+
+
 def later_copies(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """(d1, d2, deleted): per document the numbers of the lines in later copies of repeated passages."""
     lines = stored(sequence(docs, key, text, min_words), "lines")
@@ -132,18 +150,8 @@ def later_copies(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORD
         .dropDuplicates([*DOC, "a", "n"])
     )
     passages = stored(passages, "passages")
-    named = None
-    for k, level in enumerate(levels):
-        size = 1 << k
-        own = passages.filter(F.col("n").between(size, 2 * size - 1)).withColumn("tail", F.col("a") + F.col("n") - size)
-        head = level.select(*DOC, F.col("j").alias("a"), F.col("rank").alias("head_rank"))
-        tail = level.select(*DOC, F.col("j").alias("tail"), F.col("rank").alias("tail_rank"))
-        found = own.join(head, [*DOC, "a"]).join(tail, [*DOC, "tail"])
-        named = found if named is None else named.unionByName(found)
-    # a rank means something within its level only, which the number of lines tells
+    named = stored(_named(passages, levels), "named")
     name = ["n", "head_rank", "tail_rank"]
-    place = F.struct("id", *DOC, "a")
-    named = named.select(*DOC, "from_pos", "to_pos", *name, place.alias("place"))
     firsts = named.groupBy(*name).agg(F.min("place").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     same_doc = (F.col("place.d1") == F.col("first.d1")) & (F.col("place.d2") == F.col("first.d2"))
     overlaps = same_doc & (F.col("place.a") < F.col("first.a") + F.col("n"))

@@ -87,6 +87,13 @@ def test_rows(spark):
     assert found.columns == ["doc_id", "text", "deleted", "n_lines", "n_removed"]
 
 
+def test_plan_does_not_grow_with_the_levels(spark):
+    docs = spark.createDataFrame(random_docs(random.Random(3), 12, 60), "doc_id long, text string")
+    # up to 32 lines a passage, six levels; the driver holds the plan of the last step whole
+    plan = line_dedup.deduplicated(docs, "doc_id", "text", 33)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.deduplicated(docs, "doc_id", "text").count() == 0
