@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelproof.functions.headers import picture_facts
+
 # Fixed grey conversion weights (fixed point, 16 bits).
 GREY_WEIGHTS = {"red": 19595, "green": 38470, "blue": 7471}
 
@@ -359,31 +361,36 @@ def plain_png(data: bytes | None) -> np.ndarray | None:
     return image if channels == 1 else image[:, :, ::-1]
 
 
-def plain_pictures(df: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
-    """``keep`` and the picture (width, height, channels, pixels) of plain PNG contents; other contents stay as bytes.
+def plain_pictures(df: DataFrame, keep: list[str], content: str = "content", *, turn: bool = True, most: int | None = None) -> DataFrame:
+    """``keep``, orientation and the picture (width, height, channels, pixels) of plain PNG contents; other contents stay as bytes.
 
-    A row has either pixels or content, or neither where it had no content.
+    A row has either a width or content, or neither where it had no content. With ``turn`` a picture is turned as it
+    states; pixels of more than ``most`` bytes are left out, their sizes stay.
     """
-    fields = [T.StructField(n, T.IntegerType()) for n in ("width", "height", "channels")]
+    fields = [T.StructField(n, T.IntegerType()) for n in ("orientation", "width", "height", "channels")]
     fields += [T.StructField("pixels", T.BinaryType()), T.StructField(content, T.BinaryType())]
 
-    def piece(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    def piece(batch: pa.RecordBatch, turns: list, found: list) -> pa.RecordBatch:
         sizes = [(None, None, None) if p is None else p.shape for p in found]
         bodies = [c if p is None else None for c, p in zip(batch.column(content).to_pylist(), found)]
-        columns = [pa.array([s[i] for s in sizes], pa.int32()) for i in (1, 0, 2)]
-        columns.append(pa.array([None if p is None else p.tobytes() for p in found], pa.binary()))
+        columns = [pa.array(turns, pa.int32()), *(pa.array([s[i] for s in sizes], pa.int32()) for i in (1, 0, 2))]
+        held = [None if p is None or (most is not None and p.nbytes > most) else p.tobytes() for p in found]
+        columns.append(pa.array(held, pa.binary()))
         kept = [batch.column(c) for c in keep]
-        names = [*keep, "width", "height", "channels", "pixels", content]
+        names = [*keep, "orientation", "width", "height", "channels", "pixels", content]
         return pa.RecordBatch.from_arrays([*kept, *columns, pa.array(bodies, pa.binary())], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, start, size = [], 0, 0
-            for i, data in enumerate(batch.column(content)):
-                found.append(plain_png(data.as_py()))
-                size += 0 if found[-1] is None else found[-1].nbytes
+            turns, found, start, size = [], [], 0, 0
+            for i, value in enumerate(batch.column(content)):
+                data = value.as_py()
+                image, orientation = plain_png(data), picture_facts(data)[3]
+                turns.append(orientation)
+                found.append(upright(image, orientation) if turn and image is not None else image)
+                size += 0 if image is None else image.nbytes
                 if size >= PIECE or i + 1 == batch.num_rows:
-                    yield piece(batch.slice(start, len(found)), found)
-                    found, start, size = [], i + 1, 0
+                    yield piece(batch.slice(start, len(found)), turns, found)
+                    turns, found, start, size = [], [], i + 1, 0
 
     return df.select(*keep, content).mapInArrow(work, T.StructType([*(df.schema[c] for c in keep), *fields]))

@@ -288,9 +288,8 @@ def k3(t):
 @query("d6_suspicious_images")
 def d6_images(t):
     """Copies by digest, then similar pictures among different contents, verified by structural similarity."""
-    digests = files.read_binary(t.spark, gallery.folder(t)).select("path", "sha256")
     # decoded and hashed once; read again by the copy links, the candidates and both sides of the check
-    images = stored(gallery.hashed(t).join(digests, "path"), "pictures")
+    images = stored(gallery.hashed(t), "hashed")
     copies, groups = dedup.copy_links(images.select("path", "sha256"), "path", "sha256")
     kept = images.join(groups.select(F.col("keep").alias("path")), "path", "left_semi")
     found = dedup.hash_candidates(kept, "path", max_distance=2, width=64)

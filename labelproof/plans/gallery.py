@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from labelproof.functions.images import image_hash, pixel_stats, png_bytes, tile_png, upright
 from labelproof.schemas import Tables
 from labelproof.session import scratch_path, spread
-from labelproof.sources.files import content_type, plain_path, read_binary, read_images
+from labelproof.sources.files import content_type, plain_path, read_images
 from labelproof.sources.sinks import write_files
 
 SQL_GALLERY = """
@@ -106,9 +106,9 @@ def listed(t: Tables) -> DataFrame:
 
 def measured(t: Tables) -> DataFrame:
     """Manifest with file facts, decoded size and pixel statistics; missing files keep null metrics."""
-    images = read_images(t.spark, folder(t)).withColumn("s", pixel_stats()).select("path", "decoded", "width", "height", "s.*")
-    files = read_binary(t.spark, folder(t)).select("path", "length", "sha256", content_type(F.col("head")).alias("content_type"))
-    joined = listed(t).join(files, "path", "left").join(images, "path", "left")
+    images = read_images(t.spark, folder(t), ("length", "sha256", "head")).withColumn("s", pixel_stats())
+    facts = images.select("path", "length", "sha256", content_type(F.col("head")).alias("content_type"), "decoded", "width", "height", "s.*")
+    joined = listed(t).join(facts, "path", "left")
     opened = F.coalesce("decoded", F.lit(False))
     return joined.withColumns(
         {
@@ -122,4 +122,4 @@ def measured(t: Tables) -> DataFrame:
 
 
 def hashed(t: Tables) -> DataFrame:
-    return read_images(t.spark, folder(t)).filter("decoded").withColumn("bands", image_hash())
+    return read_images(t.spark, folder(t), ("sha256",)).filter("decoded").withColumn("bands", image_hash())

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelproof.functions.headers import picture_header
 from labelproof.functions.images import plain_pictures, turned
 from labelproof.session import gathered, make_folder, scratch_path, stored
 from labelproof.sources.sinks import write_files
@@ -46,11 +45,17 @@ def plain_path(path: Column) -> Column:
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Path, size, SHA-256 and leading bytes of every file under a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return file_facts(gathered(files)).drop("content")
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """Path, size, SHA-256, leading bytes and content of the rows of a binary scan."""
     return files.select(
         plain_path(F.col("path")).alias("path"),
         "length",
         F.sha2("content", 256).alias("sha256"),
         F.substring(F.col("content"), 1, 8).alias("head"),
+        "content",
     )
 
 
@@ -68,43 +73,55 @@ def content_type(head: Column) -> Column:
     )
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images the right way up; a file that cannot be decoded stays, with null sizes.
+# decoded pictures of at most so many bytes are kept from the one pass over the files
+SMALL_PICTURE = 256 << 10
+
+
+def read_images(spark: SparkSession, path: str, keep: Sequence[str] = (), *, turn: bool = True) -> DataFrame:
+    """Decoded images, the right way up unless ``turn`` is off; a file that cannot be decoded stays, with null sizes.
 
+    ``keep`` names columns of :func:`read_binary` to go with them, so that no file is opened twice for those.
     Spark's picture source takes milliseconds of fixed work for each file, however small. Plain PNG files are decoded
     where their bytes are read; only the others are copied to a folder of their own, which the picture source reads.
     It leaves out the orientation that a file states, so that is found by the header and the picture turned.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    facts = gathered(files).select(plain_path(F.col("path")).alias("path"), picture_header("content").alias("facts"), "content")
-    stated = facts.select("path", F.col("facts.orientation").alias("orientation"), "content")
-    split = plain_pictures(stated, ["path", "orientation"])
-    pictures = ["path", "orientation", F.lit(True).alias("decoded"), "width", "height", "channels", "pixels"]
-    plain = split.filter("pixels IS NOT NULL").select(*pictures)
-    rows = plain.unionByName(decoded_others(split, ["path", "orientation"]))
-    # a null orientation is not turned
-    turn = rows.withColumn("orientation", F.when(F.col("orientation") > 1, F.col("orientation")))
-    upright = turn.withColumn("upright", F.when(F.col("orientation").isNotNull(), turned()))
-    return upright.select(
-        "path", "decoded", *[F.coalesce(f"upright.{c}", c).alias(c) for c in ("width", "height")], "channels",
-        F.coalesce("upright.pixels", "pixels").alias("pixels"),
-    )
-
-
-def decoded_others(split: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Rows of :func:`plain_pictures` that still have a content, decoded by Spark's picture source; ``keep`` has the path.
 
-    Copies these contents to a folder when called.
+    The files are read once, when this is called: small pictures are kept as pixels in a few Parquet files. Those of
+    more than ``SMALL_PICTURE`` bytes are decoded again when the rows are asked for, as rows of a Parquet file are read
+    many at a time.
     """
-    spark = split.sparkSession
+    files = gathered(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+    own = ["path", *keep]
+    size = ["width", "height", "channels"]
+    read = file_facts(files)
     folder = scratch_path(spark, "others")
     make_folder(spark, folder)
-    named = split.filter("content IS NOT NULL").withColumn("opened_as", F.sha2("path", 256))
-    others = stored(write_files(named, folder, "opened_as", "content", keep=keep), "others")
+    split = plain_pictures(read, ["path", *dict.fromkeys([*keep, "length"])], turn=turn, most=SMALL_PICTURE)
+    named = split.withColumn("opened_as", F.when(F.col("content").isNotNull(), F.sha2("path", 256)))
+    held = [*dict.fromkeys([*own, "length"]), "orientation", *size, "pixels"]
+    facts = stored(write_files(named, folder, "opened_as", "content", keep=held), "pictures")
+    decoded = F.lit(True).alias("decoded")
+    rows = facts.filter("pixels IS NOT NULL").select(*own, decoded, *size, "pixels")
+    least = facts.filter("width IS NOT NULL AND pixels IS NULL").agg(F.min("length")).first()[0]
+    if least is not None:
+        large = plain_pictures(read.filter(F.col("length") >= least), own, turn=turn)
+        rows = rows.unionByName(large.filter(F.length("pixels") > SMALL_PICTURE).select(*own, decoded, *size, "pixels"))
+    return rows.unionByName(decoded_others(facts.filter("opened_as IS NOT NULL").select(*own, "orientation", "opened_as"), folder, own, turn))
+
+
+def decoded_others(others: DataFrame, folder: str, own: Sequence[str], turn: bool) -> DataFrame:
+    """Rows whose file is in ``folder`` as ``opened_as``, decoded by Spark's picture source and turned if so wished."""
     opened_as = F.element_at(F.split("path", "/"), -1).alias("opened_as")
-    found = raw_images(spark, folder).select(opened_as, "decoded", "width", "height", "channels", "pixels")
-    return others.join(found, "opened_as", "left").select(
-        *keep, F.coalesce("decoded", F.lit(False)).alias("decoded"), "width", "height", "channels", "pixels"
+    size = ["width", "height", "channels"]
+    found = raw_images(others.sparkSession, folder).select(opened_as, "decoded", *size, "pixels")
+    rows = others.join(found, "opened_as", "left").withColumn("decoded", F.coalesce("decoded", F.lit(False)))
+    if not turn:
+        return rows.select(*own, "decoded", *size, "pixels")
+    # a null orientation is not turned
+    asked = rows.withColumn("orientation", F.when(F.col("orientation") > 1, F.col("orientation")))
+    upright = asked.withColumn("upright", F.when(F.col("orientation").isNotNull(), turned()))
+    return upright.select(
+        *own, "decoded", *[F.coalesce(f"upright.{c}", c).alias(c) for c in ("width", "height")], "channels",
+        F.coalesce("upright.pixels", "pixels").alias("pixels"),
     )
 
 

@@ -95,6 +95,24 @@ def test_the_picture_source_gets_only_what_is_not_plain(spark, gallery, monkeypa
     assert [files.list_files(spark, p).count() for p in opened] == [1]
 
 
+def test_files_are_opened_once(spark, tmp_path, monkeypatch):
+    for i in range(6):
+        (tmp_path / f"p{i}.png").write_bytes(im.png_bytes(np.full((8, 8 + i), 40 * i, np.uint8), 6))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    rows = files.read_images(spark, str(tmp_path), ("length", "sha256"))
+    want = {n: (r["sha256"], r["length"]) for n, r in by_name(files.read_binary(spark, str(tmp_path))).items()}
+    monkeypatch.setattr(files, "SMALL_PICTURE", 80)
+    again = by_name(files.read_images(spark, str(tmp_path)))
+    for f in tmp_path.iterdir():
+        f.unlink()
+    got = by_name(rows)
+    assert {n: (r["sha256"], r["length"]) for n, r in got.items()} == want
+    # larger pictures are decoded again, to the same pixels; all are turned
+    columns = ("decoded", "width", "height", "channels", "pixels")
+    assert {n: [r[c] for c in columns] for n, r in got.items()} == {n: [r[c] for c in columns] for n, r in again.items()}
+    assert (got["p3.png"]["width"], got["p3.png"]["height"], got["broken.png"]["decoded"]) == (8, 11, False)
+
+
 def test_small_files_share_tasks(spark, tmp_path):
     for i in range(40):
         (tmp_path / f"{i}.bin").write_bytes(b"x")
