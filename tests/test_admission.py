@@ -131,6 +131,17 @@ def test_ruled_out_files_are_not_opened(spark, folder, monkeypatch):
     assert "LessThanOrEqual(length,4194304)" in plan and "GreaterThan(length,4194304)" in plan
 
 
+def test_plain_pictures_are_decoded_where_they_are_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for o in range(1, 9):
+        (tmp_path / "in" / f"{o}.png").write_bytes(im.png_bytes(im.upright(np.arange(40 * 24, dtype=np.uint8).reshape(24, 40), o), o))
+    opened, source = [], files.raw_images
+    monkeypatch.setattr(files, "raw_images", lambda s, path: opened.append(path) or source(s, path))
+    rows = admission.admit_folder(spark, str(tmp_path / "in")).collect()
+    assert len(rows) == 8 and all(r.admitted for r in rows)
+    assert [files.list_files(spark, p).count() for p in opened] == [0]
+
+
 def test_a_jpeg_is_opened_and_turned(spark, tmp_path):
     jvm = spark._jvm
     image = jvm.java.awt.image.BufferedImage(40, 24, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
