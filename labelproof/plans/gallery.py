@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from labelproof.functions.images import image_hash, pixel_stats, png_bytes, tile_png, upright
 from labelproof.schemas import Tables
-from labelproof.session import scratch_path, spread
+from labelproof.session import dealt, scratch_path
 from labelproof.sources.files import content_type, plain_path, read_images
 from labelproof.sources.sinks import write_files
 
@@ -30,13 +30,23 @@ gallery AS (
 """
 
 
+# A folder of very many files is listed, and its files are made, one after another; more than 32 folders are listed by tasks.
+FOLDERS = 64
+
+
+def file_name() -> Column:
+    """Where a picture is under its folder, as ``name``."""
+    return F.format_string("%02d/v%d.png", F.pmod("vec_id", F.lit(FOLDERS)), "vec_id").alias("name")
+
+
 def levels(t: Tables) -> DataFrame:
     r = F.col("vec_id") % 25
     level = F.transform(
         "embedding",
         lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * F.lit(400.0) + F.lit(128.0)))).cast("int"),
     )
-    return t.embeddings.select(
+    # drawn and written by all tasks
+    return dealt(t.embeddings, "vec_id").select(
         "vec_id", "label", F.when(r == 5, F.transform("embedding", lambda v: F.lit(255))).otherwise(level).alias("levels")
     )
 
@@ -46,15 +56,15 @@ def folder(t: Tables) -> str:
     r = F.col("vec_id") % 25
     rows = levels(t).filter(r != 3)
     content = F.when(r == 4, F.lit("not an image").cast("binary")).otherwise(tile_png(F.col("levels"), 8, 4))
-    return kept_folder(t, "gallery", rows.select(F.format_string("v%d.png", "vec_id").alias("name"), content.alias("content")))
+    return kept_folder(t, "gallery", rows.select(file_name(), content.alias("content")))
 
 
 def kept_folder(t: Tables, label: str, named: DataFrame) -> str:
-    """Folder with the files of ``named`` (name, content); written by the tasks, once per query."""
+    """Folder with the files of ``named`` (name, content); written by the tasks that make them, once per query."""
 
     def write() -> str:
         path = scratch_path(t.spark, label)
-        write_files(spread(named), path, "name", "content").write.format("noop").mode("overwrite").save()
+        write_files(named, path, "name", "content").write.format("noop").mode("overwrite").save()
         return path
 
     return t.once(label, write)
@@ -89,7 +99,7 @@ def _awkward(levels: pd.Series, kind: pd.Series, orientation: pd.Series) -> pd.S
 def awkward_folder(t: Tables) -> str:
     """Pictures that state all orientations, and files that admission has to turn down."""
     kind, turn = (F.col("vec_id") % 25).cast("int"), (F.col("vec_id") % 8 + 1).cast("int")
-    rows = levels(t).select(F.format_string("v%d.png", "vec_id").alias("name"), _awkward("levels", kind, turn).alias("content"))
+    rows = levels(t).select(file_name(), _awkward("levels", kind, turn).alias("content"))
     return kept_folder(t, "awkward", rows)
 
 
@@ -100,7 +110,7 @@ def key_of(path: str = "path") -> Column:
 def listed(t: Tables) -> DataFrame:
     """Manifest of the pictures: path, key, target, declared size."""
     base = folder(t)
-    full = F.concat(F.lit(base), F.format_string("/v%d.png", "vec_id"))
+    full = F.concat(F.lit(f"{base}/"), file_name())
     return t.embeddings.select("vec_id", "label", plain_path(full).alias("path"), F.lit("32x32").alias("image_size"))
 
 

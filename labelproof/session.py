@@ -81,14 +81,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan dealt by a key to at least four tasks for each core, however the scan is split.
+
+    For small rows on which much work is done. Parquet splits that hold no start of a row group are empty: a file of one
+    row group is one task's work, in however many splits it is read, so the number of splits does not tell.
+    """
+    wanted = max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    return df.repartition(wanted, key)
+
+
+# splits of a scan that one task reads at most
+SPLITS = 256
+
+
 def gathered(files: DataFrame) -> DataFrame:
     """Rows of a scan of many small files in fewer, larger tasks, at least four for each core.
 
-    Spark counts a file as 4 MB at least, so a task reads some thirty small files; starting its Python workers then
-    takes longer than the files do. Nothing is moved. Only for frames read straight from files.
+    Spark counts a file as 4 MB at least, so a task reads some thirty small files, or four where a session asks for
+    splits of 16 MB; starting its Python workers then takes longer than the files do. A task gets at most ``SPLITS`` of
+    its splits, of which rows are read one after another. Nothing is moved. Only for frames read straight from files.
     """
     parts = files.rdd.getNumPartitions()
-    wanted = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-parts // 32))
+    wanted = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-parts // SPLITS))
     return files.coalesce(wanted) if wanted < parts else files
 
 

@@ -62,7 +62,7 @@ def file_facts(files: DataFrame) -> DataFrame:
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """File listing without contents."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(plain_path(F.col("path")).alias("path"), "length")
+    return gathered(files).select(plain_path(F.col("path")).alias("path"), "length")
 
 
 def content_type(head: Column) -> Column:
@@ -113,7 +113,8 @@ def decoded_others(others: DataFrame, folder: str, own: Sequence[str], turn: boo
     opened_as = F.element_at(F.split("path", "/"), -1).alias("opened_as")
     size = ["width", "height", "channels"]
     found = raw_images(others.sparkSession, folder).select(opened_as, "decoded", *size, "pixels")
-    rows = others.join(found, "opened_as", "left").withColumn("decoded", F.coalesce("decoded", F.lit(False)))
+    # the files' sizes say little about those of the pixels, which are not to pass through the driver
+    rows = others.join(found.hint("merge"), "opened_as", "left").withColumn("decoded", F.coalesce("decoded", F.lit(False)))
     if not turn:
         return rows.select(*own, "decoded", *size, "pixels")
     # a null orientation is not turned

@@ -65,7 +65,7 @@ def write_markdown(df: DataFrame, path: str, order: Sequence) -> None:
 def write_files(df: DataFrame, folder: str, name: str, content: str, keep: Sequence[str] = ()) -> DataFrame:
     """Write one file per row from the tasks; returns the rows' names, sizes and the columns ``keep`` (lazy).
 
-    A row without a name or content writes nothing and has no size.
+    A row without a name or content writes nothing and has no size. A name may have folders in it.
 
     Names and bytes depend on the row alone, so a retried task rewrites the same
     file. Any file system known to Arrow works; a folder without a scheme is one of the session's default file system.
@@ -76,14 +76,19 @@ def write_files(df: DataFrame, folder: str, name: str, content: str, keep: Seque
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(target)
-        system.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             sizes = []
             for file_name, data in zip(batch[name], batch[content]):
                 if file_name is None or data is None:
                     sizes.append(None)
                     continue
-                with system.open_output_stream(f"{base}/{file_name}") as out:
+                place = f"{base}/{file_name}"
+                above = place.rpartition("/")[0]
+                if above not in made:
+                    system.create_dir(above, recursive=True)
+                    made.add(above)
+                with system.open_output_stream(place) as out:
                     out.write(bytes(data))
                 sizes.append(len(data))
             yield batch[[*keep, name]].assign(bytes=pd.array(sizes, dtype="Int64"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import images as im
 from labelproof.operators import rules
-from labelproof.schemas import schema
+from labelproof.plans import gallery as gallery_plan
+from labelproof.schemas import Tables, schema
 from labelproof.session import gathered
 from labelproof.sources import files, sinks
 
@@ -127,6 +128,41 @@ def test_small_files_share_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_listings_and_tasks_do_not_grow_with_every_few_files(spark, tmp_path):
+    for i in range(1100):
+        (tmp_path / f"{i}.bin").write_bytes(b"x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1)
+    try:
+        most = 4 * spark.sparkContext.defaultParallelism
+        listing = files.list_files(spark, str(tmp_path))
+        assert listing.rdd.getNumPartitions() == max(most, 5) and listing.count() == 1100
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pictures_of_one_row_group_are_drawn_by_all_cores(spark, folder, tmp_path):
+    # splits without the start of a row group are empty
+    spark.read.parquet(f"{folder}/embeddings.parquet").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        t = Tables(spark, str(tmp_path))
+        assert t.embeddings.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        busy = gallery_plan.levels(t).groupBy(F.spark_partition_id()).count()
+        assert busy.count() > spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pictures_lie_in_many_folders_and_decoded_ones_are_not_broadcast(spark, folder):
+    t = Tables(spark, folder)
+    paths = [r["path"] for r in files.list_files(spark, gallery_plan.folder(t)).collect()]
+    assert len(paths) == t.embeddings.filter("vec_id % 25 <> 3").count()
+    # Spark lists more than 32 folders by tasks
+    assert len({p.rsplit("/", 1)[0] for p in paths}) > 32
+    plan = files.read_images(spark, gallery_plan.folder(t))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_digests_and_types(spark, gallery):
     rows = by_name(files.read_binary(spark, str(gallery)).withColumn("t", files.content_type(F.col("head"))))
     assert rows["one.png"]["sha256"] == rows["copy.png"]["sha256"] == hashlib.sha256((gallery / "one.png").read_bytes()).hexdigest()
