@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -149,8 +149,8 @@ def image_hash(pixels: str = "pixels", height: str = "height", width: str = "wid
     return _image_hash(F.col(pixels), F.col(height), F.col(width), F.col(channels))
 
 
-def normalised(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
-    """Grey image stretched to a size and scaled to -1..1, row by row, as an array of floats."""
+def normalised(df: DataFrame, key: str, width: int, height: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Grey image stretched to a size and scaled to -1..1, row by row, as an array of floats; ``keep`` passes through."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,10 +158,11 @@ def normalised(df: DataFrame, key: str, width: int, height: int) -> DataFrame:
                 ((stretch(grey(p, int(h), int(w), int(c)), width, height) / 255.0 - 0.5) / 0.5).ravel().astype(np.float32)
                 for p, h, w, c in zip(b["pixels"], b["height"], b["width"], b["channels"])
             ]
-            yield pd.DataFrame({key: b[key], "tensor": vectors})
+            yield b[[key, *keep]].assign(tensor=vectors)
 
-    kept = df.filter("decoded").select(key, "pixels", "height", "width", "channels")
-    return kept.mapInPandas(work, T.StructType([df.schema[key], T.StructField("tensor", T.ArrayType(T.FloatType()))]))
+    kept = df.filter("decoded").select(*dict.fromkeys([key, *keep, "pixels", "height", "width", "channels"]))
+    fields = [*(df.schema[c] for c in (key, *keep)), T.StructField("tensor", T.ArrayType(T.FloatType()))]
+    return kept.mapInPandas(work, T.StructType(fields))
 
 
 # parts of one grey level in which the strength of a gradient is counted

@@ -203,13 +203,12 @@ def c17_turned(t):
     """Copies stored in all eight orientations give the pixels of the upright picture."""
     kind = gallery.key_of() % 25
     images = files.read_images(t.spark, gallery.awkward_folder(t)).filter(F.col("decoded") & ~kind.isin(3, 9))
-    sized = images.select("path", F.col("width").alias("w"), F.col("height").alias("h"))
-    rows = normalised(images, "path", 32, 24).join(sized, "path")
+    rows = normalised(images, "path", 32, 24, keep=("width", "height"))
     corner = {"top_left": 0, "top_right": 31, "bottom_left": 23 * 32, "bottom_right": 24 * 32 - 1}
     return rows.select(
         gallery.key_of().alias("vec_id"),
-        F.col("w").alias("width"),
-        F.col("h").alias("height"),
+        "width",
+        "height",
         *[F.round(F.get("tensor", i).cast("double"), 5).alias(n) for n, i in corner.items()],
         F.round(F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x.cast("double")) / 768, 4).alias("mean"),
     )
@@ -315,4 +314,5 @@ def j4(t):
     rows = stored(gallery.measured(t), "measured")
     base = gallery.folder(t)
     images = rows.filter("exists").select("path", "decoded", "width", "height", "intensity_range")
-    return gates.file_gate(gallery.listed(t), images, files.list_files(t.spark, base), base.replace("file:///", "file:/"))
+    found = stored(files.list_files(t.spark, base), "listing")
+    return gates.file_gate(gallery.listed(t), images, found, base.replace("file:///", "file:/"))
