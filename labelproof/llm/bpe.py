@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from labelproof.llm.batches import bounded
+from labelproof.llm.batches import bounded, tidy
 
 LEAF = 24
 NO_RANK = 1 << 40
@@ -56,6 +56,11 @@ class BytePairEncoder:
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._known = _PieceCache(self)
 
+    def forget(self) -> None:
+        """Empties what is kept of pieces seen before."""
+        self._pairs.clear()
+        self._known.clear()
+
     def merged(self, data: bytes) -> list[bytes]:
         """Tokens of a few bytes: the adjacent pair of lowest rank is merged until there is none."""
         if len(data) > 4 * LEAF:
@@ -178,7 +183,7 @@ def encoded(docs: DataFrame, keys: list[str], text: str, encoder: BytePairEncode
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*keys, ids])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run, encoder.forget), out)
 
 
 def decoded(rows: DataFrame, keys: list[str], ids: str, ranks: dict[bytes, int], out: str = "decoded") -> DataFrame:
@@ -197,4 +202,4 @@ def decoded(rows: DataFrame, keys: list[str], ids: str, ranks: dict[bytes, int],
                 [*batch.columns, pa.array(values, pa.binary())], [*keys, ids, out]
             )
 
-    return bounded(rows.select(*keys, ids)).mapInArrow(run, T.StructType(fields))
+    return bounded(rows.select(*keys, ids)).mapInArrow(tidy(run), T.StructType(fields))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelproof.llm.batches import bounded
+from labelproof.llm.batches import bounded, tidy
 from labelproof.session import stored
 
 # Normalisation: A-Z in lower case; words are runs of digits, letters and everything beyond ASCII.
@@ -246,7 +246,7 @@ def report(
                     batch.schema.names,
                 )
 
-        rows = bounded(rows).mapInArrow(judged, out)
+        rows = bounded(rows).mapInArrow(tidy(judged), out)
         if parts > 1:
             rows = stored(rows, "decontam")  # so that a task holds one automaton at a time
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -292,7 +292,7 @@ def clean_documents(
                 keep.append(not (hit > 0 and hit * coverage_parts >= n))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return bounded(rows).mapInArrow(kept, rows.schema).toDF(*names)
+    return bounded(rows).mapInArrow(tidy(kept), rows.schema).toDF(*names)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelproof.llm.batches import bounded
+from labelproof.llm.batches import bounded, tidy
 
 UNKNOWN = "und"
 PIECE = 8192
@@ -75,6 +75,10 @@ class LanguageModel:
             self._compressors[name, round_] = zstandard.ZstdCompressor(compression_params=settings, dict_data=content)
         return self._compressors[name, round_]
 
+    def forget(self) -> None:
+        """Lets the compressors go; they are made anew when they are needed."""
+        self._compressors.clear()
+
     def predict(self, text: bytes | None) -> tuple[str, float, bool]:
         """(language, score, rejected)"""
         if not text or not self.names or not has_letter(text):
@@ -167,7 +171,7 @@ def predictions(docs: DataFrame, keys: list[str], text: str, model: LanguageMode
                 [*batch.columns[1:], *columns], [*keys, "lang_pred", "score", "rejected"]
             )
 
-    return bounded(rows).mapInArrow(judged, T.StructType([*(docs.schema[k] for k in keys), *RESULT]))
+    return bounded(rows).mapInArrow(tidy(judged, model.forget), T.StructType([*(docs.schema[k] for k in keys), *RESULT]))
 
 
 def known_language(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
@@ -180,4 +184,4 @@ def known_language(docs: DataFrame, text: str, model: LanguageModel) -> DataFram
             texts = batch.column(place).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([not model.predict(t)[2] for t in texts], pa.bool_()))
 
-    return bounded(rows).mapInArrow(kept, rows.schema).toDF(*names)
+    return bounded(rows).mapInArrow(tidy(kept, model.forget), rows.schema).toDF(*names)

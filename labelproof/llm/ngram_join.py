@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelproof.llm.batches import bounded
+from labelproof.llm.batches import bounded, give_back, tidy
 from labelproof.llm.columns import by_place
 from labelproof.llm.components import components
 from labelproof.llm.packing import from_planes, packed, planes, range_edges, unpacked
@@ -105,7 +105,7 @@ def set_sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return bounded(docs.select(key, text)).mapInArrow(run, f"key {kind}, n_shingles bigint, digest binary")
+    return bounded(docs.select(key, text)).mapInArrow(tidy(run), f"key {kind}, n_shingles bigint, digest binary")
 
 
 PARCEL = "bucket int, chunk bigint, kind int, a binary, b binary, c binary"
@@ -235,12 +235,23 @@ def _gathered(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_SURVIVOR)], schema=ARROW_SURVIVOR)
 
 
+def _tidied(answer):
+    """For groups of about a million numbers: the arrays of one are given back before the next."""
+
+    def work(table: pa.Table) -> pa.Table:
+        out = answer(table)
+        give_back()
+        return out
+
+    return work
+
+
 def survivors(docs: DataFrame, text: str, total: int) -> DataFrame:
     """Classes with enough shingles in common with others: digest, n, shared shingles (rarest first), prefix length."""
     buckets = max(shuffle_width(docs.sparkSession), math.ceil(total / BUCKET))
-    sent = bounded(docs.select(text)).mapInArrow(lambda batches: _sent(batches, buckets), PARCEL)
-    answered = sent.groupBy("bucket").applyInArrow(_answered, PARCEL)
-    found = answered.groupBy("chunk").applyInArrow(_gathered, SURVIVOR)
+    sent = bounded(docs.select(text)).mapInArrow(tidy(lambda batches: _sent(batches, buckets)), PARCEL)
+    answered = sent.groupBy("bucket").applyInArrow(_tidied(_answered), PARCEL)
+    found = answered.groupBy("chunk").applyInArrow(_tidied(_gathered), SURVIVOR)
     # copies in different chunks are one class; their shingles are equal, and so is their order
     return stored(found.dropDuplicates(["digest"]), "survivors")
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 from labelproof.llm import ngram_join, packing
 from labelproof.llm.components import components
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def brute_force(rows):
     sets = {}
@@ -116,3 +121,39 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200}
+
+
+HELD = """
+import random
+import pyarrow as pa
+from labelproof.llm import ngram_join
+from labelproof.llm.batches import tidy
+
+class Task:
+    get = classmethod(lambda cls: cls)
+    partitionId = staticmethod(lambda: 0)
+
+def held():
+    with open("/proc/self/smaps_rollup") as lines:
+        return sum(int(line.split()[1]) for line in lines if line.startswith("Pss_Anon")) / 1024
+
+def batches():
+    draw = random.Random(1)
+    for _ in range(300):
+        texts = [" ".join(str(draw.randrange(150_000)) for _ in range(4_000)) for _ in range(2)]
+        yield pa.RecordBatch.from_pydict({"text": texts})
+
+ngram_join.TaskContext = Task
+before = held()
+run = RUN(lambda rows: ngram_join._sent(rows, 12))
+assert sum(b.num_rows for b in run(batches())) > 24
+print(held() - before)
+"""
+
+
+def test_a_worker_gives_back_what_a_task_took():
+    def held(wrapper):
+        run = subprocess.run([sys.executable, "-c", HELD.replace("RUN", wrapper)], cwd=ROOT, capture_output=True, text=True, check=True)
+        return float(run.stdout)
+
+    assert held("tidy") + 20 < held("")
