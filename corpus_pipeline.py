@@ -50,8 +50,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text and the digest of the text decoded from them."""
     encoder = bpe.BytePairEncoder(bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
-    ids = bpe.encoded(docs, ["doc_id", "lang", "source"], "text", encoder, "token_ids")
-    return bpe.decoded(ids, ["doc_id", "lang", "source"], "token_ids", encoder.ranks).select(
+    return bpe.round_trip(docs, ["doc_id", "lang", "source"], "text", encoder, "token_ids").select(
         "doc_id",
         "lang",
         "source",

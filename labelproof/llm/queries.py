@@ -48,8 +48,7 @@ VOCABULARY = corpus_pipeline.VOCABULARY
 @query("op1_byte_level_bpe")
 def op1_byte_level_bpe(t: Tables) -> DataFrame:
     encoder = bpe.BytePairEncoder(bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
-    ids = bpe.encoded(t.documents, ["doc_id"], "text", encoder)
-    return bpe.decoded(ids, ["doc_id"], "ids", encoder.ranks).select(
+    return bpe.round_trip(t.documents, ["doc_id"], "text", encoder).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
@@ -59,3 +60,20 @@ def test_query(spark, folder, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_round_trip_is_one_step_in_python(spark, encoder):
+    rows = [(1, "Some text,  twice", 7), (1, "Some text,  twice", 7), (2, None, 8), (3, "", 9), (None, "é日\n" * 900, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
+    whole = bpe.round_trip(docs, ["doc_id"], "text", encoder)
+    parts = bpe.decoded(bpe.encoded(docs, ["doc_id"], "text", encoder), ["doc_id"], "ids", encoder.ranks)
+    assert whole.schema == parts.schema
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    assert bpe.round_trip(docs.limit(0), ["doc_id"], "text", encoder).count() == 0
+
+
+def test_pipeline_encodes_and_decodes_in_one_worker(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    # two steps take two Python workers for each core, which an executor keeps
+    for rows in (corpus_pipeline.byte_level_bpe(spark, docs, folder), queries.QUERIES["op1_byte_level_bpe"](spark, folder)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
