@@ -41,6 +41,8 @@ def fit(image: np.ndarray, width: int, height: int) -> np.ndarray:
 def stretch(image: np.ndarray, width: int, height: int) -> np.ndarray:
     """The whole image resized with a triangle filter, whatever its aspect ratio."""
     h, w = image.shape
+    if (w, h) == (width, height):
+        return image.astype(np.float64)  # the weights are those of no change
     across = _levels(image.astype(np.float64) @ _weights(w, width, 0.0, w, "triangle").T, image)
     return _levels(_weights(h, height, 0.0, h, "triangle") @ across, image)
 
@@ -149,20 +151,32 @@ def image_hash(pixels: str = "pixels", height: str = "height", width: str = "wid
     return _image_hash(F.col(pixels), F.col(height), F.col(width), F.col(channels))
 
 
+# values that a batch of scaled pictures holds at most, if more than one picture is in it
+VALUES = 1 << 22
+
+
 def normalised(df: DataFrame, key: str, width: int, height: int, keep: Sequence[str] = ()) -> DataFrame:
     """Grey image stretched to a size and scaled to -1..1, row by row, as an array of floats; ``keep`` passes through."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            vectors = [
-                ((stretch(grey(p, int(h), int(w), int(c)), width, height) / 255.0 - 0.5) / 0.5).ravel().astype(np.float32)
-                for p, h, w, c in zip(b["pixels"], b["height"], b["width"], b["channels"])
-            ]
-            yield b[[key, *keep]].assign(tensor=vectors)
+    size, most = width * height, max(1, VALUES // (width * height))
+    names = [key, *keep]
+
+    # as Arrow lists: by way of pandas every value becomes a Python object
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                b = batch.slice(start, most)
+                values = np.empty((b.num_rows, size), np.float32)
+                parts = (b.column(n).to_pylist() for n in ("pixels", "height", "width", "channels"))
+                for i, (p, h, w, c) in enumerate(zip(*parts)):
+                    values[i] = ((stretch(grey(p, h, w, c), width, height) / 255.0 - 0.5) / 0.5).ravel()
+                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * size, pa.int32())
+                tensor = pa.ListArray.from_arrays(ends, pa.array(values.ravel(), pa.float32()))
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), tensor], [*names, "tensor"])
 
     kept = df.filter("decoded").select(*dict.fromkeys([key, *keep, "pixels", "height", "width", "channels"]))
     fields = [*(df.schema[c] for c in (key, *keep)), T.StructField("tensor", T.ArrayType(T.FloatType()))]
-    return kept.mapInPandas(work, T.StructType(fields))
+    return kept.mapInArrow(work, T.StructType(fields))
 
 
 # parts of one grey level in which the strength of a gradient is counted

@@ -259,3 +259,20 @@ def test_partitioned_layout_prunes_folders(spark, tmp_path):
     kept = spark.read.parquet(path).filter("split = 'test'")
     assert "PartitionFilters: [isnotnull(split" in kept._jdf.queryExecution().executedPlan().toString()
     assert kept.count() == 25
+
+
+def test_own_size_needs_no_filter(monkeypatch):
+    draw = np.random.default_rng(3)
+    pictures = [draw.integers(0, draw.integers(1, 257), draw.integers(1, 40, 2)).astype(np.uint8) for _ in range(300)]
+    monkeypatch.setattr(im, "_weights", None)
+    assert all((im.stretch(x, x.shape[1], x.shape[0]) == x).all() for x in pictures)
+
+
+def test_scaled_pictures_leave_as_arrow_lists(spark, gallery, monkeypatch):
+    images = files.read_images(spark, str(gallery))
+    scaled = im.normalised(images, "path", 64, 32, keep=("width",))
+    assert "MapInArrow" in scaled._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(im, "VALUES", 1)  # each picture a batch of its own
+    pieces = im.normalised(images, "path", 64, 32, keep=("width",))
+    assert sorted(map(str, scaled.collect())) == sorted(map(str, pieces.collect()))
+    assert pieces.count() == 4
