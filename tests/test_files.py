@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,17 @@ def test_scaled_pictures_leave_as_arrow_lists(spark, gallery, monkeypatch):
     pieces = im.normalised(images, "path", 64, 32, keep=("width",))
     assert sorted(map(str, scaled.collect())) == sorted(map(str, pieces.collect()))
     assert pieces.count() == 4
+
+
+def test_percentiles_are_those_of_numpy():
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        x = draw.integers(0, draw.integers(1, 257), draw.integers(1, 40, 2)).astype(np.uint8)
+        assert im.percentiles(x, [0, 1, 50, 99, 100]) == np.percentile(x.astype(np.float64), [0, 1, 50, 99, 100]).tolist()
+
+
+def test_statistics_call_no_general_percentile(spark, gallery, monkeypatch):
+    monkeypatch.setattr(np, "percentile", None)
+    picture = pd.Series([bytes(range(12))])
+    found = im.pixel_stats.__globals__["_stats"].func(picture, *(pd.Series([n]) for n in (3, 4, 1)))
+    assert found.loc[0, ["minimum", "maximum", "p01", "p99"]].tolist() == pytest.approx([0, 11, 0.11, 10.89])
