@@ -7,8 +7,9 @@ reduced word, so no pair is missed; the candidates are then verified on the orig
 frequent near word, if that is frequent enough, and forms are followed to the root.
 
 Work grows with the vocabulary, not with the texts, once words are counted; counts are added up before the shuffle, so a
-frequent word is one row per task. More ``symbols`` make more neighbours of a reduced word and fewer candidates of a word:
-about 100 and 60 at six symbols and 300,000 words. Buckets of reduced words are never capped. Forms at least double in
+frequent word is one row per task. No join is left to a guess of sizes: Spark takes an array that is exploded for one row,
+and would send all neighbourhoods through the driver. More ``symbols`` make more neighbours of a reduced word and fewer
+candidates of a word: about 100 and 60 at six symbols and 300,000 words. Buckets of reduced words are never capped. Forms at least double in
 frequency, so chains are short and are followed by doubling steps.
 
 Defined cases: texts that are null or hold no letter give no word. A null key writes as an empty one. Repeated rows count
@@ -79,8 +80,9 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     distinct = words.select("reduced").repartition(width, "reduced").distinct()
     reach = distinct.select("reduced", F.explode(neighbourhood("reduced", symbols)).alias("near")).repartition(width, "near")
     others = words.select(F.col("reduced").alias("near"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    met = reach.join(others, "near").drop("near").repartition(width, "reduced")
-    candidates = words.select("reduced", "word").join(met, "reduced")
+    # a broadcast that is planned by the size before the explode is not undone by adaptive execution
+    met = reach.join(others.hint("merge"), "near").drop("near").repartition(width, "reduced")
+    candidates = words.select("reduced", "word").join(met.hint("merge"), "reduced")
     return candidates.filter(F.levenshtein("word", "other", 1) == 1).select("word", "other", "other_n")
 
 
@@ -90,7 +92,7 @@ def roots(forms: DataFrame) -> DataFrame:
     while True:
         onward = chains.select(F.col("word").alias("root"), F.col("root").alias("further"))
         after = stored(
-            chains.join(onward, "root", "left").select(
+            chains.join(onward.hint("merge"), "root", "left").select(
                 "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")
             ),
             "roots",
@@ -112,7 +114,7 @@ def variants(words: DataFrame, times: int = 2, symbols: int = SYMBOLS) -> DataFr
     near = near_pairs(known, symbols).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     frequent = -F.col("best.falling") >= times * F.col("n")
     judged = stored(
-        known.join(near, "word", "left").select(
+        known.join(near.hint("merge"), "word", "left").select(
             "word",
             F.when(frequent, F.col("best.form")).alias("form"),
             "n",
@@ -122,6 +124,6 @@ def variants(words: DataFrame, times: int = 2, symbols: int = SYMBOLS) -> DataFr
         "forms",
     )
     ends = roots(judged.filter(F.col("form").isNotNull()))
-    return judged.join(ends, "word", "left").select(
+    return judged.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )

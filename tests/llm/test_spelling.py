@@ -92,3 +92,19 @@ def test_counted_words(spark):
 def test_without_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.variants(spelling.counted_words(docs, "doc_id", "text")).count() == 0
+
+
+def test_no_join_sends_words_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df, label, store=spelling.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(spelling, "stored", kept)
+    words = spark.createDataFrame([("hello", 9), ("hallo", 2), ("hellos", 4)], "word string, n long")
+    found = spelling.variants(words)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert got(found) == brute_force({"hello": 9, "hallo": 2, "hellos": 4})
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5
+    assert not [p for p in plans if "Broadcast" in p]
