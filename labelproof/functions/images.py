@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelproof.functions.headers import picture_facts
 
@@ -200,24 +201,21 @@ def cell_counts(image: np.ndarray, cell: tuple[int, int], bins: int = 9) -> np.n
     """Gradient strength by cell and unsigned angle (row, column, bin), in whole ``STRENGTH_PARTS`` of a level.
 
     Levels and so gradients are whole numbers, and a strength is rounded down before it is added: sums are exact and
-    do not depend on their order. One running sum per angle over rows and columns gives every cell by four corners.
+    do not depend on their order.
     """
     levels = image.astype(np.int64)
     gy, gx = np.zeros_like(levels), np.zeros_like(levels)
     gy[1:-1, :] = levels[2:, :] - levels[:-2, :]
     gx[:, 1:-1] = levels[:, 2:] - levels[:, :-2]
-    strength = np.floor(STRENGTH_PARTS * np.sqrt(gx * gx + gy * gy)).astype(np.int64)
-    sector = (np.degrees(np.arctan2(gy, gx)) % 180.0 // (180.0 / bins)).astype(int) % bins
     cw, ch = cell
-    height, width = levels.shape
-    across, down = np.arange(0, width - cw + 1, cw), np.arange(0, height - ch + 1, ch)
-    found = np.empty((len(down), len(across), bins), np.int64)
-    for angle in range(bins):
-        total = np.zeros((height + 1, width + 1), np.int64)
-        total[1:, 1:] = np.where(sector == angle, strength, 0).cumsum(0).cumsum(1)
-        low, high = total[down], total[down + ch]
-        found[:, :, angle] = high[:, across + cw] - high[:, across] - low[:, across + cw] + low[:, across]
-    return found
+    rows, columns = levels.shape[0] // ch, levels.shape[1] // cw
+    # what is left over beside the last whole cell counts in none
+    gy, gx = gy[: rows * ch, : columns * cw], gx[: rows * ch, : columns * cw]
+    strength = np.floor(STRENGTH_PARTS * np.sqrt(gx * gx + gy * gy))
+    sector = (np.degrees(np.arctan2(gy, gx)) % 180.0 // (180.0 / bins)).astype(int) % bins
+    place = (np.arange(rows * ch)[:, None] // ch * columns + np.arange(columns * cw) // cw) * bins + sector
+    found = np.bincount(place.ravel(), weights=strength.ravel(), minlength=rows * columns * bins)
+    return found.astype(np.int64).reshape(rows, columns, bins)
 
 
 def orientation_histogram(image: np.ndarray, cell: tuple[int, int], bins: int = 9, block: int = 2) -> np.ndarray:
@@ -234,38 +232,45 @@ def orientation_histogram(image: np.ndarray, cell: tuple[int, int], bins: int =
     return unit(np.minimum(unit(vectors), 0.2)).ravel().astype(np.float32)
 
 
+def described(df: DataFrame, keep: list[str], name: str, kind: T.DataType, vector: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``keep`` and the ``vector`` of each decoded grey image as an array of ``kind``.
+
+    A vector may be many times as large as its picture, so what leaves a task is cut by the number of values, not of rows.
+    """
+    values = to_arrow_type(kind)
+
+    def piece(batch: pa.RecordBatch, vectors: list[np.ndarray]) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *map(len, vectors)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(vectors), values))
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), lists], [*keep, name])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, start, size = [], 0, 0
+            for i, picture in enumerate(zip(*(batch.column(n) for n in ("pixels", "height", "width", "channels")))):
+                vectors.append(vector(grey(*(x.as_py() for x in picture))))
+                size += len(vectors[-1])
+                if size >= VALUES or i + 1 == batch.num_rows:
+                    yield piece(batch.slice(start, len(vectors)), vectors)
+                    vectors, start, size = [], i + 1, 0
+
+    columns = list(dict.fromkeys([*keep, "pixels", "height", "width", "channels"]))
+    fields = [df.schema[c] for c in keep] + [T.StructField(name, T.ArrayType(kind))]
+    return df.filter("decoded").select(*columns).mapInArrow(work, T.StructType(fields))
+
+
 def gradient_features(df: DataFrame, keep: list[str], width: int, height: int, cell: tuple[int, int] = (8, 8)) -> DataFrame:
     """Orientation-histogram features of decoded images; other columns in ``keep`` pass through."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[keep].copy()
-            out["features"] = [
-                orientation_histogram(fit(grey(p, int(h), int(w), int(c)), width, height), cell)
-                for p, h, w, c in zip(b["pixels"], b["height"], b["width"], b["channels"])
-            ]
-            yield out
+    def vector(image: np.ndarray) -> np.ndarray:
+        return orientation_histogram(fit(image, width, height), cell)
 
-    columns = list(dict.fromkeys([*keep, "pixels", "height", "width", "channels"]))
-    fields = [df.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.FloatType()))]
-    return df.filter("decoded").select(*columns).mapInPandas(work, T.StructType(fields))
+    return described(df, keep, "features", T.FloatType(), vector)
 
 
 def cell_histograms(df: DataFrame, keep: list[str], cell: tuple[int, int] = (8, 8)) -> DataFrame:
     """Cell counts of decoded images at their own size, flattened row by row; ``keep`` passes through."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[keep].copy()
-            out["counts"] = [
-                cell_counts(grey(p, int(h), int(w), int(c)), cell).ravel()
-                for p, h, w, c in zip(b["pixels"], b["height"], b["width"], b["channels"])
-            ]
-            yield out
-
-    columns = list(dict.fromkeys([*keep, "pixels", "height", "width", "channels"]))
-    fields = [df.schema[c] for c in keep] + [T.StructField("counts", T.ArrayType(T.LongType()))]
-    return df.filter("decoded").select(*columns).mapInPandas(work, T.StructType(fields))
+    return described(df, keep, "counts", T.LongType(), lambda image: cell_counts(image, cell).ravel())
 
 
 def gradient_column(picture: str, width: int, height: int, cell: tuple[int, int] = (8, 8)) -> Column:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,33 @@ def test_statistics_call_no_general_percentile(spark, gallery, monkeypatch):
     picture = pd.Series([bytes(range(12))])
     found = im.pixel_stats.__globals__["_stats"].func(picture, *(pd.Series([n]) for n in (3, 4, 1)))
     assert found.loc[0, ["minimum", "maximum", "p01", "p99"]].tolist() == pytest.approx([0, 11, 0.11, 10.89])
+
+
+class Captured:
+    """A frame that hands out the function that is to run over its batches."""
+
+    schema = schema("path:str pixels:bin height:int width:int channels:int")
+
+    def filter(self, *_):
+        return self
+
+    select = filter
+
+    def mapInArrow(self, work, _):
+        return work
+
+
+def test_features_leave_in_pieces_of_bounded_size():
+    draw = np.random.default_rng(3)
+    images = [draw.integers(0, 256, (16, 16)).astype(np.uint8) for _ in range(1000)]
+    rows = [{"path": str(i), "pixels": x.tobytes(), "height": 16, "width": 16, "channels": 1} for i, x in enumerate(images)]
+    pieces = list(im.gradient_features(Captured(), ["path"], 224, 96)(iter([pa.RecordBatch.from_pylist(rows)])))
+    vector = 11 * 27 * 36
+    assert max(len(p.column("features").flatten()) for p in pieces) < im.VALUES + vector < 1000 * vector
+    assert [x for p in pieces for x in p.column("path").to_pylist()] == [r["path"] for r in rows]
+    last = pieces[-1].column("features")[-1].as_py()
+    assert last == im.orientation_histogram(im.fit(images[-1], 224, 96), (8, 8)).tolist()
+    # cells of the pictures' own size too
+    counts = list(im.cell_histograms(Captured(), ["path"], (2, 2))(iter([pa.RecordBatch.from_pylist(rows * 10)])))
+    assert len(counts) > 1 and sum(p.num_rows for p in counts) == 10_000
+    assert counts[0].column("counts")[0].as_py() == im.cell_counts(images[0], (2, 2)).ravel().tolist()
