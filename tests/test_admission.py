@@ -207,3 +207,24 @@ def test_a_batch_is_not_listed_in_a_task_per_file(spark, folder, tmp_path, monke
     flows.admission(flows.arriving_files(spark, folder), out, checkpoint).awaitTermination()
     assert seen == [4 * spark.sparkContext.defaultParallelism]
     assert spark.conf.get(setting) == before
+
+
+def test_a_batch_of_small_files_is_listed_and_read_in_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(200):
+        (tmp_path / "in" / f"{i}.png").write_bytes(im.png_bytes(np.full((24, 32), i, np.uint8)))
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1m")  # a split for each file
+    try:
+        files_ = flows.arriving_files(spark, str(tmp_path / "in"))
+        query = flows.admission(files_, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    assert flows.judged_files(spark, str(tmp_path / "out")).count() == 200
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s is not None]
+    # two scans: within the limit of bytes, and over it
+    assert tasks and max(tasks) <= 2 * 4 * spark.sparkContext.defaultParallelism
