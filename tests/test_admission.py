@@ -228,3 +228,21 @@ def test_a_batch_of_small_files_is_listed_and_read_in_few_tasks(spark, tmp_path)
     tasks = [s.numTasks for s in stages if s is not None]
     # two scans: within the limit of bytes, and over it
     assert tasks and max(tasks) <= 2 * 4 * spark.sparkContext.defaultParallelism
+
+
+def test_a_small_batch_is_read_in_fewer_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(200):
+        (tmp_path / "in" / f"{i}.bin").write_bytes(b"x")
+    setting, cores = "spark.sql.files.maxPartitionBytes", spark.sparkContext.defaultParallelism
+    before, seen = spark.conf.get(setting), []
+    spark.conf.set(setting, "1m")  # a split for each file
+    try:
+        for batch in (100, 300 * cores, 10_000 * cores):
+            stream = flows.arriving_files(spark, str(tmp_path / "in"), batch)
+            note = stream.writeStream.foreachBatch(lambda rows, _: seen.append(rows.rdd.getNumPartitions()))
+            note.option("checkpointLocation", str(tmp_path / str(batch))).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    # 200 files in two batches, in one, and in one
+    assert seen == [cores, cores, 300 * cores // flows.FILES_PER_TASK, 4 * cores]
